@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, mixing, packing, quality, toxicity
+from . import chat, lm, minhash, mixing, packing, quality, toxicity
 from .common import crc_mod, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -104,8 +104,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, QueryFn]:
-    return {"op1_chat_format": op1_chat_format, "op2_pack": op2_pack, "op4_toxicity": op4_toxicity, "op5_mix": op5_mix, "op9_quality": op9_quality, "op10_lm_score": op10_lm_score}
+    return {"op1_chat_format": op1_chat_format, "op2_pack": op2_pack, "op4_toxicity": op4_toxicity, "op5_mix": op5_mix, "op7_minhash_dedup": op7_minhash_dedup, "op9_quality": op9_quality, "op10_lm_score": op10_lm_score}
 
 
 def oracle_sql() -> dict[str, str]:
