@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, minhash, mixing, packing, quality, toxicity
+from . import ann, chat, embed_dedup, lm, minhash, mixing, packing, quality, toxicity
 from .common import crc_mod, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -108,8 +108,16 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, QueryFn]:
-    return {"op1_chat_format": op1_chat_format, "op2_pack": op2_pack, "op4_toxicity": op4_toxicity, "op5_mix": op5_mix, "op7_minhash_dedup": op7_minhash_dedup, "op9_quality": op9_quality, "op10_lm_score": op10_lm_score}
+    return {"op1_chat_format": op1_chat_format, "op2_pack": op2_pack, "op3_embed_dedup": op3_embed_dedup, "op4_toxicity": op4_toxicity, "op6_ann": op6_ann, "op5_mix": op5_mix, "op7_minhash_dedup": op7_minhash_dedup, "op9_quality": op9_quality, "op10_lm_score": op10_lm_score}
 
 
 def oracle_sql() -> dict[str, str]:
