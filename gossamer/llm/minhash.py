@@ -361,3 +361,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, idf_share:
     ids = src.select("doc_id").distinct()
     out = ids.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without all but one document of each class; rows with a null id stay, of rows that repeat an id one does."""
+    classes = near_duplicates(docs, similarity)
+    gone = classes.where(~F.col("kept")).select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embed_dedup, lm, minhash, mixing, packing, quality, toxicity
-from .common import crc_mod, table
+from . import ann, chat, embed_dedup, lm, minhash, mixing, packing, pii, quality, toxicity
+from .common import Scratch, crc_mod, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -116,8 +116,20 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = Scratch(spark).write(pii.candidates(docs).drop("text"), "candidates")
+    spans = pii.accepted_spans(found, pii.fit(found))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
+    return spans.select(
+        "doc_id", *(count(k) for k in pii.BASE_KINDS),
+        F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, QueryFn]:
-    return {"op1_chat_format": op1_chat_format, "op2_pack": op2_pack, "op3_embed_dedup": op3_embed_dedup, "op4_toxicity": op4_toxicity, "op6_ann": op6_ann, "op5_mix": op5_mix, "op7_minhash_dedup": op7_minhash_dedup, "op9_quality": op9_quality, "op10_lm_score": op10_lm_score}
+    return {"op1_chat_format": op1_chat_format, "op2_pack": op2_pack, "op3_embed_dedup": op3_embed_dedup, "op4_toxicity": op4_toxicity, "op6_ann": op6_ann, "op5_mix": op5_mix, "op7_minhash_dedup": op7_minhash_dedup, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_lm_score": op10_lm_score}
 
 
 def oracle_sql() -> dict[str, str]:
