@@ -158,7 +158,8 @@ def retry_after_seconds(value: Column, now: Column) -> Column:
     """Seconds of a Retry-After value, a number or an HTTP date; never negative, null if neither."""
     text = F.trim(value)
     date = F.try_to_timestamp(F.regexp_replace(text, r"^[A-Za-z]+,\s*", ""), F.lit("dd MMM yyyy HH:mm:ss zzz"))
-    return F.greatest(F.coalesce(text.try_cast("double"), date.cast("double") - now.cast("double")), F.when(text != "", F.lit(0.0)))
+    seconds = F.coalesce(text.try_cast("double"), date.cast("double") - now.cast("double"))
+    return F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0.0)))
 
 
 def strip_ansi(text: Column) -> Column:

@@ -64,11 +64,15 @@ def mark_scope(found: DataFrame, host: str | None = None, scope: str = "host", t
     return named.join(domains, "__host", "left").withColumn("scope", F.when(inside, F.lit("internal")).otherwise(F.lit("external"))).drop("__host", "__domain")
 
 
+def _tagged(kind: str, name: str, key: str = "kind"):
+    return lambda m: F.struct(F.lit(kind).alias(key), m.alias(name))
+
+
 def intel_of(text: Column) -> Column:
     """array<struct<kind, match>> of all contact and service findings in a text."""
     each = []
     for kind, pattern in P.INTEL.items():
-        found = F.transform(T.find_all(text, pattern), lambda m, k=kind: F.struct(F.lit(k).alias("kind"), m.alias("match")))
+        found = F.transform(T.find_all(text, pattern), _tagged(kind, "match"))
         need = P.INTEL_NEEDS.get(kind)
         if need:
             seen = text.contains(need) if need == "@" else F.lower(text).contains(need)
@@ -177,8 +181,9 @@ def custom_matches(pages: DataFrame, pattern: str) -> DataFrame:
 
 def secrets_of(body: Column) -> Column:
     """array<struct<kind, token, entropy>>: known token shapes, and quoted tokens with their entropy."""
-    known = [F.transform(T.find_all(body, p, 1), lambda m, k=k: F.struct(F.lit(k).alias("kind"), F.trim(m).alias("token"), T.entropy(m).alias("entropy"))) for k, p in P.SECRETS.items()]
-    quoted = F.transform(T.find_all(body, P.ENTROPY_TOKEN, 1), lambda m: F.struct(F.lit("HIGH_ENTROPY").alias("kind"), m.alias("token"), T.entropy(m).alias("entropy")))
+    row = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), F.trim(m).alias("token"), T.entropy(m).alias("entropy"))
+    known = [F.transform(T.find_all(body, p, 1), row(k)) for k, p in P.SECRETS.items()]
+    quoted = F.transform(T.find_all(body, P.ENTROPY_TOKEN, 1), row("HIGH_ENTROPY"))
     return F.array_distinct(F.concat(*known, quoted))
 
 
@@ -231,8 +236,9 @@ def locations(pages: DataFrame) -> DataFrame:
     tags = []
     for key in P.META_POINT_KEYS:
         value = F.coalesce(F.element_at("meta", key), F.lit(""))
-        sep = F.when(value.contains(";"), F.lit(";")).otherwise(F.lit(","))
-        lat, lon = F.trim(F.substring_index(value, sep, 1)), F.trim(F.substring(value, F.locate(";", value) + F.when(value.contains(";"), F.lit(1)).otherwise(F.instr(value, ",") + 1), F.length(value)))
+        cut = lambda sep: (F.trim(F.substring_index(value, sep, 1)), F.trim(F.substring(value, F.instr(value, sep) + 1, F.length(value))))
+        semicolon = value.contains(";")
+        lat, lon = (F.when(semicolon, x).otherwise(y) for x, y in zip(cut(";"), cut(","), strict=True))
         tags.append(F.when((value.contains(";") | value.contains(",")) & (lat != "") & (lon != ""), row("geotag", "high", "meta", F.lit(key), lat, lon)))
     first = lambda keys: F.coalesce(*[F.nullif(F.trim(F.element_at("meta", k)), F.lit("")) for k in keys])
     lat, lon = first(P.META_LAT_KEYS), first(P.META_LON_KEYS)
@@ -276,7 +282,7 @@ def stories(pages: DataFrame) -> DataFrame:
 def scam_signals(pages: DataFrame) -> DataFrame:
     """url, signal, evidence: phrases of pressure and false trust."""
     plain = pages.select("url", T.strip_tags(_body(pages)).alias("text"))
-    each = [F.transform(T.find_all(F.col("text"), p), lambda m, k=k: F.struct(F.lit(k).alias("signal"), m.alias("evidence"))) for k, p in P.SCAM.items()]
+    each = [F.transform(T.find_all(F.col("text"), p), _tagged(k, "evidence", "signal")) for k, p in P.SCAM.items()]
     return plain.select("url", F.explode(F.array_distinct(F.concat(*each))).alias("s")).select("url", "s.*")
 
 

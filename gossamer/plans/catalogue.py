@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import fixture_queries, page_queries
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, QueryFn]:
-    return {}
+    return page_queries.QUERIES | fixture_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return page_queries.SQL | fixture_queries.SQL
