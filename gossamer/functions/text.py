@@ -135,9 +135,8 @@ def classify_request_error(name: Column) -> Column:
     """Kind of a failed request by its exception's name."""
     n = F.lower(F.coalesce(name, F.lit("")))
     return (
-        F.when(n.contains("proxy"), F.lit("proxy-error")).when(n.contains("ssl"), F.lit("tls-error")).when(n.contains("timeout"), F.lit("timeout"))
-        .when(n.contains("redirect"), F.lit("redirect-loop")).when(n.contains("connection"), F.lit("connection-error"))
-        .when(n.contains("invalid") | n.contains("missingschema"), F.lit("invalid-url")).otherwise(F.lit("request-error"))
+        F.when(n.contains("timeout"), F.lit("timeout")).when(n.contains("ssl"), F.lit("ssl")).when(n.contains("invalidurl") | n.contains("invalidschema"), F.lit("invalid-url"))
+        .when(n.contains("proxy") | n.contains("connection"), F.lit("blocked")).otherwise(F.lit("request-error"))
     )
 
 
@@ -192,7 +191,7 @@ def parse_redirect(line: Column) -> Column:
 
 def crawl_rate(seconds: Column, processed: Column) -> Column:
     """struct<minutes, seconds, per_request> of a run."""
-    return F.struct(F.floor(seconds / 60).alias("minutes"), (seconds % 60).alias("seconds"), (seconds / F.greatest(processed, F.lit(1))).alias("per_request"))
+    return F.struct(F.floor(seconds / 60).alias("minutes"), F.floor(seconds % 60).alias("seconds"), (seconds / F.greatest(processed, F.lit(1))).alias("per_request"))
 
 
 def one_line(text: str) -> str:

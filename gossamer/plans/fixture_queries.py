@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import analysis, crawl, extract, ledger
 from ..sources import readers, seeds, sinks
+from . import control
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -359,3 +360,36 @@ def autopsy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, "dataset string, value string", ("internal", "a"), ("files", "b"))
     report = ledger.autopsy_report(records, found, table(spark, "content_type string, n bigint", ("text/html", 2)), 1.5)
     return report.select("urls", "completed", "failed", "skipped", F.size("exposure").alias("datasets"))
+
+
+@query("workflow_plans", "kind, workflow, mode", [("url", "domain_necropsy", "generic"), ("js", "js_bone_saw", "js-intel"), ("dead_url", "dead_page_resurrection", "temporal"), ("odd", "domain_necropsy", "generic")])
+def workflow_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.workflow_plan(table(spark, "kind string", ("url",), ("js",), ("dead_url",), ("odd",))).select("kind", "workflow", "mode")
+
+
+@query("mode_table", "n", [(9,)])
+def mode_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.modes(spark).agg(F.count("*").alias("n"))
+
+
+@query("request_errors", "name, kind", [("ReadTimeout", "timeout"), ("SSLError", "ssl"), ("ConnectionError", "blocked"), ("Other", "request-error")])
+def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, "name string", ("ReadTimeout",), ("SSLError",), ("ConnectionError",), ("Other",)).select("name", T.classify_request_error(F.col("name")).alias("kind"))
+
+
+@query("untried_probes", "url, strategy", [(SITE + "/x", "learned")])
+def untried_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes = table(spark, "ord int, probe string, token string, strategy string, source string", (1, SITE + "/x", "x", "learned", "s"), (2, SITE + "/x/", "x", "learned", "s"), (3, SITE + "/known", "known", "wordlist", "s"), (4, "https://else.example.net/x", "x", "learned", "s"))
+    return analysis.untried_probes(probes, table(spark, "url string", (SITE + "/known",)), "site.example.com").select("url", "strategy")
+
+
+@query("crawl_rates", "minutes, seconds, per_request", [(2, 5, 12.5)])
+def crawl_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, "s double, n int", (125.0, 10)).select(T.crawl_rate(F.col("s"), F.col("n")).alias("r")).select("r.*")
+
+
+@query("ledger_chain", "url, chain, panel, bucket", [("http://a/", "http://b/", "links", "2xx"), ("http://c/s.js", "", "scripts", "other")])
+def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, "url string, status_code int, content_type string, state string, error_kind string, source_kind string, source_page string", ("http://a/", 200, "text/html", "completed", "", "seed", ""), ("http://c/s.js", None, "", "active", "", "script-queue", "http://a/"))
+    rows = ledger.ledger_rows(records, table(spark, "line string", ("http://a/ => http://b/",)))
+    return rows.select("url", F.array_join("redirect_chain", ",").alias("chain"), "panel", "bucket")

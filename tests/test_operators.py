@@ -116,3 +116,24 @@ def test_politeness_stream_equals_replay(spark, tmp_path):
     a = spark.table("polite").toPandas().sort_values(key, ignore_index=True)
     b = crawl_stream.politeness_replay(rows, 0.5).toPandas().sort_values(key, ignore_index=True)
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_settings_resolve_by_precedence():
+    from gossamer.plans import control
+
+    got = control.resolve("js", {"depth": 5}, preset="quick")
+    assert (got.depth, got.threads, got.mode, got.extract_secrets, got.workflow) == (5, 6, "js-intel", True, "js_bone_saw")
+    assert control.RunSettings.from_mapping({"depth": 0, "mode": "?", "hidden_words": "A, b a"}) == control.RunSettings(hidden_words=("a", "b"))
+    assert control.web_bounds(control.RunSettings(depth=99, threads=99)).depth == 8
+
+
+def test_fetch_source_reads_by_host(spark, tmp_path):
+    import json
+
+    from gossamer.sources.fetch import FetchSource
+
+    (tmp_path / "p.html").write_text("<a href='/x'>x</a>")
+    spark.dataSource.register(FetchSource)
+    urls = [f"file://{tmp_path}/p.html", f"file://{tmp_path}/none.html", "http://h/"]
+    got = {r.url: (r.status_code, r.error) for r in spark.read.format("crawl_fetch").option("urls", json.dumps(urls)).load().collect()}
+    assert list(got.values()) and got[urls[0]] == (200, None) and got[urls[1]] == (404, None) and got["http://h/"] == (None, "InvalidSchema")
