@@ -188,7 +188,7 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("robots_agent_rules", "directive, path", [("DISALLOW", "/mine")])
 def robots_agent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = "User-agent: *\nDisallow: /all\n\nUser-agent: vampiric\nUser-agent: x\nDisallow: /mine\nUser-agent: zzz\nDisallow: /z\n"
+    body = "User-agent: *\nDisallow: /all\n\nUser-agent: gossamer\nUser-agent: x\nDisallow: /mine\nUser-agent: zzz\nDisallow: /z\n"
     return seeds.robots_rules(table(spark, "url string, body string", (SITE, body))).select("directive", "path")
 
 

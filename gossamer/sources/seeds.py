@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 
 #: The crawler's name in robots files, and the bounds of seeding.
-ROBOTS_AGENT = "vampiriccrawler/1.0"
+ROBOTS_AGENT = "gossamercrawler/1.0"
 MAX_SITEMAPS, MAX_INDEXES, MAX_ARCHIVED = 25, 3, 200
 DEFAULT_SITEMAPS = ("/sitemap.xml", "/sitemap_index.xml")
 
