@@ -38,6 +38,17 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows of an Arrow batch while intermediate tables are written: texts and shingle sets are wide rows.
+BATCH_ROWS = "1000"
+#: Ids or sources that are sent to all executors; above it the join shuffles both sides.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if it has been counted to be small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 class Scratch:
     """Written intermediate tables in the shared folder; they cut lineage and survive lost executors.
 
@@ -51,7 +62,13 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, BATCH_ROWS)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_side
 from .components import UnionFind, connected_components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -91,7 +91,7 @@ def normalise(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace")
 
 
-def _slices(texts: list[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(texts: list[bytes], limit: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     lo = held = 0
     for i, t in enumerate(texts):
         held += len(t)
@@ -366,8 +366,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, idf_share:
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without all but one document of each class; rows with a null id stay, of rows that repeat an id one does."""
     classes = near_duplicates(docs, similarity)
-    gone = classes.where(~F.col("kept")).select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = Scratch(docs.sparkSession).write(classes.where(~F.col("kept")).select("doc_id"), "gone")
+    left = docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
     if repeated.isEmpty():
         return left

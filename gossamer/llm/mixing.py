@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import Scratch, small_side, word_count
 
 #: A source may be repeated up to this many times.
 MAX_REPEATS = 3
@@ -48,7 +48,8 @@ def plan_mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = (1
     """Documents (doc_id, text, source, ...) plus size, source_size, target, rate and copies.
 
     size counts the words of the whole text. rate = target / source_size; a document gets
-    floor(rate) copies and one more with the fraction's probability, by a coin seeded with its id.
+    floor(rate) copies and one more with the fraction's probability, by a coin seeded with its id. The sizes by source are a written table; documents
+    are joined with it without a shuffle unless there are very many sources.
 
     Nulls: a null text has size 0, null sources form one source of their own, a null id seeds as
     an empty text. Repeated rows count each and share one coin. An empty table gives no rows. Columns
@@ -56,7 +57,7 @@ def plan_mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = (1
     """
     added = ["size", "source_size", "target", "rate", "copies"]
     base = docs.drop(*added).withColumn("size", word_count(F.col("text")))
-    per_source = base.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per_source = Scratch(docs.sparkSession).write(base.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     targets = source_targets(per_source, weights, max_repeats).select(
         F.col("source").alias("__source"), F.col("source_size"), F.col("target"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"),
@@ -64,6 +65,7 @@ def plan_mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = (1
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     coin = F.conv(F.substring(F.md5(key.cast("binary")), 1, COIN_DIGITS), 16, 10).cast("double") / F.lit(float(16**COIN_DIGITS))
     whole = F.floor("rate").cast("int")
+    targets = small_side(targets, per_source.count())
     joined = base.join(targets, base["source"].eqNullSafe(targets["__source"]), "left").drop("__source")
     return joined.withColumn("copies", whole + F.when(coin < F.col("rate") - whole, F.lit(1)).otherwise(F.lit(0)))
 

@@ -35,7 +35,7 @@ QUOTED_FACTOR, ADDRESS_FACTOR, FUZZY_FACTOR = 0.1, 1.25, 0.8
 #: Fitting: at most about so many labelled documents; terms at most; least support of a learned stem.
 MAX_FIT_DOCS, MAX_TERMS, LEAST_DOCS, LEAST_G2 = 8_000, 256, 6, 30.0
 #: Words whose result a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def edits_allowed(term: str) -> int:
