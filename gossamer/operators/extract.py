@@ -68,16 +68,13 @@ def _tagged(kind: str, name: str, key: str = "kind"):
     return lambda m: F.struct(F.lit(kind).alias(key), m.alias(name))
 
 
-def intel_of(text: Column) -> Column:
-    """array<struct<kind, match>> of all contact and service findings in a text."""
+def intel_of(text: Column, kinds: tuple[str, ...] | None = None) -> Column:
+    """array<struct<kind, match>> of the contact and service findings in a text, of all kinds by default."""
     each = []
-    for kind, pattern in P.INTEL.items():
+    for kind in kinds or P.INTEL:
+        pattern = P.INTEL[kind]
         found = F.transform(T.find_all(text, pattern), _tagged(kind, "match"))
-        need = P.INTEL_NEEDS.get(kind)
-        if need:
-            seen = text.contains(need) if need == "@" else F.lower(text).contains(need)
-            found = F.when(seen, found).otherwise(F.array().cast("array<struct<kind:string,match:string>>"))
-        each.append(found)
+        each.append(F.when(text.rlike(P.INTEL_NEEDS[kind]), found).otherwise(F.array().cast("array<struct<kind:string,match:string>>")))
     return F.concat(*each)
 
 
@@ -88,9 +85,9 @@ def intel(pages: DataFrame) -> DataFrame:
     return seen.select("url", F.explode(F.array_distinct(intel_of(F.col("text")))).alias("m")).select("url", "m.kind", "m.match")
 
 
-def text_intel(docs: DataFrame, key: str = "url", text: str = "text") -> DataFrame:
+def text_intel(docs: DataFrame, key: str = "url", text: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
     """(key, kind, match) of plain texts, distinct in each."""
-    return docs.select(key, F.explode(F.array_distinct(intel_of(F.col(text)))).alias("m")).select(key, "m.kind", "m.match")
+    return docs.select(key, F.explode(F.array_distinct(intel_of(F.col(text), kinds))).alias("m")).select(key, "m.kind", "m.match")
 
 
 def valid_intel(found: DataFrame) -> DataFrame:
@@ -179,18 +176,18 @@ def custom_matches(pages: DataFrame, pattern: str) -> DataFrame:
     return pages.select("url", F.explode(F.array_distinct(found)).alias("match"))
 
 
-def secrets_of(body: Column) -> Column:
+def secrets_of(body: Column, with_known: bool = True) -> Column:
     """array<struct<kind, token, entropy>>: known token shapes, and quoted tokens with their entropy."""
     row = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), F.trim(m).alias("token"), T.entropy(m).alias("entropy"))
-    known = [F.transform(T.find_all(body, p, 1), row(k)) for k, p in P.SECRETS.items()]
+    known = [F.transform(T.find_all(body, p, 1), row(k)) for k, p in P.SECRETS.items()] if with_known else []
     quoted = F.transform(T.find_all(body, P.ENTROPY_TOKEN, 1), row("HIGH_ENTROPY"))
     return F.array_distinct(F.concat(*known, quoted))
 
 
 @page_extractor
-def secrets(pages: DataFrame) -> DataFrame:
-    """url, kind, token, entropy, reported: quoted tokens are reported from four bits a character on."""
-    rows = pages.select("url", F.explode(secrets_of(_body(pages))).alias("s")).select("url", "s.*")
+def secrets(pages: DataFrame, known: bool = True) -> DataFrame:
+    """url, kind, token, entropy, reported: quoted tokens are reported from four bits a character on; ``known`` shapes too."""
+    rows = pages.select("url", F.explode(secrets_of(_body(pages), known)).alias("s")).select("url", "s.*")
     return rows.withColumn("reported", (F.col("kind") != "HIGH_ENTROPY") | (F.col("entropy") >= P.ENTROPY_LEAST))
 
 
@@ -303,30 +300,44 @@ def script_artifacts(scripts: DataFrame) -> DataFrame:
     return maps.unionByName(inline).distinct()
 
 
+#: Kinds of script findings, and the pattern that each comes from where the names differ.
+JS_KINDS = ("token", "feature", "config", "route", "api", "graphql", "api_url", "analytics_id", "storage", "error_hint", "comment", "view", "env_hint")
+
+
 @script_extractor
-def js_intel(scripts: DataFrame) -> DataFrame:
-    """url, kind, name, value: what scripts tell of tokens, flags, routes, services and the like."""
+def js_intel(scripts: DataFrame, kinds: tuple[str, ...] = JS_KINDS) -> DataFrame:
+    """url, kind, name, value: what scripts tell of tokens, flags, routes, services and the like. Only the patterns of ``kinds`` run."""
     body = _body(scripts)
-    row = lambda kind, value, name=None: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (F.lit(None).cast("string") if name is None else name).alias("name"), value.alias("value"))
+
+    def row(kind, value: Column, name: Column | None = None) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.struct(kind.alias("kind"), (F.lit(None).cast("string") if name is None else name).alias("name"), value.alias("value"))
+
     squeeze = lambda x: F.regexp_replace(x, r"(?U)\s+", " ")
-    pair = lambda kind: T.find_groups(body, P.JS[kind], 1, 2)
-    said = F.filter(F.transform(T.find_all(body, P.JS["comment"]), lambda m: F.trim(squeeze(F.replace(F.replace(F.replace(m, F.lit("/*"), F.lit("")), F.lit("*/"), F.lit("")), F.lit("//"), F.lit(""))))), lambda c: F.length(c) >= 8)
-    addresses = F.filter(T.find_all(body, P.JS["url"]), lambda m: F.lower(m).contains("/graphql") | F.lower(m).contains("/api/"))
-    each = [
-        F.transform(pair("token"), lambda m: row("token", m["g1"], m["g0"])),
-        F.transform(pair("feature"), lambda m: row("feature", F.regexp_replace(F.regexp_replace(m["g1"], '^"+|"+$', ""), "^'+|'+$", ""), m["g0"])),
-        F.transform(pair("config"), lambda m: row("config", F.substring(squeeze(m["g1"]), 1, 220), m["g0"])),
-        F.transform(T.find_all(body, P.JS["route"], 1), lambda m: row("route", m)),
-        F.transform(pair("api"), lambda m: row("api", m["g1"], m["g0"])),
-        F.transform(addresses, lambda m: row(F.when(F.lower(m).contains("/graphql"), F.lit("graphql")).otherwise(F.lit("api_url")), m)),
-        F.transform(T.find_all(body, P.JS["analytics_id"]), lambda m: row("analytics_id", m)),
-        F.transform(T.find_all(body, P.JS["storage"]), lambda m: row("storage", m)),
-        F.transform(T.find_all(body, P.JS["error_hint"], 1), lambda m: row("error_hint", F.substring(F.trim(m), 1, 140))),
-        F.transform(said, lambda c: row("comment", F.substring(c, 1, 140))),
-        F.transform(T.find_all(body, P.JS["view"], 1), lambda m: row("view", m)),
-        F.transform(T.find_all(body, P.JS["env_hint"]), lambda m: row("env_hint", m)),
-    ]
-    return scripts.select("url", F.explode(F.array_distinct(F.concat(*each))).alias("r")).select("url", "r.*")
+    alone = lambda kind, group=0: F.transform(T.find_all(body, P.JS[kind], group), lambda m: row(kind, m))
+    pair = lambda kind, shown: F.transform(T.find_groups(body, P.JS[kind], 1, 2), lambda m: row(kind, shown(m["g1"]), m["g0"]))
+    unquote = lambda x: F.regexp_replace(F.regexp_replace(x, '^"+|"+$', ""), "^'+|'+$", "")
+    service = lambda m: F.when(F.lower(m).contains("/graphql"), F.lit("graphql")).otherwise(F.lit("api_url"))
+    said = lambda m: F.trim(squeeze(F.replace(F.replace(F.replace(m, F.lit("/*"), F.lit("")), F.lit("*/"), F.lit("")), F.lit("//"), F.lit(""))))
+    rules = {
+        "token": lambda: pair("token", lambda x: x),
+        "feature": lambda: pair("feature", unquote),
+        "config": lambda: pair("config", lambda x: F.substring(squeeze(x), 1, 220)),
+        "route": lambda: alone("route", 1),
+        "api": lambda: pair("api", lambda x: x),
+        "url": lambda: F.transform(F.filter(T.find_all(body, P.JS["url"]), lambda m: F.lower(m).contains("/graphql") | F.lower(m).contains("/api/")), lambda m: row(service(m), m)),
+        "analytics_id": lambda: alone("analytics_id"),
+        "storage": lambda: alone("storage"),
+        "error_hint": lambda: F.transform(T.find_all(body, P.JS["error_hint"], 1), lambda m: row("error_hint", F.substring(F.trim(m), 1, 140))),
+        "comment": lambda: F.transform(F.filter(F.transform(T.find_all(body, P.JS["comment"]), said), lambda c: F.length(c) >= 8), lambda c: row("comment", F.substring(c, 1, 140))),
+        "view": lambda: alone("view", 1),
+        "env_hint": lambda: alone("env_hint"),
+    }
+    wanted = dict.fromkeys("url" if k in ("graphql", "api_url") else k for k in kinds)
+    none = F.array().cast("array<struct<kind:string,name:string,value:string>>")
+    each = [F.when(body.rlike(P.JS_NEEDS[k]), rules[k]()).otherwise(none) for k in wanted]
+    found = scripts.select("url", F.explode(F.array_distinct(F.concat(*each))).alias("r")).select("url", "r.*")
+    return found.where(F.col("kind").isin(*kinds)) if "url" in wanted else found
 
 
 def inline_scripts(pages: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ SELECT DISTINCT url, 'comment' AS kind, left(c, 140) AS value FROM (SELECT url,
 UNION ALL SELECT DISTINCT url, 'route', unnest(regexp_extract_all(body, '(?i)\b(?:route|router|path|pathname)\b[^\"'']{0,40}[\"'']([^\"'']{2,200})[\"'']', 1)) FROM s""")
 def js_inline_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
     scripts = extract.inline_scripts(read(spark, sf_dir, "pages").select("url", "html"))
-    return extract.js_intel(scripts).where("kind IN ('comment', 'route')").select("url", "kind", "value")
+    return extract.js_intel(scripts, ("comment", "route")).select("url", "kind", "value")
 
 
 @query("inline_script_artifacts")
@@ -165,8 +165,7 @@ _LUHN = "list_sum(list_transform(range(1, length(match) + 1), lambda i: CASE WHE
 
 
 def doc_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.text_intel(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return found.where(F.col("kind").isin(*_INTEL_SQL))
+    return extract.text_intel(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", kinds=tuple(_INTEL_SQL))
 
 
 @query("intel_extract", f"WITH {_INTEL_CTE} SELECT doc_id, kind, match FROM intel")
@@ -195,13 +194,13 @@ WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\"'']([a-zA
 SELECT doc_id, token, round(-list_sum(list_transform(list_distinct(string_split(token, '')), lambda c: (len(list_filter(string_split(token, ''), lambda d: d = c)) / length(token)) * log2(len(list_filter(string_split(token, ''), lambda d: d = c)) / length(token)))), 6) AS entropy FROM t""")
 def secret_candidates_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("body"))
-    return extract.secrets(docs).where("kind = 'HIGH_ENTROPY'").select(F.col("url").alias("doc_id"), "token", F.round("entropy", 6).alias("entropy"))
+    return extract.secrets(docs, known=False).select(F.col("url").alias("doc_id"), "token", F.round("entropy", 6).alias("entropy"))
 
 
 @query("js_tokens", r"SELECT doc_id, name, value FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?i)\b(api[_-]?key|token|secret|auth[_-]?token)\b[\"'']?\s*[:=]\s*[\"'']([^\"'']{6,200})[\"'']', 1)) AS name, unnest(regexp_extract_all(text, '(?i)\b(api[_-]?key|token|secret|auth[_-]?token)\b[\"'']?\s*[:=]\s*[\"'']([^\"'']{6,200})[\"'']', 2)) AS value FROM documents)")
 def js_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("body"))
-    return extract.js_intel(docs).where("kind = 'token'").select(F.col("url").alias("doc_id"), "name", "value")
+    return extract.js_intel(docs, ("token",)).select(F.col("url").alias("doc_id"), "name", "value")
 
 
 @query("content_duplicates", "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
