@@ -215,12 +215,12 @@ def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _snapshot(docs: DataFrame) -> DataFrame:
     path = F.array(F.lit("documents"), F.col("source"))
-    return docs.where("source IS NOT NULL").select(path.alias("path"), F.lit("item").alias("kind"), F.substring("text", 1, 40).alias("value"))
+    return docs.where("source IS NOT NULL AND text IS NOT NULL").select(path.alias("path"), F.lit("item").alias("kind"), F.sha2("text", 256).alias("value"))
 
 
 _DIFF = """
-WITH a AS (SELECT DISTINCT source, left(text, 40) AS v FROM documents WHERE source IS NOT NULL AND lang <> 'de'),
-b AS (SELECT DISTINCT source, left(text, 40) AS v FROM documents WHERE source IS NOT NULL AND lang <> 'fr'),
+WITH a AS (SELECT DISTINCT source, sha256(text) AS v FROM documents WHERE source IS NOT NULL AND text IS NOT NULL AND lang <> 'de'),
+b AS (SELECT DISTINCT source, sha256(text) AS v FROM documents WHERE source IS NOT NULL AND text IS NOT NULL AND lang <> 'fr'),
 d AS (SELECT source, v, 'removed' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT source, v, 'added' FROM (SELECT * FROM b EXCEPT SELECT * FROM a))
 """
 
