@@ -262,3 +262,8 @@ def classify_inputs(inputs: DataFrame) -> DataFrame:
     out = inputs.select("raw", kind.alias("kind"), explicit.alias("explicit"))
     sure = F.when((F.col("explicit") != "") & (F.col("explicit") != "auto"), 0.99).when(F.col("kind").isin("url", "domain", "pdf", "js", "sitemap", "html", "archived_url"), 0.95).when(F.col("kind") == "dead_url", 0.75).when(F.col("kind") == "handle", 0.7).when(raw != "", 0.6).otherwise(0.0)
     return out.select("raw", "kind", sure.alias("confidence"))
+
+
+def probe_strategies(candidates: DataFrame) -> DataFrame:
+    """(strategy, n) of hidden-path candidates."""
+    return candidates.groupBy("strategy").agg(F.count("*").alias("n"))

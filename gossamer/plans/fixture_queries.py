@@ -393,3 +393,14 @@ def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, "url string, status_code int, content_type string, state string, error_kind string, source_kind string, source_page string", ("http://a/", 200, "text/html", "completed", "", "seed", ""), ("http://c/s.js", None, "", "active", "", "script-queue", "http://a/"))
     rows = ledger.ledger_rows(records, table(spark, "line string", ("http://a/ => http://b/",)))
     return rows.select("url", F.array_join("redirect_chain", ",").alias("chain"), "panel", "bucket")
+
+
+@query("probe_strategies", "strategy, n", [("learned", 4), ("wordlist", 32)])
+def probe_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, "kind string, value string", ("internal", SITE + "/ab/cd"))
+    return analysis.probe_strategies(analysis.hidden_candidates(found, SITE, ("zz",)))
+
+
+@query("timeline_array", "timeline", [('[{"timestamp":"1"},{"timestamp":"2"}]',)])
+def timeline_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.timeline_array(table(spark, "value string", ('{"timestamp":"2"}',), ("junk{",), ('{"timestamp":"1"}',)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +65,35 @@ def load_checkpoint(spark: SparkSession, folder: str, version: int = 1) -> dict[
     if meta["version"] != version:
         raise ValueError(f"checkpoint version {meta['version']}, not {version}")
     return {name: spark.read.parquet(f"{folder}/{name}") for name in meta["tables"]}
+
+
+# The files that a run exports, by kind.
+EXPORTS = {
+    "json": "results.json", "csv": "results.csv", "autopsy-json": "autopsy.json", "autopsy-md": "autopsy.md", "manifest-json": "crawl-manifest.json",
+    "rendered-evidence": "rendered-evidence.json", "timeline-jsonl": "timeline.jsonl", "timeline-json": "timeline.json", "bundle": "sealed-bundle.zip",
+}
+
+
+def export_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, path) of the exports that a run's folder holds."""
+    known = spark.createDataFrame(list(EXPORTS.items()), "kind string, name string")
+    there = spark.read.format("binaryFile").load(folder).select("path", F.substring_index("path", "/", -1).alias("name"))
+    return there.join(F.broadcast(known), "name").select("kind", "path")
+
+
+def bundle(folder: str, out: str) -> list[str]:
+    """Zips a run's local folder on the driver; gives the members' names."""
+    root, members = Path(folder), []
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*")):
+            if path.is_file() and path != Path(out):
+                members.append(str(path.relative_to(root)))
+                z.write(path, members[-1])
+    return members
+
+
+def timeline_array(lines: DataFrame) -> DataFrame:
+    """One row, the entries of a JSON-lines timeline as one JSON array in order; lines that are no JSON are dropped. For a run's own log, which is bounded."""
+    rows = lines.where(F.try_parse_json("value").isNotNull()).select(F.col("value").alias("v"), F.get_json_object("value", "$.timestamp").alias("ts"))
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "v")))
+    return rows.agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["v"]), ","), F.lit("]")).alias("timeline"))

@@ -137,3 +137,10 @@ def test_fetch_source_reads_by_host(spark, tmp_path):
     urls = [f"file://{tmp_path}/p.html", f"file://{tmp_path}/none.html", "http://h/"]
     got = {r.url: (r.status_code, r.error) for r in spark.read.format("crawl_fetch").option("urls", json.dumps(urls)).load().collect()}
     assert list(got.values()) and got[urls[0]] == (200, None) and got[urls[1]] == (404, None) and got["http://h/"] == (None, "InvalidSchema")
+
+
+def test_exports_are_listed_and_bundled(spark, tmp_path):
+    (tmp_path / "autopsy.md").write_text("# x")
+    (tmp_path / "other.txt").write_text("y")
+    assert sinks.bundle(str(tmp_path), str(tmp_path / "sealed-bundle.zip")) == ["autopsy.md", "other.txt"]
+    assert {r.kind for r in sinks.export_listing(spark, str(tmp_path)).collect()} == {"autopsy-md", "bundle"}
