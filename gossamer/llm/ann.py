@@ -26,7 +26,7 @@ TABLES, HASHES, WIDTH = 4, 4, 1.5
 #: Fitting the number of probes: vectors sampled, queries among them, recall wanted there.
 SAMPLE, SAMPLE_QUERIES, SAMPLE_RECALL = 4_000, 200, 0.96
 #: Rows of a bucket's share, and of a task's group of shares.
-SHARE_ROWS, GROUP_ROWS = 4_096, 8_192
+SHARE_ROWS, GROUP_ROWS = 4_096, 32_768
 
 
 @dataclass
