@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+#: So few edges are finished by one task; more are contracted in rounds.
+LOCAL_EDGES = 16_384
+
+
 class UnionFind(dict):
     """Parent by id; roots are the smallest ids of their sets."""
 
@@ -43,18 +47,44 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInPandas(run, "a bigint, b bigint")
 
 
+def _onward(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """Labels followed one step further."""
+    onward = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
+    return labels.join(onward, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+
+
+def rooted(edges: DataFrame) -> DataFrame:
+    """(id, label): the smallest id that each id reaches, of edges few enough for one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets, ids = UnionFind(), set()
+        for batch in batches:
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                sets.join(a, b)
+                ids |= {a, b}
+        ids = sorted(ids)
+        yield pd.DataFrame({"id": ids, "label": [sets.root(x) for x in ids]}, dtype="int64")
+
+    return edges.select("a", "b").repartition(1).mapInPandas(run, "id bigint, label bigint")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every id in ``edges`` (a bigint, b bigint); component is the smallest id reachable.
 
     Each round, an id follows its neighbour with the smallest hash, if that is below its own; edges
     between followers of one id vanish. Rounds draw new hashes, so the edges fall by a constant
-    factor on average. Only the answer to "is any edge left" comes to the driver.
+    factor on average, until there are so few that one task joins them. Only their number comes
+    to the driver.
     """
     left = scratch.write(forest(edges.where("a != b")), "edges")
     labels: DataFrame | None = None
     turn = 0
-    while not left.isEmpty():
+    while n := left.count():
         turn += 1
+        if n <= LOCAL_EDGES:
+            step = scratch.write(rooted(left), f"step{turn}")
+            labels = step if labels is None else _onward(labels, step)
+            break
         rank = lambda c, k=turn: F.xxhash64(F.lit(k), c)
         both = left.select("a", "b").unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("id"))).alias("m"))
@@ -66,8 +96,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if labels is None:
             labels = step
         else:
-            onward = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
-            labels = scratch.write(labels.join(onward, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
+            labels = scratch.write(_onward(labels, step), "labels")
     if labels is None:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
     least = labels.groupBy("label").agg(F.min("id").alias("component"))

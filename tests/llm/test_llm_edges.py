@@ -110,7 +110,9 @@ def test_mixed_buckets_are_compared_in_full(spark):
     assert {r.id for r in got} == {10 + k for k in range(6)} and {r.component for r in got} == {10}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 100, 16_384])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     rng = np.random.default_rng(4)
     chain = [(i, i + 1) for i in range(0, 300)] + [(500, 900), (900, 500), (7, 7)]
     rng.shuffle(chain)
