@@ -4,8 +4,8 @@ Text is lower-cased in A-Z and read as UTF-8 bytes, closed by byte 0xFF, which U
 the same byte fills the contexts before a text's start. A byte is eight binary decisions, each with a context
 tree of its own over the preceding bytes. Nodes hold Krichevsky-Trofimov estimates, and the
 weighting mixes all depths. KT block probabilities depend on counts alone, so one distributed count of
-byte strings gives the exact weights; contexts rarer than a share of the corpus are not split further,
-which bounds the tree at any corpus size.
+byte strings gives the exact weights. Every context of the training bytes is a node: the tree is a distributed
+table that grows with the corpus, cut into subtrees of contexts that share their nearest bytes.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, crc_mod
 
 DEPTH = 5
-#: A context is a node of the tree if it opens at least this share of all training bytes: at most
-#: 1 / share nodes at each depth.
-NODE_SHARE = 1e-5
 END = 0xFF
-#: Documents whose vocabulary is kept together.
-CHUNK_DOCS = 5_000
+#: Contexts that share so many nearest bytes are weighted in one task; the driver has the shorter ones, of two
+#: bytes at most, of which UTF-8 allows some 41,000.
+SPLIT = 3
+#: Byte strings that a task weights at once, about; tasks at least.
+BUCKET_STRINGS, LEAST_BUCKETS = 100_000, 256
+#: Bytes of the documents whose vocabulary and byte strings are kept together.
+CHUNK_BYTES = 32_000_000
 
 
 def normalise(text: str | None) -> bytes:
@@ -65,21 +67,21 @@ def slices(texts: list[bytes], limit: int) -> Iterator[list[bytes]]:
         yield texts[lo:]
 
 
-def count_strings(docs: DataFrame, depth: int) -> DataFrame:
-    """(code bigint, n bigint): how often each byte follows each context of ``depth`` bytes, summed over all documents."""
+def string_codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte with the ``depth`` before it as one number, the byte itself lowest; first place of each text."""
+    joined, places, first = byte_stream(texts, depth)
+    code = np.zeros(len(places), np.int64)
+    for k in range(depth, -1, -1):
+        code = (code << 8) | joined[places - k]
+    return code, first
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [normalise(t) for t in batch["text"]]
-            for some in slices(texts, 4_000_000):
-                joined, places, _ = byte_stream(some, depth)
-                code = np.zeros(len(places), np.int64)
-                for k in range(depth, -1, -1):
-                    code = (code << 8) | joined[places - k]
-                yield pd.DataFrame(dict(zip(("code", "n"), np.unique(code, return_counts=True), strict=True)))
 
-    parts = docs.select("text").mapInPandas(run, "code bigint, n bigint")
-    return parts.groupBy("code").agg(F.sum("n").alias("n"))
+def count_strings(texts: list[bytes], held_out: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct byte strings of all texts, and how often each is in those that are not held out."""
+    code, _ = string_codes(texts, depth)
+    at, codes = pd.factorize(code)
+    train = np.repeat(~held_out, np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return codes, np.bincount(at[train], minlength=len(codes))
 
 
 # --- the tree -------------------------------------------------------------------------------
@@ -146,7 +148,9 @@ _STEP = 1024
 
 
 def build_tree(levels: list[Level]) -> ContextTree:
-    """The weighted tree of context counts: levels[d] holds the sorted contexts of d bytes (nearest byte lowest) and their 256 counts each.
+    """The weighted tree in one piece, for corpora that fit in memory; ``string_scores`` gives the same distributed.
+
+    Made of context counts: levels[d] holds the sorted contexts of d bytes (nearest byte lowest) and their 256 counts each.
 
     log Pw(s) = log(Pe(s)/2 + prod Pw(children)/2), for each of the 255 decisions; what a node's
     kept children do not hold counts as one more child that is a leaf. A byte's probability at a node follows
@@ -199,34 +203,112 @@ def build_tree(levels: list[Level]) -> ContextTree:
     return ContextTree(depth, child, logp)
 
 
-def fit_tree(docs: DataFrame, depth: int = DEPTH, node_share: float = NODE_SHARE, scratch: Scratch | None = None) -> ContextTree:
-    """Count all training documents and weight the tree; only contexts above the share reach the driver."""
-    scratch = scratch or Scratch(docs.sparkSession)
-    codes = scratch.write(count_strings(docs, depth), "strings")
-    total = codes.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(total * node_share))
-    levels: list[Level] = []
-    for d in range(depth + 1):
-        ctx = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1))
-        byte = F.col("code").bitwiseAND(F.lit(255))
-        each = codes.groupBy(ctx.alias("ctx"), byte.alias("byte")).agg(F.sum("n").alias("n"))
-        often = each.withColumn("total", F.sum("n").over(Window.partitionBy("ctx"))).where(F.col("total") >= least)
-        rows = often.select("ctx", "byte", "n").toArrow()
-        ctxs, at = np.unique(rows["ctx"].to_numpy(), return_inverse=True)
-        if d == 0:
-            ctxs = np.zeros(1, np.int64)
-        counts = np.zeros((len(ctxs), 256), np.int64)
-        counts[at, rows["byte"].to_numpy()] = rows["n"].to_numpy()
-        if d:  # a node needs its parent; a context is no more frequent than its suffix
-            kept = np.isin(ctxs & ((1 << (8 * (d - 1))) - 1), levels[d - 1][0])
-            ctxs, counts = ctxs[kept], counts[kept]
-        levels.append((ctxs, counts))
-    return build_tree(levels)
+@dataclass
+class Nodes:
+    """Inner nodes of one depth that training bytes have passed: context and node as one sorted key, estimate, share that stops."""
+
+    key: np.ndarray
+    estimate: np.ndarray
+    stop: np.ndarray
+
+
+def _decisions(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and inner node of the eight decisions of each string's last byte as one key, and whether a decision is a one."""
+    k, byte = np.arange(8), (code & 255)[:, None]
+    return (code & ~255)[:, None] | ((1 << k) - 1 + (byte >> (8 - k))), (byte >> (7 - k)) & 1 == 1
+
+
+def _suffix(key: np.ndarray, depth: int) -> np.ndarray:
+    return key & ((1 << 8 * (depth + 1)) - 1)
+
+
+def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    keys, at = np.unique(key, return_inverse=True)
+    return keys, *(np.bincount(at, v, len(keys)) for v in values)
+
+
+def weigh_levels(deepest: int, top: int, key: np.ndarray, *sums: np.ndarray) -> tuple[dict[int, Nodes], tuple[np.ndarray, ...]]:
+    """Nodes of the depths from ``deepest`` up to ``top``, and (key, zeros, ones, log weighted) of the last.
+
+    ``sums`` are zeros and ones of keys and, unless ``deepest`` is that of the leaves, the sums of their children's weighted
+    logarithms. Nodes that no training byte passed weigh log 1 and are left out.
+    """
+    levels: dict[int, Nodes] = {}
+    for d in range(deepest, top - 1, -1):
+        key, zeros, ones, *below = _sum_by(_suffix(key, d), *sums)
+        weighted = block = kt_block(zeros, ones)
+        stop = np.ones(len(key))
+        if below:
+            weighted = np.logaddexp(block, below[0]) - math.log(2)
+            stop = np.exp(block - math.log(2) - weighted)
+        levels[d] = Nodes(key, (ones + 0.5) / (zeros + ones + 1), stop)
+        sums = (zeros, ones, weighted)
+    return levels, (key, *sums)
+
+
+def weigh_strings(code: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[dict[int, Nodes], tuple[np.ndarray, ...]]:
+    """As above, for the subtrees that hold the byte strings ``code``, seen ``n`` times in training."""
+    key, one = _decisions(code[n > 0])
+    times = n[n > 0][:, None].astype(float)
+    return weigh_levels(depth, top, key.ravel(), (times * ~one).ravel(), (times * one).ravel())
+
+
+def log_probability(code: np.ndarray, levels: dict[int, Nodes]) -> np.ndarray:
+    """log10 probability of each string's last byte after the others, along the path of its contexts that are in the tree."""
+    out = np.zeros(len(code))
+    for lo in range(0, len(code), 1 << 16):
+        key, one = _decisions(code[lo : lo + (1 << 16)])
+        base, weight, p = np.zeros(key.shape), np.ones(key.shape), np.full(key.shape, 0.5)
+        for d in range(len(levels)):
+            nodes, want = levels[d], _suffix(key, d)
+            if not len(nodes.key):
+                break
+            at = np.minimum(np.searchsorted(nodes.key, want), len(nodes.key) - 1)
+            seen = nodes.key[at] == want
+            # What no training byte passed is even at this and all deeper contexts.
+            estimate, stop = np.where(seen, nodes.estimate[at], 0.5), np.where(seen, nodes.stop[at], 1.0)
+            p = np.where(seen[:, :1], base + weight * estimate, p)  # a context is in the tree if its first decision is
+            base, weight = base + weight * stop * estimate, weight * (1 - stop)
+        out[lo : lo + (1 << 16)] = np.log10(np.maximum(np.where(one, p, 1 - p), 1e-300)).sum(1)
+    return out
+
+
+def string_scores(counted: DataFrame, depth: int = DEPTH, scratch: Scratch | None = None) -> DataFrame:
+    """Byte strings (code bigint, n bigint), a row each, n 0 if not in training -> code, logp: each string's last byte in the tree of all.
+
+    Strings are dealt by their nearest context bytes, so that a task has whole subtrees. It hands up their sums at two bytes of
+    context; the driver weights the rest, and a second pass reads the probabilities off.
+    """
+    scratch = scratch or Scratch(counted.sparkSession)
+    split = min(SPLIT, depth)
+    buckets = max(LEAST_BUCKETS, math.ceil(counted.count() / BUCKET_STRINGS))
+    near = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * split)) - 1))
+    dealt = counted.select("code", "n", F.pmod(F.xxhash64(near), F.lit(buckets)).alias("bucket")).groupBy("bucket")
+
+    def climb(group: pd.DataFrame) -> pd.DataFrame:
+        _, (key, *sums) = weigh_strings(group["code"].to_numpy(), group["n"].to_numpy(), depth, split)
+        return pd.DataFrame(dict(zip(("key", "zeros", "ones", "below"), _sum_by(_suffix(key, split - 1), *sums), strict=True)))
+
+    top: dict[int, Nodes] = {}
+    if split:
+        sums = dealt.applyInPandas(climb, "key bigint, zeros double, ones double, below double").groupBy("key").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toArrow()
+        top, _ = weigh_levels(split - 1, 0, *(c.to_numpy() for c in sums.columns))
+    shared = counted.sparkSession.sparkContext.broadcast(top)
+
+    def read_off(group: pd.DataFrame) -> pd.DataFrame:
+        code = group["code"].to_numpy()
+        levels, _ = weigh_strings(code, group["n"].to_numpy(), depth, split)
+        return pd.DataFrame({"code": code, "logp": log_probability(code, shared.value | levels).astype(np.float32)})
+
+    return scratch.write(dealt.applyInPandas(read_off, "code bigint, logp float"), "logp")
 
 
 # --- scoring --------------------------------------------------------------------------------
 
-PART_SCHEMA = "chunk bigint, doc_id bigint, held_out boolean, n_tokens bigint, score double, ids binary, counts binary, token bigint, local_id int, train_count bigint"
+PART_SCHEMA = "chunk bigint, place int, doc_id bigint, held_out boolean, text binary, token bigint, local_id int, code bigint, train_count bigint"
+PART_COLUMNS = [c.split()[0] for c in PART_SCHEMA.split(", ")]
+#: Rows of an Arrow batch of vocabulary or strings.
+PART_ROWS = 100_000
 
 
 def _hash(token: bytes) -> int:
@@ -239,51 +321,75 @@ class _Vocabulary(dict):
         return n
 
 
-def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH, node_share: float = NODE_SHARE) -> DataFrame:
+class _Chunk:
+    """Vocabulary, byte strings and training counts of documents that are kept together."""
+
+    def __init__(self, number: int, depth: int):
+        self.number, self.depth, self.documents, self.bytes = number, depth, 0, 0
+        self.vocabulary = _Vocabulary()
+        self.end = self.vocabulary[b" "]  # no word has a space: the end token
+        self.train = np.zeros(1, np.int64)
+        self.strings: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def words(self, text: bytes) -> np.ndarray:
+        return np.fromiter(map(self.vocabulary.__getitem__, text.split()), np.int32)
+
+    def add(self, texts: list[bytes], held_out: np.ndarray) -> None:
+        seen = [self.words(t) for t in texts]
+        trained = [w for w, out in zip(seen, held_out, strict=True) if not out]
+        train = np.bincount(np.concatenate(trained), minlength=len(self.vocabulary)) if trained else np.zeros(len(self.vocabulary), np.int64)
+        train[self.end] += len(trained)
+        train[: len(self.train)] += self.train
+        self.train = train
+        lo = 0
+        for some in slices(texts, 4_000_000):
+            self.strings.append(count_strings(some, held_out[lo : lo + len(some)], self.depth))
+            lo += len(some)
+        self.documents, self.bytes = self.documents + len(texts), self.bytes + sum(map(len, texts))
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        tokens = np.fromiter(map(_hash, self.vocabulary), np.int64, len(self.vocabulary))
+        codes, n = _sum_by(*map(np.concatenate, zip(*self.strings, strict=True)))
+        words = {"token": tokens, "local_id": np.arange(len(tokens), dtype=np.int32), "train_count": self.train}
+        for part in (words, {"code": codes, "train_count": n.astype(np.int64)}):
+            rows = pd.DataFrame({"chunk": self.number} | part)
+            for i in range(0, len(rows), PART_ROWS):
+                yield rows.iloc[i : i + PART_ROWS].reindex(columns=PART_COLUMNS)
+
+
+def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH) -> DataFrame:
     """Documents (doc_id, text, ...) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Learns from rows whose crc32(doc_id as text) mod ``modulus`` is not ``held``. Token counts cover all
-    training rows: a chunk of documents lists its vocabulary once, the counts are summed over chunks by
-    token and handed back to each chunk; no table of all tokens is ever in one place.
+    Learns from rows whose crc32(doc_id as text) mod ``modulus`` is not ``held``. Counts cover all
+    training rows: a chunk of documents lists its words and byte strings once, their counts are summed over chunks
+    and what the models say of them is handed back to each chunk; no table of all is ever in one place.
 
     Nulls: a null text is empty and has the end token alone; a null id counts as the empty text in
     crc32. Repeated rows are scored each. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", crc_mod(F.col("doc_id"), modulus) == held)
-    tree = fit_tree(src.where(~F.col("held_out")), depth, node_share, scratch)
-    shared = spark.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, part, number = shared.value, TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 32
+        chunk = _Chunk(number, depth)
         for batch in batches:
-            for lo in range(0, len(batch), CHUNK_DOCS):
-                rows = batch.iloc[lo : lo + CHUNK_DOCS]
-                chunk, number = (part << 32) + number, number + 1
-                vocabulary = _Vocabulary()
-                end = vocabulary[b" "]  # no word has a space: the end token
-                texts = [normalise(t) for t in rows["text"]]
-                held_out = rows["held_out"].to_numpy(bool)
-                ids, counts, totals = [], [], []
-                trained: list[np.ndarray] = []
-                for text, out in zip(texts, held_out, strict=True):
-                    local = np.fromiter(map(vocabulary.__getitem__, text.split()), np.int32)
-                    u, n = np.unique(local, return_counts=True)
-                    u, n = np.append(u, end).astype(np.int32), np.append(n, 1).astype(np.int32)
-                    ids.append(u.tobytes())
-                    counts.append((n.astype(np.uint8) if n.max() < 256 else n).tobytes())
-                    totals.append(len(local) + 1)
-                    if not out:
-                        trained.append(np.repeat(u, n))
-                train = np.bincount(np.concatenate(trained), minlength=len(vocabulary)) if trained else np.zeros(len(vocabulary), np.int64)
-                scores = np.concatenate([model.score(some) for some in slices(texts, 2_000_000)]) if texts else np.zeros(0)
-                yield pd.DataFrame({"chunk": chunk, "doc_id": rows["doc_id"].astype("Int64").to_numpy(), "held_out": held_out, "n_tokens": totals, "score": scores, "ids": ids, "counts": counts, "token": None, "local_id": None, "train_count": None})
-                words = pd.DataFrame({"chunk": chunk, "token": np.fromiter(map(_hash, vocabulary), np.int64, len(vocabulary)), "local_id": np.arange(len(vocabulary), dtype=np.int32), "train_count": train.astype(np.int64)})
-                for i in range(0, len(words), 100_000):
-                    yield words.iloc[i : i + 100_000].reindex(columns=["chunk", "doc_id", "held_out", "n_tokens", "score", "ids", "counts", "token", "local_id", "train_count"])
+            if batch.empty:
+                continue
+            texts, held_out = [normalise(t) for t in batch["text"]], batch["held_out"].to_numpy(bool)
+            place = np.arange(chunk.documents, chunk.documents + len(texts), dtype=np.int32)
+            chunk.add(texts, held_out)
+            yield pd.DataFrame({"chunk": chunk.number, "place": place, "doc_id": batch["doc_id"].astype("Int64").to_numpy(), "held_out": held_out, "text": texts}).reindex(columns=PART_COLUMNS)
+            if chunk.bytes >= CHUNK_BYTES:
+                yield from chunk.rows()
+                number += 1
+                chunk = _Chunk(number, depth)
+        if chunk.documents:
+            yield from chunk.rows()
 
     parts = scratch.write(src.mapInPandas(run, PART_SCHEMA), "parts")
+    strings = parts.where(F.col("code").isNotNull()).select("chunk", "code", "train_count")
+    logp = string_scores(scratch.write(strings.groupBy("code").agg(F.sum("train_count").alias("n")), "strings"), depth, scratch)
     words = parts.where(F.col("token").isNotNull()).select("chunk", "token", "local_id", "train_count")
     same = Window.partitionBy("token").orderBy("chunk")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -294,19 +400,27 @@ def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int =
     floor = math.log10(n_train + n_distinct + 1)
 
     def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        places = [np.frombuffer(x, np.int32) for x in left["ids"]]
-        c = np.zeros(max([0, int(right["local_id"].max() + 1) if len(right) else 0, *(int(u.max()) + 1 for u in places)]), np.int64)
-        c[right["local_id"].to_numpy()] = right["c"].to_numpy()
-        gain = np.log10(c + 1.0)
-        known, base = [], []
-        for u, counts in zip(places, left["counts"], strict=True):
-            n = np.frombuffer(counts, np.uint8 if len(counts) == len(u) else np.int32).astype(np.int64)
-            known.append(int(n[c[u] > 0].sum()))
-            base.append(float((n * (gain[u] - floor)).sum()))
-        return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "held_out": left["held_out"].astype(bool), "n_tokens": left["n_tokens"].astype("int64"), "n_known": known, "train_tokens": n_train, "base_score": base, "score": left["score"]})
-
-    documents = parts.where(F.col("token").isNull()).select("chunk", "doc_id", "held_out", "n_tokens", "score", "ids", "counts")
-    back = counted.select("chunk", "local_id", "c")
-    return documents.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(
+        left = left.sort_values("place", kind="stable")
+        texts = left["text"].tolist()
+        chunk = _Chunk(0, depth)
+        seen = [np.append(chunk.words(t), np.int32(chunk.end)) for t in texts]
+        is_word = right["code"].to_numpy() < 0
+        c = np.zeros(len(chunk.vocabulary), np.int64)
+        c[right["local_id"].to_numpy()[is_word]] = right["c"].to_numpy()[is_word]
+        gain = np.log10(c + 1.0) - floor
+        strings, value = pd.Index(right["code"].to_numpy()[~is_word]), right["logp"].to_numpy()[~is_word].astype(float)
+        scores = []
+        for some in slices(texts, 2_000_000):
+            code, first = string_codes(some, depth)
+            scores.append(np.add.reduceat(value[strings.get_indexer(code)], first))
+        return pd.DataFrame({
+            "doc_id": left["doc_id"].astype("Int64"), "held_out": left["held_out"].astype(bool), "n_tokens": [len(w) for w in seen], "n_known": [int((c[w] > 0).sum()) for w in seen],
+            "train_tokens": n_train, "base_score": [float(gain[w].sum()) for w in seen], "score": np.concatenate(scores),
+        })
+
+    documents = parts.where(F.col("text").isNotNull()).select(F.col("chunk").alias("part"), "place", "doc_id", "held_out", "text")
+    back = strings.join(logp.hint("shuffle_hash"), "code").select("chunk", F.lit(-1).alias("local_id"), F.lit(0).cast("bigint").alias("c"), "code", "logp")
+    back = back.unionAll(counted.select("chunk", "local_id", "c", F.lit(-1).cast("bigint").alias("code"), F.lit(0).cast("float").alias("logp")))
+    return documents.groupBy("part").cogroup(back.groupBy("chunk")).applyInPandas(
         merge, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )

@@ -246,3 +246,31 @@ def test_context_tree_equals_sequential_weighting():
             want += math.log10(p if code[k] == "1" else 1 - p)
         before = byte
     assert tree.score([b"ab"])[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_lm_tree_holds_every_context_of_the_corpus(spark):
+    """Distributed scores equal those of a tree of all contexts in one piece, of strings outside the training too."""
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.choice(list(b"abc  de"), rng.integers(0, 60))) for _ in range(40)] + [b"", b"x", "é".encode()]
+    # Rare beside the rest of the corpus: a least share of 1e-5 of all bytes would leave its contexts out.
+    texts += [b"once upon a time", b"a" * 400_000]
+    out = np.arange(len(texts)) % 5 == 2
+    depth = lm.DEPTH
+    codes, n = lm.count_strings(texts, out, depth)
+    levels = []
+    for d in range(depth + 1):
+        ctx, at = np.unique((codes[n > 0] >> 8) & ((1 << 8 * d) - 1), return_inverse=True)
+        counts = np.zeros((len(ctx), 256), np.int64)
+        np.add.at(counts, (at, codes[n > 0] & 255), n[n > 0])
+        levels.append((ctx, counts))
+    table = spark.createDataFrame(list(zip(codes.tolist(), n.tolist())), "code bigint, n bigint")
+    got = {r.code: r.logp for r in lm.string_scores(table).collect()}
+    assert len(got) == len(codes)
+    want = lm.build_tree(levels).score(texts)
+    for text, score in zip(texts, want):
+        code, _ = lm.string_codes([text], depth)
+        assert sum(got[c] for c in code.tolist()) == pytest.approx(score, abs=1e-3 + 1e-7 * len(text))  # build_tree has single precision
+    frame = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    scored = {r.doc_id: r.score for r in lm.score_corpus(frame, modulus=1, held=1).collect()}
+    # Seen once, never sampled away: cheap by the second half of its bytes, whatever else the corpus holds.
+    assert scored[len(texts) - 2] > -16 * 1.5
