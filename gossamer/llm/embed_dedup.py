@@ -1,6 +1,7 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Reference points (pivots) are a hash sample of the vectors. Each vector is described by its nearest pivots
+Reference points (pivots) are vectors of a hash sample that lie far apart, so that a dense group of near copies
+has one pivot and not its share of them. Each vector is described by its nearest pivots
 in order and stands in their inverted lists. Vectors that share enough pivots are candidates; the
 cosine of the original vectors decides. A pair is counted in the list of its smallest shared pivot only.
 """
@@ -22,14 +23,29 @@ from .vectors import by_id, matrix, unit
 COSINE = 0.9
 #: Pivots: twice the root of the number of vectors, between these bounds; a vector stands in NEAREST lists.
 LEAST_PIVOTS, MOST_PIVOTS, NEAREST, SHARED = 64, 4096, 10, 2
+#: Sampled vectors for each pivot that is chosen among them.
+CANDIDATES = 4
 #: Members of a list that are compared with one another in one task.
 BLOCK = 2048
 
 
-def choose_pivots(usable: DataFrame, n: int, width: int) -> np.ndarray:
+def spread(x: np.ndarray, count: int, cosine: float) -> np.ndarray:
+    """Places of up to ``count`` unit vectors, each the farthest from those before; none within ``cosine`` of another."""
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(count, len(x)):
+        at = int(near.argmin())
+        if near[at] >= cosine:
+            break
+        chosen.append(at)
+        near = np.maximum(near, x @ x[at])
+    return np.array(chosen)
+
+
+def choose_pivots(usable: DataFrame, n: int, width: int, cosine: float = COSINE) -> np.ndarray:
     count = min(MOST_PIVOTS, max(LEAST_PIVOTS, round(2 * math.sqrt(n))))
-    rows = usable.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(count).select("embedding").toPandas()
-    return unit(matrix(rows["embedding"], width))
+    rows = usable.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(CANDIDATES * count).select("embedding").toPandas()
+    x = unit(matrix(rows["embedding"], width))
+    return x[spread(x, count, cosine)]
 
 
 def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -86,7 +102,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, nearest: int = N
     n, width = usable.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     if n == 0:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    pivots = choose_pivots(usable, n, width)
+    pivots = choose_pivots(usable, n, width, cosine)
     k = min(nearest, len(pivots))
     need = min(shared, k)
 

@@ -274,3 +274,16 @@ def test_lm_tree_holds_every_context_of_the_corpus(spark):
     scored = {r.doc_id: r.score for r in lm.score_corpus(frame, modulus=1, held=1).collect()}
     # Seen once, never sampled away: cheap by the second half of its bytes, whatever else the corpus holds.
     assert scored[len(texts) - 2] > -16 * 1.5
+
+
+def test_a_hot_third_of_near_copies_is_linked(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 64))
+    centre = rng.normal(size=64)
+    x[:1000] = centre / np.linalg.norm(centre) + rng.normal(size=(1000, 64)) * 0.03 / 8
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    got = embed_dedup.near_duplicates(frame).toPandas().set_index("vec_id").sort_index()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert (got["n_links"] <= want).all() and got["n_links"].sum() >= 0.9995 * want.sum()
+    assert (got["component_id"][:1000] == 0).all()
