@@ -287,3 +287,12 @@ def test_a_hot_third_of_near_copies_is_linked(spark):
     want = (unit @ unit.T >= 0.9).sum(1) - 1
     assert (got["n_links"] <= want).all() and got["n_links"].sum() >= 0.9995 * want.sum()
     assert (got["component_id"][:1000] == 0).all()
+
+
+def test_encoders_agree_on_very_long_white_space():
+    import public_tokenizers
+
+    ranks, file = packing.Encoder(), packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for run in (" " * 1_000_000, "\n" * 1_000_000, "\u3000 \t" * 333_334, "\x1c" * 1_000_000):
+        for text in (run, f"one{run}two", f"'s {run}", f"{run}x  y{run} \n"):
+            assert ranks(text) == file(text)
