@@ -144,3 +144,10 @@ def test_exports_are_listed_and_bundled(spark, tmp_path):
     (tmp_path / "other.txt").write_text("y")
     assert sinks.bundle(str(tmp_path), str(tmp_path / "sealed-bundle.zip")) == ["autopsy.md", "other.txt"]
     assert {r.kind for r in sinks.export_listing(spark, str(tmp_path)).collect()} == {"autopsy-md", "bundle"}
+
+
+def test_script_findings_do_not_depend_on_the_blanks_before_a_sign(spark):
+    bodies = ['token' + " " * 30 + '= "abcdef123"', 'apiKey\t   = "abcdef123"', 'ſecret = "abcdef123"', "view" + " " * 30 + ': "home"', "view = 'home'"]
+    frame = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "url string, body string")
+    got = sorted((r.url, r.kind, r.value) for r in extract.js_intel(frame, ("token", "view")).collect())
+    assert got == [("0", "token", "abcdef123"), ("1", "token", "abcdef123"), ("2", "token", "abcdef123"), ("3", "view", "home"), ("4", "view", "home")]
