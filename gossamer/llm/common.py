@@ -60,13 +60,13 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/gossamer-{uuid.uuid4().hex}"
         self.paths: list[str] = []
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}-{len(self.paths)}"
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(key)
         self.spark.conf.set(key, BATCH_ROWS)
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, compression=compression)
         finally:
             self.spark.conf.set(key, before)
         self.paths.append(path)

@@ -387,7 +387,7 @@ def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int =
         if chunk.documents:
             yield from chunk.rows()
 
-    parts = scratch.write(src.mapInPandas(run, PART_SCHEMA), "parts")
+    parts = scratch.write(src.mapInPandas(run, PART_SCHEMA), "parts", "zstd")  # texts, words and strings: most of the disk
     strings = parts.where(F.col("code").isNotNull()).select("chunk", "code", "train_count")
     logp = string_scores(scratch.write(strings.groupBy("code").agg(F.sum("train_count").alias("n")), "strings"), depth, scratch)
     words = parts.where(F.col("token").isNotNull()).select("chunk", "token", "local_id", "train_count")
