@@ -33,6 +33,8 @@ def scratch_root(spark: SparkSession) -> str:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = existing.get() if existing.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="gossamer-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -40,6 +42,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 #: Rows of an Arrow batch while intermediate tables are written: texts and shingle sets are wide rows.
 BATCH_ROWS = "1000"
+#: Rows of ids, keys or links that a task writes.
+LIGHT_ROWS = 500_000
 #: Ids or sources that are sent to all executors; above it the join shuffles both sides.
 BROADCAST_ROWS = 500_000
 
@@ -49,10 +53,28 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def hot_bound(rows: int) -> int:
+    """Rows of one key beyond which the key is hot: no more than 5000 keys of a table can be, so a row for each can be sent everywhere."""
+    return max(500, rows // 5_000)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows joined with ``groups``, which has a row per key with the number ``n`` of the key's rows.
+
+    Groups of hot keys are broadcast, at most 5000 of them, so that their rows stay where they are; others meet by key. Both tables
+    are read twice and should be written ones.
+    """
+    bound = hot_bound(rows.count())
+    hot = F.broadcast(groups.where(F.col("n") > bound))
+    cold = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col("n") <= bound), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 class Scratch:
     """Written intermediate tables in the shared folder; they cut lineage and survive lost executors.
 
-    ``drop()`` removes those written so far, once what reads them has been written in its turn.
+    ``drop()`` removes those written so far, once what reads them has been written in its turn; what is
+    left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -60,7 +82,11 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/gossamer-{uuid.uuid4().hex}"
         self.paths: list[str] = []
 
-    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str = "snappy", rows: int | None = None, per_file: int = LIGHT_ROWS) -> DataFrame:
+        """df as a written table. Where the number of its ``rows`` is known at least roughly, it is written by a task for
+        each ``per_file`` of them, but not by fewer tasks than cores: many tiny files cost more than their rows."""
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // per_file)))
         path = f"{self.root}/{name}-{len(self.paths)}"
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(key)
@@ -69,6 +95,9 @@ class Scratch:
             df.write.parquet(path, compression=compression)
         finally:
             self.spark.conf.set(key, before)
+        if not self.paths:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(p)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

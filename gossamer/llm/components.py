@@ -76,27 +76,28 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     factor on average, until there are so few that one task joins them. Only their number comes
     to the driver.
     """
-    left = scratch.write(forest(edges.where("a != b")), "edges")
+    n = edges.count()
+    left = scratch.write(forest(edges.where("a != b")), "edges", rows=n)
     labels: DataFrame | None = None
     turn = 0
     while n := left.count():
         turn += 1
         if n <= LOCAL_EDGES:
-            step = scratch.write(rooted(left), f"step{turn}")
+            step = scratch.write(rooted(left), f"step{turn}", rows=n)
             labels = step if labels is None else _onward(labels, step)
             break
         rank = lambda c, k=turn: F.xxhash64(F.lit(k), c)
         both = left.select("a", "b").unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("id"))).alias("m"))
         step = best.select(F.col("a").alias("id"), F.when(F.col("m") < F.struct(rank(F.col("a")).alias("r"), F.col("a").alias("id")), F.col("m.id")).otherwise(F.col("a")).alias("label"))
-        step = scratch.write(step, f"step{turn}")
+        step = scratch.write(step, f"step{turn}", rows=2 * n)
         la, lb = step.select(F.col("id").alias("a"), F.col("label").alias("la")), step.select(F.col("id").alias("b"), F.col("label").alias("lb"))
         shrunk = left.join(la, "a").join(lb, "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-        left = scratch.write(forest(shrunk), "edges")
+        left = scratch.write(forest(shrunk), "edges", rows=n)
         if labels is None:
             labels = step
         else:
-            labels = scratch.write(_onward(labels, step), "labels")
+            labels = scratch.write(_onward(labels, step), "labels", rows=labels.count())
     if labels is None:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
     least = labels.groupBy("label").agg(F.min("id").alias("component"))

@@ -1,9 +1,10 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF word shingles.
 
-A shingle is five consecutive words (all words of a shorter text). It weighs its count in the text times
-an idf that is constant for shingles in less than ``IDF_SHARE`` of the documents and falls with the
-logarithm of the document frequency above that. The shingles above are few whatever the corpus, so
-their exact frequencies can be sent everywhere. Equal bands of weighted samples propose pairs;
+A shingle is five consecutive words (all words of a shorter text). It weighs its count in the text times an idf
+of (1 + ln(1/f) / ln(1/IDF_SHARE)) / 2 for a document frequency f, at most 1: shingles in less than
+``IDF_SHARE`` of the documents all weigh 1, one in every document weighs a half. The shingles above the share are few whatever the
+corpus, so their exact frequencies can be sent everywhere; and a group of copies, however large,
+does not push its own members apart, as an unbounded idf does. Equal bands of weighted samples propose pairs;
 the weighted Jaccard similarity of the whole texts decides them.
 """
 
@@ -14,17 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_side
-from .components import UnionFind, connected_components
+from .common import Scratch, hot_bound, join_groups, small_side
+from .components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 IDF_SHARE = 0.01
-#: Documents of a bucket that are compared with one another in one task.
-BLOCK = 64
+#: Documents of a bucket that are compared with as many others in one task.
+BLOCK = 256
+#: A bucket with more members outside its main component is first compared with so many pivots, round by round.
+CROWD, PIVOTS = 256, 8
+#: Shingles of one count of frequent ones; sets and pairs of sets that a task writes or compares.
+COUNTED, SETS = 4_000_000, 20_000
 
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -106,24 +112,29 @@ def _slices(texts: list[bytes], limit: int = 1_000_000) -> Iterator[tuple[int, l
 def frequent_shingles(docs: DataFrame, share: float = IDF_SHARE) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of documents with words, and the shingles in at least ``share`` of them with their exact document frequencies.
 
-    First each partition tells the shingles that half the share of its own documents hold. A shingle
+    First each run of some ``COUNTED`` shingles tells those that half the share of its own documents hold. A shingle
     above the share over all documents is told often enough that the sum reaches half the share, and no
     more than twice the mean number of shingles over the share can do so. Then those are counted exactly.
     """
 
+    def often(held: list[np.ndarray]) -> pd.DataFrame:
+        u, c = np.unique(np.concatenate(held), return_counts=True)
+        told = c >= math.ceil(share / 2 * len(held))
+        return pd.DataFrame({"shingle": np.append(u[told].view(np.int64), 0), "n": np.append(c[told], 0), "docs": np.append(np.zeros(told.sum(), np.int64), len(held))})
+
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
+        held, size = [], 0
         for batch in batches:
             for _, some in _slices([normalise(t) for t in batch["text"]]):
                 for hashes, _ in text_shingles(some):
                     if len(hashes):
                         held.append(hashes)
-                        n += 1
-        if n:
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= math.ceil(share / 2 * n)
-            yield pd.DataFrame({"shingle": u[often].view(np.int64), "n": c[often], "docs": 0})
-            yield pd.DataFrame({"shingle": np.zeros(1, np.int64), "n": np.zeros(1, np.int64), "docs": [n]})
+                        size += len(hashes)
+                        if size >= COUNTED:
+                            yield often(held)
+                            held, size = [], 0
+        if held:
+            yield often(held)
 
     parts = docs.select("text").mapInPandas(told, "shingle bigint, n bigint, docs bigint")
     scratch = Scratch(docs.sparkSession)
@@ -152,12 +163,11 @@ def frequent_shingles(docs: DataFrame, share: float = IDF_SHARE) -> tuple[int, n
 
 
 class Weigher:
-    """Weights of a text's shingles: count times idf, the idf in units of the rare shingles' own."""
+    """Weights of a text's shingles: count times idf, which is 1 for the rare ones."""
 
     def __init__(self, total: int, shingles: np.ndarray, frequency: np.ndarray, share: float = IDF_SHARE):
         self.shingles = shingles
-        # ln(1/f) falls to 0 for a shingle of all documents; a small floor keeps each weight positive.
-        self.idf = np.maximum(np.log(max(total, 1) / np.maximum(frequency, 1)) / math.log(1 / share), 0.01)
+        self.idf = (1 + np.log(max(total, 1) / np.maximum(frequency, 1)) / math.log(1 / share)) / 2
 
     def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weight = counts.astype(np.float64)
@@ -253,7 +263,7 @@ def unpack_set(blob: bytes, odd: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, weigher: Weigher) -> DataFrame:
-    """(doc_id, keys array<bigint>, blob, odd) of the documents that have words and an id."""
+    """(doc_id, keys array<bigint>, same, blob, odd) of the documents that have words and an id; ``same`` is a digest of the weighted set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -263,17 +273,39 @@ def signatures(docs: DataFrame, weigher: Weigher) -> DataFrame:
                 for i, (hashes, counts) in enumerate(text_shingles(some)):
                     if len(hashes):
                         weight = weigher(hashes, counts)
-                        rows.append((int(ids[lo + i]), band_keys(weighted_samples(hashes, weight)).view(np.int64), *pack_set(hashes, weight)))
-                yield pd.DataFrame(rows, columns=["doc_id", "keys", "blob", "odd"])
+                        blob, odd = pack_set(hashes, weight)
+                        same = xxhash.xxh3_128_digest(len(odd).to_bytes(8) + odd + blob)
+                        rows.append((int(ids[lo + i]), band_keys(weighted_samples(hashes, weight)).view(np.int64), same, blob, odd))
+                yield pd.DataFrame(rows, columns=["doc_id", "keys", "same", "blob", "odd"])
 
-    return docs.mapInPandas(run, "doc_id bigint, keys array<bigint>, blob binary, odd binary")
+    return docs.mapInPandas(run, "doc_id bigint, keys array<bigint>, same binary, blob binary, odd binary")
 
 
 # --- pairs ----------------------------------------------------------------------------------
 
 
+class Sets:
+    """Weighted sets of one task over common places, to be held against one another a row at a time."""
+
+    def __init__(self, packed: list[tuple[np.ndarray, np.ndarray]]):
+        size = np.fromiter((len(h) for h, _ in packed), np.int64, len(packed))
+        self.start = np.concatenate([[0], np.cumsum(size)])
+        shingles, self.place = np.unique(np.concatenate([h for h, _ in packed]), return_inverse=True)
+        self.weight = np.concatenate([w for _, w in packed])
+        self.whole = np.add.reduceat(self.weight, self.start[:-1])
+        self.dense = np.zeros(len(shingles))
+
+    def similarity(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """Weighted Jaccard similarity of set i with the sets lo..hi."""
+        own, at = slice(self.start[i], self.start[i + 1]), slice(self.start[lo], self.start[hi])
+        self.dense[self.place[own]] = self.weight[own]
+        least = np.add.reduceat(np.minimum(self.dense[self.place[at]], self.weight[at]), self.start[lo:hi] - self.start[lo])
+        self.dense[self.place[own]] = 0
+        return least / (self.whole[i] + self.whole[lo:hi] - least)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the similarity."""
+    """Those of the pairs (a, b) whose sets reach the similarity. The set of an ``a`` of very many pairs is dealt to several tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -283,50 +315,97 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             ]
             yield batch.loc[keep, ["a", "b"]]
 
+    bound = hot_bound(pairs.count())
+    hot = F.broadcast(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(bound)).alias("parts")).where("parts > 1"))
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("blob").alias(f"blob_{k}"), F.col("odd").alias(f"odd_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a bigint, b bigint")
+    parts = F.coalesce("parts", F.lit(1))
+    asked = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
+    dealt = side("a").join(hot, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("parts")
+    # Merge joins at every size: a side that is small enough to broadcast here says nothing of its size elsewhere.
+    return asked.hint("merge").join(side("b"), "b").hint("merge").join(dealt, ["a", "part"]).mapInPandas(run, "a bigint, b bigint")
+
+
+def _mixed(members: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of buckets that hold several components: key, doc_id, component, main, n_main, n_rest.
+
+    ``main`` marks the bucket's largest component if it has more than one member.
+    """
+    placed = members.where("n > 2").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    n = members.count()
+    placed = scratch.write(placed, "placed", rows=n)
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    mains = mains.select("key", "n", F.col("m.component").alias("most"), F.when(F.col("m.n") > 1, F.col("m.n")).otherwise(F.lit(0)).alias("n_main"))
+    mixed = join_groups(placed, scratch.write(mains, "mains", rows=n), "key")
+    return mixed.select("key", "doc_id", "component", ((F.col("component") == F.col("most")) & (F.col("n_main") > 0)).alias("main"), "n_main", (F.col("n") - F.col("n_main")).alias("n_rest"))
+
+
+def _pivot_pairs(crowded: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
+    """Pairs of each member with the bucket's ``PIVOTS`` drawn members of other components."""
+    drawn = [F.min_by(F.struct("doc_id", "component"), F.xxhash64(F.lit(turn), F.lit(k), "doc_id")) for k in range(PIVOTS)]
+    pivots = crowded.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*drawn)).alias("pivots"))
+    pairs = join_groups(crowded.select("key", "doc_id", "component"), scratch.write(pivots, "pivots", rows=crowded.count()), "key").withColumn("p", F.explode(F.filter("pivots", lambda p: p["component"] != F.col("component"))))
+    return pairs.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
 
 
 def _cross_links(mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between members of one bucket that are in different components yet: (band key, doc_id, component, main).
+    """Links between members of one bucket that are in different components yet.
 
-    ``main`` marks the bucket's largest component. The others are taken in blocks against each other
-    and against the blocks of main, so no task holds more than two blocks.
+    Members outside the main component are taken in blocks against each other and against the blocks of
+    main, so no task holds more than two blocks.
     """
     block = lambda n: F.pmod(F.xxhash64(F.lit("block"), "doc_id"), n)
     sized = mixed.withColumn("blocks_main", F.ceil(F.col("n_main") / BLOCK)).withColumn("blocks_rest", F.greatest(F.ceil(F.col("n_rest") / BLOCK), F.lit(1)))
     own = F.when(F.col("main"), block(F.greatest("blocks_main", F.lit(1)))).otherwise(block(F.col("blocks_rest")))
     sized = sized.withColumn("own", own)
-    others = F.sequence(F.lit(0).cast("bigint"), F.col("blocks_rest") - 1)
-    to_main = F.when(F.col("main"), F.transform(others, lambda i: F.struct(i.alias("i"), F.lit(True).alias("m"), F.col("own").alias("j"))))
-    rest_main = F.when(F.col("blocks_main") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest("blocks_main", F.lit(1)) - 1), lambda j: F.struct(F.col("own").alias("i"), F.lit(True).alias("m"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,m:boolean,j:bigint>>"))
-    rest_rest = F.transform(others, lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.lit(False).alias("m"), F.greatest(i, F.col("own")).alias("j")))
-    cells = sized.select("key", "doc_id", "component", F.explode(F.when(F.col("main"), to_main).otherwise(F.concat(rest_main, rest_rest))).alias("cell"))
-    with_sets = cells.join(sets.select("doc_id", "blob", "odd"), "doc_id")
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    # A main block meets each block of the others; their own pairs ride along with the first main block they meet.
+    cell = lambda i, j, m: F.struct(i.alias("i"), j.alias("j"), m.alias("m"))
+    to_main = F.transform(upto(F.col("blocks_rest")), lambda i: cell(i, F.col("own"), F.lit(True)))
+    with_main = F.transform(F.when(F.col("blocks_main") > 0, upto(F.greatest("blocks_main", F.lit(1)))).otherwise(F.array().cast("array<bigint>")), lambda j: cell(F.col("own"), j, F.lit(True)))
+    rest_rest = F.transform(upto(F.col("blocks_rest")), lambda i: cell(F.least(i, F.col("own")), F.greatest(i, F.col("own")), F.lit(False)))
+    cells = sized.select("key", "doc_id", "component", "main", "own", F.explode(F.when(F.col("main"), to_main).otherwise(F.concat(with_main, rest_rest))).alias("cell"))
+    with_sets = cells.hint("merge").join(sets.select("doc_id", "blob", "odd"), "doc_id")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, parts = group["doc_id"].tolist(), [unpack_set(x, y) for x, y in zip(group["blob"], group["odd"], strict=True)]
-        sets_ = UnionFind()
-        comps, out = group["component"].tolist(), []
-        for i in range(len(ids)):
-            for j in range(i):
-                if sets_.root(comps[i]) != sets_.root(comps[j]) and weighted_jaccard(parts[i], parts[j]) >= similarity:
-                    sets_.join(comps[i], comps[j])
-                    out.append((ids[i], ids[j]))
+        cell = group["cell"].iloc[0]
+        # The left block first, so that the right one is a range.
+        right = group["main"].to_numpy() if cell["m"] else group["own"].to_numpy() == cell["j"]
+        group = group.iloc[np.argsort(right, kind="stable")]
+        ids, comp = group["doc_id"].to_numpy(), np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        n, n_left = len(ids), int((~right).sum())
+        whole = not cell["m"] and cell["i"] == cell["j"]
+        out: list[tuple[int, int]] = []
+        if whole and n > 1 or not whole and 0 < n_left < n:
+            sets_ = Sets([unpack_set(x, y) for x, y in zip(group["blob"], group["odd"], strict=True)])
+            for i in range(n - 1 if whole else n_left):
+                lo = i + 1 if whole else n_left
+                if (comp[lo:] == comp[i]).all():
+                    continue
+                near = lo + np.flatnonzero((sets_.similarity(i, lo, n) >= similarity) & (comp[lo:] != comp[i]))
+                for j in near.tolist():
+                    if comp[j] != comp[i]:
+                        comp[comp == comp[j]] = comp[i]
+                        out.append((ids[i], ids[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return with_sets.groupBy("key", "cell").applyInPandas(compare, "a bigint, b bigint")
 
 
+def _stars(classes: DataFrame) -> DataFrame:
+    return classes.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, idf_share: float = IDF_SHARE) -> DataFrame:
     """Documents (doc_id, text, ...) -> a row per document id: doc_id, component_id, kept.
 
     component_id is the smallest id of the class; kept marks that document. Classes are the connected
     components of pairs with weighted Jaccard similarity of at least ``similarity``.
 
-    First every member of a bucket is compared with its smallest member. Buckets that then still hold
-    several components are compared in full, block by block, skipping pairs already in one component, so
-    that no link between buckets' members is lost and no group is ever paired out.
+    Documents of equal sets are one from the start, the one with the smallest id. Every member of a bucket is compared with its
+    smallest member. Buckets that then still hold many members of other components than their largest are compared with
+    drawn pivots, as often as that halves them; what is left is compared in full with the rest of its bucket, block by block,
+    but for pairs already in one component. So the work grows with the square of a bucket only where its members are unlike.
 
     Nulls: texts that are null, empty or white space have no shingles and form classes of their own;
     rows with a null id are left out (they cannot be named). Rows of one id are one document that has all
@@ -335,31 +414,46 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, idf_share:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    weigher = Weigher(*frequent_shingles(src, idf_share), idf_share)
+    total, *frequent = frequent_shingles(src, idf_share)
+    weigher = Weigher(total, *frequent, idf_share)
     made = scratch.write(signatures(src, weigher), "signatures")
-    bands = made.select("doc_id", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("a != top")
-    members = scratch.write(bands.join(buckets.select("key", "a", "n"), "key"), "members")
-    pairs = members.where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    named = made.select("doc_id", "same")
+    copies = scratch.write(named.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies", rows=total)
+    copied = scratch.write(join_groups(named, copies, "same").select("doc_id", "first"), "copied", rows=total)
+    again = copied.where("doc_id != first").select("doc_id").distinct()
+    # An id of several rows may stand for one text and copy another: such ids stay and are linked with what they copy.
+    several = scratch.write(named.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several", rows=total)
+    gone = scratch.write(again.join(several, "doc_id", "left_anti"), "gone", rows=total)
+    bands = scratch.write(made.select("doc_id", "keys").join(gone, "doc_id", "left_anti").select("doc_id", F.explode(F.array_distinct("keys")).alias("key")).distinct(), "bands", rows=total * BANDS)
+    buckets = scratch.write(bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "buckets", rows=total * BANDS)
+    members = scratch.write(join_groups(bands, buckets, "key"), "members", rows=total * BANDS)
+    n = members.count()
+    pairs = scratch.write(members.where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "pairs", rows=n)
     needed = members.select("doc_id").distinct()
-    sets = scratch.write(made.select("doc_id", "blob", "odd").join(needed, "doc_id", "left_semi"), "sets")
-    links = scratch.write(_verified(pairs, sets, similarity), "links")
-    first = scratch.write(connected_components(links, scratch), "first")
-    placed = members.where("n > 2").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mains = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = placed.join(mains.select("key", F.col("m.component").alias("mc"), F.when(F.col("m.n") > 1, F.col("m.n")).otherwise(F.lit(0)).alias("n_main"), F.col("n").alias("n_all")), "key")
-    mixed = mixed.select("key", "doc_id", "component", ((F.col("component") == F.col("mc")) & (F.col("n_main") > 0)).alias("main"), "n_main", (F.col("n_all") - F.col("n_main")).alias("n_rest"))
-    more = scratch.write(_cross_links(mixed, sets, similarity), "more")
-    if more.isEmpty():
-        classes = first
-    else:
-        stars = first.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        classes = connected_components(stars.unionByName(more), scratch)
-    classes = scratch.write(classes, "classes")
+    sets = scratch.write(made.select("doc_id", "blob", "odd").join(needed.hint("merge"), "doc_id", "left_semi"), "sets", rows=min(n, total), per_file=SETS)
+    links = _verified(pairs, sets, similarity).unionByName(copied.join(several, "doc_id").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    classes = scratch.write(connected_components(scratch.write(links, "links", rows=pairs.count(), per_file=SETS), scratch), "classes", rows=n)
+    crowd, turn = math.inf, 0
+    while True:
+        mixed = scratch.write(_mixed(members, classes, scratch), "mixed", rows=n)
+        left = mixed.where((F.col("n_rest") > CROWD) & ~F.col("main")).count()
+        if left == 0 or left > crowd / 2:
+            break
+        crowd, turn = left, turn + 1
+        pairs = scratch.write(_pivot_pairs(mixed.where(F.col("n_rest") > CROWD), turn, scratch), "pairs", rows=left * PIVOTS)
+        found = scratch.write(_verified(pairs, sets, similarity), "found", rows=pairs.count(), per_file=SETS)
+        classes = scratch.write(connected_components(_stars(classes).unionByName(found), scratch), "classes", rows=n)
+    more = scratch.write(_cross_links(mixed, sets, similarity), "more", rows=mixed.count(), per_file=SETS)
+    if not more.isEmpty():
+        classes = scratch.write(connected_components(_stars(classes).unionByName(more), scratch), "classes", rows=n)
+    known = classes.select(F.col("id").alias("first"), "component")
+    by_text = scratch.write(copies.join(known, "first", "left").select("same", "n", F.coalesce("component", "first").alias("component")), "by_text", rows=total)
+    of_copies = join_groups(named, by_text, "same").join(several, "doc_id", "left_anti").select("doc_id", "component")
+    rest = classes.select(F.col("id").alias("doc_id"), "component").join(copied.join(several, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_anti")
+    labels = scratch.write(of_copies.unionByName(rest), "labels", rows=total)
     scratch.drop(keep=1)
     ids = src.select("doc_id").distinct()
-    out = ids.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    out = ids.join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
