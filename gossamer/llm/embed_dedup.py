@@ -1,7 +1,7 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Reference points (pivots) are vectors of a hash sample that lie far apart, so that a dense group of near copies
-has one pivot and not its share of them. Each vector is described by its nearest pivots
+Reference points (pivots) are vectors of a hash sample, none within the link cosine of another, so that a dense group of near copies
+has one pivot and not its share of them. Equal vectors are one, with their number. Each vector is described by its nearest pivots
 in order and stands in their inverted lists. Vectors that share enough pivots are candidates; the
 cosine of the original vectors decides. A pair is counted in the list of its smallest shared pivot only.
 """
@@ -16,29 +16,45 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_groups
 from .components import connected_components
 from .vectors import by_id, matrix, unit
 
 COSINE = 0.9
-#: Pivots: twice the root of the number of vectors, between these bounds; a vector stands in NEAREST lists.
-LEAST_PIVOTS, MOST_PIVOTS, NEAREST, SHARED = 64, 4096, 10, 2
-#: Sampled vectors for each pivot that is chosen among them.
-CANDIDATES = 4
+#: Pivots: twice the root of the number of vectors, between these bounds; a vector stands in NEAREST lists. All pivots are sent
+#: everywhere, at most 65,536 vectors, as many as a thousand million vectors have.
+LEAST_PIVOTS, MOST_PIVOTS, NEAREST, SHARED = 64, 65_536, 10, 2
+#: Sampled vectors for each pivot that is chosen among them; cosines held at once while pivots are chosen and looked up.
+CANDIDATES, CELLS = 4, 4_000_000
 #: Members of a list that are compared with one another in one task.
 BLOCK = 2048
 
 
 def spread(x: np.ndarray, count: int, cosine: float) -> np.ndarray:
-    """Places of up to ``count`` unit vectors, each the farthest from those before; none within ``cosine`` of another."""
-    chosen, near = [0], x @ x[0]
-    while len(chosen) < min(count, len(x)):
-        at = int(near.argmin())
-        if near[at] >= cosine:
-            break
-        chosen.append(at)
-        near = np.maximum(near, x @ x[at])
-    return np.array(chosen)
+    """Places of the first ``count`` unit vectors of which none is within ``cosine`` of one before."""
+    chosen = np.zeros(min(count, len(x)), np.int64)
+    n, step = 0, max(1, min(1024, CELLS // count))
+    for lo in range(0, len(x), step):
+        some = x[lo : lo + step]
+        free = (some @ x[chosen[:n]].T < cosine).all(1) if n else np.ones(len(some), bool)
+        within = some @ some.T >= cosine
+        for i in range(len(some)):
+            if free[i]:
+                if n == len(chosen):
+                    return chosen
+                chosen[n] = lo + i
+                n += 1
+                free[i + 1 :] &= ~within[i, i + 1 :]
+    return chosen[:n]
+
+
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
+    """Places of each vector's k nearest pivots, nearest first, ties to the smaller place."""
+    out = np.empty((len(x), k), np.int64)
+    step = max(1, CELLS // len(pivots))
+    for lo in range(0, len(x), step):
+        out[lo : lo + step] = np.argsort(-(x[lo : lo + step] @ pivots.T), axis=1, kind="stable")[:, :k]
+    return out
 
 
 def choose_pivots(usable: DataFrame, n: int, width: int, cosine: float = COSINE) -> np.ndarray:
@@ -89,7 +105,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, nearest: int = N
     Links are pairs with a cosine of at least ``cosine`` in double precision; n_links counts an id's,
     component_id is the smallest id reachable over them, kept marks that one. A long list is split into
     blocks that meet pairwise, so a task holds two blocks whatever a pivot attracts; only counts and a spanning
-    forest leave it, never the pairs.
+    forest leave it, never the pairs. n_links is exact, so a dense group of different vectors costs the square of their number.
 
     Nulls: vectors that are null, empty, zero or hold null or non-finite components link with nothing. Rows
     with a null id are left out; rows of one id count once, by their smallest vector. Vectors of
@@ -98,7 +114,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, nearest: int = N
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     rows = scratch.write(by_id(vectors), "vectors")
-    usable = rows.where("usable").select("vec_id", "embedding")
+    texts = scratch.write(rows.where("usable").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "texts")
+    usable = texts.select("vec_id", "embedding", F.col("n").alias("copies"))
     n, width = usable.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     if n == 0:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -109,16 +126,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, nearest: int = N
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = unit(matrix(batch["embedding"], width))
-            order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "unit": [r.tobytes() for r in x], "near": list(order.astype(np.int64))})
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "copies": batch["copies"], "unit": [r.tobytes() for r in x], "near": list(nearest_pivots(x, pivots, k))})
 
-    described = scratch.write(usable.mapInPandas(describe, "vec_id bigint, unit binary, near array<bigint>"), "described")
-    lists = described.select("vec_id", "unit", "near", F.explode("near").alias("pivot"))
+    described = scratch.write(usable.mapInPandas(describe, "vec_id bigint, copies bigint, unit binary, near array<bigint>"), "described")
+    lists = described.select("vec_id", "copies", "unit", "near", F.explode("near").alias("pivot"))
     sizes = lists.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))  # a row per pivot
     placed = lists.join(F.broadcast(sizes), "pivot").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     other = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
-    cells = placed.select("vec_id", "unit", "near", "pivot", "own", F.explode(other).alias("with")).select(
-        "vec_id", "unit", "near", "pivot", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")
+    cells = placed.select("vec_id", "copies", "unit", "near", "pivot", "own", F.explode(other).alias("with")).select(
+        "vec_id", "copies", "unit", "near", "pivot", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -131,15 +147,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, nearest: int = N
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             a, b = linked_pairs(x[left], x[right], near[left], near[right], pivot, cosine, need, False)
             a, b = left[a], right[b]
-        count = np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))
+        copies = group["copies"].to_numpy()
+        count = (np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))).astype(np.int64)
         ids = group["vec_id"].to_numpy()
         some = np.flatnonzero(count)
         return pd.DataFrame({"vec_id": ids[some], "n": count[some], "root": ids[labels_of(len(x), a, b)[some]]})
 
     found = scratch.write(cells.groupBy("pivot", "i", "j").applyInPandas(compare, "vec_id bigint, n bigint, root bigint"), "found")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    counts = found.groupBy("vec_id").agg(F.sum("n").alias("linked"))
     edges = found.where("vec_id != root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")).distinct()
     classes = connected_components(edges, scratch).withColumnRenamed("id", "vec_id")
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(classes, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    # What holds for the first of equal vectors holds for all of them.
+    told = texts.join(counts, "vec_id", "left").join(classes, "vec_id", "left")
+    told = told.select("embedding", "n", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    mine = join_groups(rows.where("usable").select("vec_id", "embedding"), scratch.write(told, "told"), "embedding").select("vec_id", "n_links", "component_id")
+    alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return mine.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
