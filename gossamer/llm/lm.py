@@ -305,7 +305,7 @@ def string_scores(counted: DataFrame, depth: int = DEPTH, scratch: Scratch | Non
 
 # --- scoring --------------------------------------------------------------------------------
 
-PART_SCHEMA = "chunk bigint, place int, doc_id bigint, held_out boolean, text binary, token bigint, local_id int, code bigint, train_count bigint"
+PART_SCHEMA = "chunk bigint, place int, doc_id bigint, nameless boolean, held_out boolean, text binary, token bigint, local_id int, code bigint, train_count bigint"
 PART_COLUMNS = [c.split()[0] for c in PART_SCHEMA.split(", ")]
 #: Rows of an Arrow batch of vocabulary or strings.
 PART_ROWS = 100_000
@@ -358,7 +358,7 @@ class _Chunk:
 
 
 def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH) -> DataFrame:
-    """Documents (doc_id, text, ...) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+    """Documents (doc_id, text, ...) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(doc_id as text) mod ``modulus`` is not ``held``. Counts cover all
     training rows: a chunk of documents lists its words and byte strings once, their counts are summed over chunks
@@ -369,6 +369,8 @@ def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int =
     """
     scratch = Scratch(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", crc_mod(F.col("doc_id"), modulus) == held)
+    # No id is null on the way: pandas would round those beside it.
+    src = src.withColumn("nameless", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
@@ -379,7 +381,7 @@ def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int =
             texts, held_out = [normalise(t) for t in batch["text"]], batch["held_out"].to_numpy(bool)
             place = np.arange(chunk.documents, chunk.documents + len(texts), dtype=np.int32)
             chunk.add(texts, held_out)
-            yield pd.DataFrame({"chunk": chunk.number, "place": place, "doc_id": batch["doc_id"].astype("Int64").to_numpy(), "held_out": held_out, "text": texts}).reindex(columns=PART_COLUMNS)
+            yield pd.DataFrame({"chunk": chunk.number, "place": place, "doc_id": batch["doc_id"].to_numpy(), "nameless": batch["nameless"].to_numpy(bool), "held_out": held_out, "text": texts}).reindex(columns=PART_COLUMNS)
             if chunk.bytes >= CHUNK_BYTES:
                 yield from chunk.rows()
                 number += 1
@@ -414,13 +416,14 @@ def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int =
             code, first = string_codes(some, depth)
             scores.append(np.add.reduceat(value[strings.get_indexer(code)], first))
         return pd.DataFrame({
-            "doc_id": left["doc_id"].astype("Int64"), "held_out": left["held_out"].astype(bool), "n_tokens": [len(w) for w in seen], "n_known": [int((c[w] > 0).sum()) for w in seen],
+            "doc_id": left["doc_id"].astype("int64"), "nameless": left["nameless"].astype(bool), "held_out": left["held_out"].astype(bool), "n_tokens": [len(w) for w in seen], "n_known": [int((c[w] > 0).sum()) for w in seen],
             "train_tokens": n_train, "base_score": [float(gain[w].sum()) for w in seen], "score": np.concatenate(scores),
         })
 
-    documents = parts.where(F.col("text").isNotNull()).select(F.col("chunk").alias("part"), "place", "doc_id", "held_out", "text")
+    documents = parts.where(F.col("text").isNotNull()).select(F.col("chunk").alias("part"), "place", "doc_id", "nameless", "held_out", "text")
     back = strings.join(logp.hint("shuffle_hash"), "code").select("chunk", F.lit(-1).alias("local_id"), F.lit(0).cast("bigint").alias("c"), "code", "logp")
     back = back.unionAll(counted.select("chunk", "local_id", "c", F.lit(-1).cast("bigint").alias("code"), F.lit(0).cast("float").alias("logp")))
-    return documents.groupBy("part").cogroup(back.groupBy("chunk")).applyInPandas(
-        merge, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    scored = documents.groupBy("part").cogroup(back.groupBy("chunk")).applyInPandas(
+        merge, "doc_id bigint, nameless boolean, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )
+    return scored.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")

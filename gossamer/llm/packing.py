@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ WHITE_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\
 LONGEST_RUN = 100_000
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+PIECE_COLUMNS = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
+PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
 class Encoder:
@@ -80,21 +82,18 @@ def tokenise_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: s
     first piece takes the remainder, so that all others fill a sequence each.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer_path)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text or "") + b"\0\0\0\0"
                 total = len(ids) // 4
                 cut = [0, *range(total % capacity or capacity, total + 1, capacity)] if total > capacity else [0, total]
                 rows += [(doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
-            made = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made
+            yield pa.RecordBatch.from_arrays([pa.array(c, PIECE_TYPES[k]) for k, c in enumerate(zip(*rows, strict=True) if rows else [()] * 5)], PIECE_COLUMNS)
 
-    # Nullable ids travel as Arrow's integers.
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -135,20 +134,22 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, tokenizer_path: str | None = None) -> DataFrame:
     """Documents (doc_id, text, ...) -> a row per piece with its place in a sequence.
 
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Pieces are dealt by hash into
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Pieces are dealt by row into
     groups of about ``group_pieces``; a group packs its pieces by sum of squares, longest first.
 
     Nulls: a null text is empty, so its document is the closing id alone; a null doc_id stays null.
     Repeated rows are packed each. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = Scratch(spark).write(tokenise_pieces(docs, capacity, tokenizer_path), "pieces")
+    pieces = Scratch(spark).write(tokenise_pieces(docs, capacity, tokenizer_path).withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, round(pieces.where(F.col("length") < capacity).count() / group_pieces))
 
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        sequence, offset = sum_of_squares(group["length"].to_numpy(), capacity)
-        return group.drop(columns="grp").assign(sequence_id=sequence * groups + int(group["grp"].iloc[0]), offset=offset)
+    def place(group: pa.Table) -> pa.Table:
+        number = group.column("grp")[0].as_py()
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
+        sequence, offset = sum_of_squares(group.column("length").to_numpy(), capacity)
+        return group.select(PIECE_COLUMNS).append_column("sequence_id", pa.array(sequence * groups + number, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(place, PIECE_SCHEMA + ", sequence_id bigint, offset bigint")
+    # The written row number deals them evenly, whatever ids repeat or are null.
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    return dealt.groupBy("grp").applyInArrow(place, PIECE_SCHEMA + ", sequence_id bigint, offset bigint")

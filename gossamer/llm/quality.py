@@ -8,14 +8,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .labelled import fit_logistic, logistic, training_sample
 
 DICT_BYTES, CHUNK, LEVEL = 1 << 16, 2_000, 3
-#: Fitting: at most about so many labelled documents, and so many bytes of each label for a dictionary.
-MAX_FIT_DOCS, MAX_DICT_INPUT = 6_000, 6_000_000
+#: Fitting: at most about so many labelled documents, and of each label so many for its dictionary.
+MAX_FIT_DOCS, MAX_DICT_DOCS = 6_000, 1_500
 
 
 @dataclass
@@ -38,13 +40,10 @@ def features(text: str, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompr
 
 
 def train_dictionary(texts: list[str]) -> bytes:
-    chunks, left = [], MAX_DICT_INPUT
+    chunks = []
     for text in texts:
         raw = text.encode("utf-8", "replace")
-        chunks += [raw[i : i + CHUNK] for i in range(0, min(len(raw), left), CHUNK)]
-        left -= len(raw)
-        if left <= 0:
-            break
+        chunks += [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
     if not chunks:
         return b""
     try:
@@ -54,17 +53,18 @@ def train_dictionary(texts: list[str]) -> bytes:
 
 
 def fit(sample: pd.DataFrame) -> QualityModel:
-    """Dictionaries of one half of the labelled texts, the calibration of the other.
+    """Dictionaries of two thirds of the labelled texts, drawn by a hash of their ids, the calibration of the others.
+
+    A dictionary is trained on whole texts, of more than ``MAX_DICT_DOCS`` on those with the smallest hashes.
 
     Without both labels there is nothing to compare: every score is then the share of good labels, a
     half if there are none.
     """
     y = sample["label"].to_numpy(float)
-    first = np.array([zlib.crc32(b"half:" + str(i).encode()) % 2 == 0 for i in sample["doc_id"]], bool)
-    if len(y) < 600:  # dictionaries of few texts need them all; only a held-out half keeps sizes honest
-        first = np.array([zlib.crc32(b"half:" + str(i).encode()) % 3 != 0 for i in sample["doc_id"]], bool)
+    drawn = np.array([zlib.crc32(b"half:" + str(i).encode()) for i in sample["doc_id"]], np.int64)
+    first = drawn % 3 != 0
     texts = sample["text"].tolist()
-    part = lambda label: [t for t, k, f in zip(texts, y, first, strict=True) if f and k == label]
+    part = lambda label: [texts[i] for i in np.argsort(drawn, kind="stable") if first[i] and y[i] == label][:MAX_DICT_DOCS]
     model = QualityModel(train_dictionary(part(1)), train_dictionary(part(0)), np.zeros(4))
     fair = y[~first]
     if not model.good or not model.bad or fair.min(initial=1) == fair.max(initial=0):
@@ -81,20 +81,18 @@ def score_documents(docs: DataFrame, model: QualityModel, keep: list[str] | None
     """The columns ``keep`` of docs (all by default) plus quality_score, 0 to 1.
 
     Nulls: a null text is empty; an empty text scores by the calibration's intercept. All rows stay,
-    repeated ones too; an input column named quality_score is replaced.
+    repeated ones too; an input column named quality_score is replaced, all others pass through untouched.
     """
     keep = [c for c in (keep or docs.columns) if c != "quality_score"]
-    src = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    src = docs.select(*keep, F.col("text").cast("string").alias("__text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model.compressors()
         for batch in batches:
-            x = np.array([features(t if isinstance(t, str) else "", *made) for t in batch["text"]]).reshape(len(batch), 3)
-            out = batch[keep].copy()
-            out["quality_score"] = logistic(x, model.coef)
-            yield out
+            x = np.array([features(t or "", *made) for t in batch.column(len(keep)).to_pylist()]).reshape(batch.num_rows, 3)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(logistic(x, model.coef), pa.float64())], [*keep, "quality_score"])
 
-    return src.mapInPandas(run, src.select(*keep).schema.add("quality_score", "double"))
+    return src.mapInArrow(run, docs.select(*keep).schema.add("quality_score", "double"))
 
 
 def fit_from_tables(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, max_docs: int = MAX_FIT_DOCS) -> QualityModel:

@@ -17,10 +17,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
 from .labelled import fit_logistic, logistic, training_sample
 
 # A general list of insults, leet letters, and words that tell the kind of a window.
@@ -32,8 +32,8 @@ QUOTES = "\"'“”«»‘’"
 
 WINDOW = 8
 QUOTED_FACTOR, ADDRESS_FACTOR, FUZZY_FACTOR = 0.1, 1.25, 0.8
-#: Fitting: at most about so many labelled documents; terms at most; least support of a learned stem.
-MAX_FIT_DOCS, MAX_TERMS, LEAST_DOCS, LEAST_G2 = 8_000, 256, 6, 30.0
+#: Fitting: at most about so many labelled documents; least support of a learned stem.
+MAX_FIT_DOCS, LEAST_DOCS, LEAST_G2 = 8_000, 6, 30.0
 #: Words whose result a worker remembers.
 CACHE_WORDS = 200_000
 
@@ -225,7 +225,7 @@ def learn_terms(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float
         if in_toxic[t] >= LEAST_DOCS:
             out[t] = max(0.1, odds(in_toxic[t], in_clean[t]))
     for _, _, s, w in sorted(found, reverse=True):
-        if len(out) < MAX_TERMS and not any(s.startswith(t) or t.startswith(s) for t in out):
+        if not any(s.startswith(t) or t.startswith(s) for t in out):
             out[s] = w
     return out
 
@@ -267,30 +267,23 @@ def fit(sample: pd.DataFrame) -> ToxicityModel:
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of docs (all by default) plus toxicity_score and toxicity_hits (terms found).
+    """The columns ``keep`` of docs (all by default) plus toxicity_score.
 
     Nulls: a null text is empty and gets the score of a text without hits. All rows stay, repeated
-    ones too; an input column named like an added one is replaced.
+    ones too; an input column named toxicity_score is replaced, all others pass through untouched.
     """
-    keep = [c for c in (keep or docs.columns) if c not in ("toxicity_score", "toxicity_hits")]
-    src = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    keep = [c for c in (keep or docs.columns) if c != "toxicity_score"]
+    src = docs.select(*keep, F.col("text").cast("string").alias("__text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            x = np.array([scorer.features(t) for t in texts]).reshape(len(texts), 4)
-            out = batch[keep].copy()
-            out["toxicity_score"] = logistic(x, model.coef)
-            yield out
+            x = np.array([scorer.features(t or "") for t in batch.column(len(keep)).to_pylist()]).reshape(batch.num_rows, 4)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(logistic(x, model.coef), pa.float64())], [*keep, "toxicity_score"])
 
-    schema = src.select(*keep).schema.add("toxicity_score", "double")
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, docs.select(*keep).schema.add("toxicity_score", "double"))
 
 
 def fit_from_tables(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, max_docs: int = MAX_FIT_DOCS) -> ToxicityModel:
     return fit(training_sample(docs, labels, "toxic", modulus, held, max_docs))
 
-
-def held_out(doc_id: str = "doc_id", modulus: int = 5, held: int = 0):
-    return crc_mod(F.col(doc_id), modulus) == held
