@@ -162,7 +162,13 @@ def retry_after_seconds(value: Column, now: Column) -> Column:
 
 
 def strip_ansi(text: Column) -> Column:
-    return F.regexp_replace(text, "\x1b\\[[0-9;]*[A-Za-z]", "")
+    """Without terminal colours, carriage returns and outer white space."""
+    return F.regexp_replace(F.regexp_replace(text, "\x1b\\[[0-9;]*[A-Za-z]|\r", ""), r"(?U)^\s+|\s+$", "")
+
+
+def proxy_addresses(text: Column) -> Column:
+    """array<string> of a comma-separated list of proxies, as http addresses."""
+    return F.transform(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != ""), lambda p: F.concat(F.lit("http://"), p))
 
 
 def word_list(text: Column) -> Column:
@@ -186,7 +192,7 @@ def log_channels(line: Column) -> Column:
 
 def parse_redirect(line: Column) -> Column:
     """struct<url, chain> of ``url => hop -> hop``."""
-    return F.struct(F.trim(F.substring_index(line, " => ", 1)).alias("url"), F.when(line.contains(" => "), F.transform(F.split(F.substring_index(line, " => ", -1), " -> "), F.trim)).otherwise(F.array().cast("array<string>")).alias("chain"))
+    return F.struct(F.trim(F.substring_index(line, " => ", 1)).alias("url"), F.when(line.contains(" => "), F.transform(F.split(F.substring_index(line, " => ", -1), " -> "), lambda hop: F.trim(hop))).otherwise(F.array().cast("array<string>")).alias("chain"))
 
 
 def crawl_rate(seconds: Column, processed: Column) -> Column:

@@ -224,6 +224,25 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def target_slug(url: Column) -> Column:
+    """A target's name for folders: its host, else its path, as a slug."""
+    host = F.coalesce(F.nullif(authority(url), F.lit("")), F.nullif(path_of(url), F.lit("")), F.lit("target"))
+    return F.when(slug(host) == "", F.lit("target")).otherwise(slug(host))
+
+
+def run_folder(host: Column, mode: Column, at: Column) -> Column:
+    """Folder of a run started at ``at``: time, host and mode."""
+    name = F.when(slug(host) == "", F.lit("specimen")).otherwise(slug(host))
+    return F.concat(F.lit("sealed-runs/"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("-"), name, F.lit("-"), mode)
+
+
+def evidence_stem(url: Column) -> Column:
+    """Name of a rendered page's evidence: its host with dashes for signs, and the digest of the address."""
+    base = F.coalesce(F.nullif(authority(url), F.lit("")), F.nullif(path_of(url), F.lit("")), F.lit("rendered-page"))
+    safe = F.regexp_replace(F.regexp_replace(F.lower(base), r"[^\p{L}\p{N}]", "-"), "^-+|-+$", "")
+    return F.concat(F.when(safe == "", F.lit("rendered-page")).otherwise(safe), F.lit("-"), F.substring(F.sha2(F.coalesce(url, F.lit("")).cast("binary"), 256), 1, 12))
+
+
 # --- registrable domains --------------------------------------------------------------------
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import patterns as P
 from ..functions import text as T
@@ -195,38 +200,60 @@ def genealogy_lines(rows: DataFrame) -> DataFrame:
 # --- snapshot diffs -------------------------------------------------------------------------
 
 
+def _leaves(doc: str | None) -> list[tuple[list[str], str, str]]:
+    """Path, kind and value of each node of a snapshot, to any depth; a list's items are its values as texts, nulls left out."""
+    try:
+        todo = [([], json.loads(doc or "null"))]
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            out.append((path, "map", ""))
+            todo += [([*path, str(k)], v) for k, v in value.items()]
+        elif isinstance(value, list):
+            out.append((path, "list", ""))
+            out += [(path, "item", str(x)) for x in value if x is not None]
+        elif value is not None and path:
+            out.append((path, "scalar", str(value)))
+    return out
+
+
 def flatten_snapshot(docs: DataFrame) -> DataFrame:
-    """(doc JSON text) -> path array<string>, kind (item or scalar), value: every leaf, list items by value.
+    """(..., doc JSON text) -> path array<string>, kind (map, list, item or scalar), value, and the other columns of docs.
 
-    One explode of the variant per level of nesting, as deep as the snapshots are.
+    Null scalars are as good as absent. A text that is no JSON gives no rows. One Arrow pass, a document at a time.
     """
-    level = docs.select(F.array().cast("array<string>").alias("path"), F.try_parse_json("doc").alias("v"), F.lit(False).alias("item")).where("v IS NOT NULL")
-    leaves = None
-    for _ in range(8):
-        typed = level.withColumn("t", F.schema_of_variant("v"))
-        done = typed.where(~F.col("t").startswith("OBJECT") & ~F.col("t").startswith("ARRAY")).where((F.col("t") != "VOID") | ~F.col("item"))
-        out = done.select("path", F.when(F.col("item"), F.lit("item")).otherwise(F.lit("scalar")).alias("kind"), F.when(F.col("t") == "VOID", F.lit("None")).otherwise(F.expr("try_variant_get(v, '$', 'string')")).alias("value"))
-        leaves = out if leaves is None else leaves.unionByName(out)
-        typed.createOrReplaceTempView("__snapshot_level")
-        nested = docs.sparkSession.sql(
-            "SELECT CASE WHEN t LIKE 'OBJECT%' THEN concat(path, array(x.key)) ELSE path END AS path, x.value AS v, t LIKE 'ARRAY%' AS item "
-            "FROM __snapshot_level, LATERAL variant_explode(v) AS x WHERE t LIKE 'OBJECT%' OR t LIKE 'ARRAY%'"
-        )
-        level = nested
-    return leaves
-
-
-def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """(path, kind, value) on both sides -> path, change (added, removed or changed), value, before, after.
-
-    List items compare as sets, scalars by path: one full outer join.
+    rest = [c for c in docs.columns if c != "doc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *leaf) for i, doc in enumerate(batch.column(len(rest)).to_pylist()) for leaf in _leaves(doc)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            kept = [batch.column(k).take(pa.array(columns[0], pa.int64())) for k in range(len(rest))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(columns[1], pa.list_(pa.string())), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], [*rest, "path", "kind", "value"])
+
+    schema = docs.select(*rest).schema if rest else StructType()
+    return docs.select(*rest, "doc").mapInArrow(run, schema.add("path", ArrayType(StringType())).add("kind", "string").add("value", "string"))
+
+
+def snapshot_diff(previous: DataFrame, current: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(path, kind, value) on both sides -> path, change (added, removed or changed), value, before, after; each within equal ``by``.
+
+    List items compare as sets, scalars by path: one full outer join. Where one side has a map and the other has not, only
+    what is below it differs; where one side has a list and the other a scalar, only the items do.
     """
-    key = lambda df, side: df.select("path", "kind", F.when(F.col("kind") == "item", F.col("value")).otherwise(F.lit("")).alias("item"), F.col("value").alias(side)).distinct()
-    joined = key(previous, "before").join(key(current, "after"), ["path", "kind", "item"], "full_outer")
+    on = [*by, "path"]
+    key = lambda df, side: df.where(F.col("kind").isin("item", "scalar")).select(*on, "kind", F.when(F.col("kind") == "item", F.col("value")).otherwise(F.lit("")).alias("item"), F.col("value").alias(side)).distinct()
+    nodes = previous.select(*on, "kind").unionByName(current.select(*on, "kind")).where(F.col("kind").isin("map", "list"))
+    nodes = nodes.groupBy(*on).agg(F.max(F.col("kind") == "map").alias("is_map"), F.max(F.col("kind") == "list").alias("is_list"))
+    joined = key(previous, "before").join(key(current, "after"), [*on, "kind", "item"], "full_outer").join(nodes, on, "left")
     item = F.col("kind") == "item"
+    told = ~F.coalesce(F.col("is_map"), F.lit(False)) & (item | ~F.coalesce(F.col("is_list"), F.lit(False)))
     change = F.when(item & F.col("before").isNull(), F.lit("added")).when(item & F.col("after").isNull(), F.lit("removed")).when(~item & ~F.col("before").eqNullSafe(F.col("after")), F.lit("changed"))
-    out = joined.withColumn("change", change).where("change IS NOT NULL")
-    return out.select("path", "change", F.when(F.col("kind") == "item", F.col("item")).alias("value"), F.when(F.col("kind") == "scalar", F.coalesce("before", F.lit("None"))).alias("before"), F.when(F.col("kind") == "scalar", F.coalesce("after", F.lit("None"))).alias("after"))
+    out = joined.where(told).withColumn("change", change).where("change IS NOT NULL")
+    return out.select(*on, "change", F.when(F.col("kind") == "item", F.col("item")).alias("value"), F.when(F.col("kind") == "scalar", F.coalesce("before", F.lit("None"))).alias("before"), F.when(F.col("kind") == "scalar", F.coalesce("after", F.lit("None"))).alias("after"))
 
 
 def diff_lines(diff: DataFrame) -> DataFrame:
@@ -235,7 +262,7 @@ def diff_lines(diff: DataFrame) -> DataFrame:
     listed = F.concat(head, F.when(n > 1, F.concat(F.lit(" item="), deep)).otherwise(F.lit("")), F.lit(" change="), "change", F.lit(" value="), "value")
     name = F.when(n == 1, F.lit(" metric=value")).when(n == 2, F.concat(F.lit(" metric="), F.element_at("path", -1))).otherwise(F.concat(F.lit(" item="), F.array_join(F.slice("path", F.lit(2), F.greatest(n - 2, F.lit(1))), " / "), F.lit(" field="), F.element_at("path", -1)))
     scalar = F.concat(head, name, F.lit(" before="), "before", F.lit(" after="), "after")
-    return diff.select(F.when(F.col("change") == "changed", scalar).otherwise(listed).alias("line"))
+    return diff.select(*[c for c in diff.columns if c not in ("path", "change", "value", "before", "after")], F.when(F.col("change") == "changed", scalar).otherwise(listed).alias("line"))
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:

@@ -22,12 +22,21 @@ QUEUE_SHOWN = 12
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder for written levels: spark.checkpoint.dir, a temporary one only where that is unset."""
+    """A new folder for written levels under spark.checkpoint.dir, or a temporary one in local mode; it goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="gossamer-")
-    return f"{root.rstrip('/')}/walk-{uuid.uuid4().hex}"
+        if known.isDefined():
+            root = known.get()
+        elif spark.sparkContext.master.startswith("local["):
+            root = tempfile.mkdtemp(prefix="gossamer-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/walk-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
 
 
 def frontier(internal: DataFrame, processed: DataFrame, exclude: str | None = None) -> DataFrame:
@@ -39,22 +48,28 @@ def frontier(internal: DataFrame, processed: DataFrame, exclude: str | None = No
 def walk(edges: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
     """(url, depth): what is reachable over edges (src, dst) from roots (url), each with its least depth.
 
+    Roots with a column ``depth`` are what an earlier walk has found, and this one goes on from its last level.
     One job per level: frontier joined with the edges, without what was visited. Levels are written to
-    the shared folder, so plans stay short and survive lost executors.
+    the shared folder, so plans stay short and survive lost executors; and Spark knows the bytes of each frontier, so
+    one below its broadcast threshold meets the edges where they are.
     """
     spark = edges.sparkSession
     folder = scratch_folder(spark)
     edges.select("src", "dst").distinct().write.parquet(f"{folder}/edges")
     edges = spark.read.parquet(f"{folder}/edges")
-    roots.select("url", F.lit(0).alias("depth")).distinct().write.parquet(f"{folder}/level=0")
-    paths = [f"{folder}/level=0"]
-    for depth in range(1, max_depth + 1):
-        seen = spark.read.parquet(*paths)
-        last = spark.read.parquet(paths[-1])
+    depth = F.col("depth").cast("int") if "depth" in roots.columns else F.lit(0)
+    paths = [f"{folder}/level=start"]
+    roots.groupBy("url").agg(F.min(depth).alias("depth")).write.parquet(paths[0])
+    start = spark.read.parquet(paths[0])
+    first = start.agg(F.max("depth")).first()[0] or 0
+    last = start.where(F.col("depth") == first)
+    for level in range(first + 1, max_depth + 1):
         found = last.join(edges, last["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()
-        found.join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth")).write.parquet(f"{folder}/level={depth}")
-        paths.append(f"{folder}/level={depth}")
-        if spark.read.parquet(paths[-1]).isEmpty():
+        fresh = found.join(spark.read.parquet(*paths).select("url"), "url", "left_anti")
+        paths.append(f"{folder}/level={level}")
+        fresh.select("url", F.lit(level).alias("depth")).write.parquet(paths[-1])
+        last = spark.read.parquet(paths[-1])
+        if last.isEmpty():
             break
     return spark.read.parquet(*paths)
 
@@ -63,7 +78,7 @@ def upsert_records(events: DataFrame) -> DataFrame:
     """Crawl records from state events (seq, url, source_page, source_kind, depth, state, status_code, content_type, error_kind, error_message).
 
     The first source page and kind that are not empty stay; of the other fields the last that is not null
-    counts. discovery_time numbers the URLs by their first event.
+    counts. first_seq is the URL's first event, by which ``discovered`` numbers the records where that is wanted.
     """
     kept = lambda c: F.coalesce(F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("seq"))), F.lit("")).alias(c)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
@@ -71,8 +86,12 @@ def upsert_records(events: DataFrame) -> DataFrame:
         F.min("seq").alias("first_seq"), kept("source_page"), kept("source_kind"), last("depth"), last("state"), last("status_code"), last("content_type"), last("error_kind"), last("error_message")
     )
     blank = {c: F.coalesce(F.col(c), F.lit("")) for c in ("content_type", "error_kind", "error_message")}
-    # first_seq orders the URLs; a rank by range keeps the numbering distributed.
-    return number_rows(rows.withColumns(blank | {"state": F.coalesce("state", F.lit("pending"))}), ["first_seq", "url"], "discovery_time").drop("first_seq")
+    return rows.withColumns(blank | {"state": F.coalesce("state", F.lit("pending"))})
+
+
+def discovered(records: DataFrame) -> DataFrame:
+    """Records with discovery_time, their place in the order of first events, in place of first_seq."""
+    return number_rows(records, ["first_seq", "url"], "discovery_time").drop("first_seq")
 
 
 def number_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -177,7 +196,7 @@ def subdomain_candidates(domains: DataFrame, words: tuple[str, ...] = SUBDOMAIN_
 
 
 def ordered_urls(dataset: DataFrame, records: DataFrame, state: str | None = None) -> DataFrame:
-    """(url) of a dataset in order of discovery, unknown ones after, by name."""
+    """(url) of a dataset in order of discovery, unknown ones after, by name; with a state, only records in it are known."""
     known = records.where(F.col("state") == state) if state else records
     joined = dataset.select("url").distinct().join(known.select("url", "discovery_time"), "url", "left")
     return joined.orderBy(F.col("discovery_time").isNull(), "discovery_time", "url").select("url")

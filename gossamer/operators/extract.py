@@ -106,6 +106,12 @@ def script_references(pages: DataFrame) -> DataFrame:
     return raw.select("url", U.normalize_url(F.regexp_replace("g", "[\"']", ""), F.col("url")).alias("script")).where("script != ''")
 
 
+def route_scripts(found: DataFrame, host: str, scope: str = "host", domain: str | None = None, allow: list[str] | None = None, deny: list[str] | None = None) -> DataFrame:
+    """(script) -> dataset, value: scripts of the crawl itself as scripts, others as external, once each."""
+    marked = mark_scope(found, host, scope, "script", domain, allow, deny)
+    return marked.select(F.when(F.col("scope") == "internal", F.lit("scripts")).otherwise(F.lit("external")).alias("dataset"), F.col("script").alias("value")).distinct()
+
+
 @page_extractor
 def forms(pages: DataFrame) -> DataFrame:
     """url, ord, action, method, inputs: forms with their named fields as sorted name:type."""
@@ -418,3 +424,14 @@ def harvest_documents(files: DataFrame, fetched: DataFrame) -> DataFrame:
         wanted = wanted | path.endswith(ext)
     mine = fetched.join(files.where(wanted).select("url").distinct(), "url", "left_semi")
     return document_records(mine).unionByName(office_records(mine)).distinct()
+
+
+def run_extractors(pages: DataFrame, scripts: DataFrame) -> DataFrame:
+    """(url, extractor, row JSON) of all registered extractors: pages (url, html) and scripts (url, body) each by those made for them."""
+    out = None
+    for registry, bodies in ((PAGE_EXTRACTORS, pages), (SCRIPT_EXTRACTORS, scripts)):
+        for name, extractor in registry.items():
+            found = extractor(bodies)
+            found = found.select("url", F.lit(name).alias("extractor"), F.to_json(F.struct(*[c for c in found.columns if c != "url"])).alias("row"))
+            out = found if out is None else out.unionByName(found)
+    return out

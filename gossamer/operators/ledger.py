@@ -60,6 +60,7 @@ def summary_cards(findings: DataFrame, mode: str = "generic") -> DataFrame:
     count = lambda name, more=None: F.count_if(is_(name) & (F.lit(True) if more is None else more))
     v = F.col("value")
     documents = count("files", F.lower(v).rlike(r"\.(?:pdf|docx?|xlsx?|pptx?|odt|ods|odp|rtf)$"))
+    # The labels by which readers of a run know its cards.
     own = {
         "document": {"TOMBS": count("document_metadata"), "LEAKS": count("document_leaks")}, "js-intel": {"SIGILS": count("js_intel"), "SCRIPTS": count("scripts")},
         "forum": {"THREADS": count("threads"), "REPLIES": count("threads", v.contains("reply_to="))}, "geo": {"EXACT": count("locations", v.contains("confidence=exact")), "WEAK": count("locations", v.contains("confidence=weak"))},

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fixture_queries, page_queries
+from . import page_queries, run_queries
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, QueryFn]:
-    return page_queries.QUERIES | fixture_queries.QUERIES
+    return page_queries.QUERIES | run_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return page_queries.SQL | fixture_queries.SQL
+    return page_queries.SQL | run_queries.SQL

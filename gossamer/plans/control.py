@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Names, labels and defaults.
+# Names, labels and defaults, as saved runs and their readers know them.
 MODES = {
     "generic": "Generic crawler", "document": "Document harvester", "js-intel": "JS intelligence crawler", "forum": "Forum/thread deep crawler", "geo": "Geo-intelligence crawler",
     "news": "News propagation tracker", "hidden": "Hidden directory hybrid", "scam": "Dark pattern / scam detector", "temporal": "Temporal change crawler",
@@ -99,6 +99,18 @@ def web_bounds(settings: RunSettings) -> RunSettings:
     return replace(settings, depth=min(settings.depth, 8), threads=min(settings.threads, 32))
 
 
+def pattern_problems(patterns: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Of the named lists of a user's patterns, those that do not compile with what is wrong, before a run starts; Java's syntax counts where they run."""
+    problems: dict[str, list[str]] = {}
+    for name, some in patterns.items():
+        for p in some:
+            try:
+                re.compile(p)
+            except re.error as error:
+                problems.setdefault(name, []).append(f"{p}: {error}")
+    return problems
+
+
 def safe_local_path(raw: str, roots: tuple[str, ...]) -> str:
     """The resolved path of a specimen file, '' unless it is a plain file of a known suffix under one of the roots."""
     if not re.fullmatch(r"(?:/|[A-Za-z]:[\\/])[A-Za-z0-9._/\-\\ ]{1,4096}", (raw or "").strip()):

@@ -236,10 +236,18 @@ def input_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENTRIES = (("internal", 1, SITE + "/login"), ("files", 1, SITE + "/docs/report-2024.pdf"), ("forms", 1, "action=/submit method=POST inputs=password:password"), ("endpoints", 1, "/api/me"))
 
 
-@query("mutation_probes", "n, first_probe, years", [(30, SITE + "/admin", 2)])
+# Forms give six probes of the site. The login page gives the same six addresses, which stay with the forms. The document of
+# 2024 gives the two years before and twelve affixed names, in the order of the affixes. /api/me is neither login nor admin.
+_DOCUMENT_PROBES = ["report-2022", "report-2023"] + [name for affix in ("draft", "backup", "old", "final", "en", "fr") for name in (f"report-2024-{affix}", f"{affix}-report-2024")]
+
+
+@query("mutation_probes", "ord, probe, source, reason", [
+    *((i + 1, SITE + path, SITE, reason) for i, (path, reason) in enumerate([
+        ("/admin", "form-neighbor"), ("/dashboard", "form-neighbor"), ("/api/login", "form-auth-api"), ("/old-login", "form-legacy-auth"), ("/signin", "form-auth-alias"), ("/auth/callback", "form-auth-callback"),
+    ])), *((i + 7, f"{SITE}/docs/{name}.pdf", SITE + "/docs/report-2024.pdf", "document-mutation") for i, name in enumerate(_DOCUMENT_PROBES)),
+])
 def mutation_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes = analysis.mutation_probes(table(spark, "dataset string, ord bigint, value string", *_ENTRIES), SITE + "/")
-    return probes.agg((F.count("*") + 10).alias("n"), F.min_by("probe", "ord").alias("first_probe"), F.count_if(F.col("probe").rlike("report-202[23]\\.pdf$")).alias("years"))
+    return analysis.mutation_probes(table(spark, "dataset string, ord bigint, value string", *_ENTRIES), SITE + "/")
 
 
 @query("genealogy", "url, found_on, source_kinds, content_type, n_duplicates, first_seen, last_seen", [

@@ -122,25 +122,27 @@ def story_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.stories(read(spark, sf_dir, "pages").select("url", "html")).groupBy("relation").agg(F.count("*").alias("n"))
 
 
-@query("visible_text")
+# The entities that pages hold, &amp; last; white space as Unicode has it.
+_SPACES = r"[\s\x0B\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_DECODED = "replace(replace(replace(replace(replace(replace({t}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&')"
+
+
+@query("visible_text", rf"""
+WITH n AS (SELECT page_id, unnest(string_split_regex(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g'), '<[^>]+>')) AS node,
+  unnest(range(len(string_split_regex(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g'), '<[^>]+>')))) AS i FROM pages),
+d AS (SELECT page_id, i, {_DECODED.format(t="node")} AS node FROM n), t AS (SELECT page_id, coalesce(string_agg(node, ' ' ORDER BY i) FILTER (WHERE regexp_replace(node, '{_SPACES}+', '', 'g') <> ''), '') AS text FROM d GROUP BY page_id)
+SELECT page_id, length(text)::INT AS chars, sha256(text) AS sha256 FROM t""")
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", T.visible_text(F.col("html")).alias("text")).select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
-@query("strip_tags")
+@query("strip_tags", rf"""
+WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace({_DECODED.format(t="coalesce(html, '')")}, '<[^>]+>', ' ', 'g'), '{_SPACES}+', ' ', 'g')) AS text FROM pages)
+SELECT page_id, length(text)::INT AS chars, sha256(text) AS sha256 FROM t""")
 def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text")).select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
-@query("js_inline_intel", r"""
-WITH s AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script>', 1)) AS body FROM pages)
-SELECT DISTINCT url, 'comment' AS kind, left(c, 140) AS value FROM (SELECT url, trim(regexp_replace(replace(replace(replace(unnest(regexp_extract_all(body, '(?:\/\/[^\n]{5,200}|\/\*[\s\S]{5,240}?\*\/)')), '/*', ''), '*/', ''), '//', ''), '\s+', ' ', 'g')) AS c FROM s) WHERE length(c) >= 8
-UNION ALL SELECT DISTINCT url, 'route', unnest(regexp_extract_all(body, '(?i)\b(?:route|router|path|pathname)\b[^\"'']{0,40}[\"'']([^\"'']{2,200})[\"'']', 1)) FROM s""")
-def js_inline_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scripts = extract.inline_scripts(read(spark, sf_dir, "pages").select("url", "html"))
-    return extract.js_intel(scripts, ("comment", "route")).select("url", "kind", "value")
-
-
 @query("inline_script_artifacts")
 def inline_script_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scripts = extract.inline_scripts(read(spark, sf_dir, "pages").select("url", "html"))
@@ -152,20 +154,14 @@ def structured_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.structured_references(read(spark, sf_dir, "pages").select("url", "html")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-# Patterns for DuckDB: its \b takes a letter outside ASCII for a boundary, so neighbours are named instead.
-_INTEL_SQL = {
-    "EMAIL": r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}",
-    "IP_ADDRESS": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
-    "CREDIT_CARD": r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b",
-    "SOCIAL_SECURITY": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "PHONE": r"\b(?:\+?1[\s.\-]?)?\(?[0-9]{3}\)?[\s.\-]?[0-9]{3}[\s.\-]?[0-9]{4}\b",
-}
+# Patterns for DuckDB, of all kinds; without Java's Unicode classes, which these tables do not tell apart.
+_INTEL_SQL = {kind: p.replace("(?Udi)", "(?i)").replace("(?Ud)", "").replace(r"\d", "[0-9]").replace("'", "''") for kind, p in P.INTEL.items()}
 _INTEL_CTE = "intel AS (" + " UNION ALL ".join(f"SELECT DISTINCT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS match FROM documents" for k, p in _INTEL_SQL.items()) + ")"
 _LUHN = "list_sum(list_transform(range(1, length(match) + 1), lambda i: CASE WHEN (length(match) - i) % 2 = 1 THEN (CASE WHEN 2 * substr(match, i, 1)::INT > 9 THEN 2 * substr(match, i, 1)::INT - 9 ELSE 2 * substr(match, i, 1)::INT END) ELSE substr(match, i, 1)::INT END)) % 10 = 0"
 
 
 def doc_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.text_intel(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", kinds=tuple(_INTEL_SQL))
+    return extract.text_intel(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query("intel_extract", f"WITH {_INTEL_CTE} SELECT doc_id, kind, match FROM intel")
@@ -203,6 +199,38 @@ def js_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.js_intel(docs, ("token",)).select(F.col("url").alias("doc_id"), "name", "value")
 
 
+_JS = {kind: p.replace("(?Uds)(?i)", "(?is)").replace("(?Udi)", "(?i)").replace("(?Ud)", "").replace("'", "''") for kind, p in P.JS.items()}
+
+
+def _js_sql(kind: str, value: str = "g{}", groups: tuple[int, ...] = (0,), name: str = "NULL::VARCHAR", where: str = "true", shown: str | None = None) -> str:
+    found = ", ".join(f"unnest(regexp_extract_all(text, '{_JS[kind]}', {g})) AS g{g}" for g in groups)
+    return f"SELECT doc_id, {shown or repr(kind)} AS kind, {name} AS name, {value.format(groups[-1])} AS value FROM (SELECT doc_id, {found} FROM documents) WHERE {where}"
+
+
+_COMMENT = r"trim(regexp_replace(replace(replace(replace(g0, '/*', ''), '*/', ''), '//', ''), '\s+', ' ', 'g'))"
+_JS_SQL = " UNION ".join([
+    _js_sql("token", groups=(1, 2), name="g1"), _js_sql("feature", r"regexp_replace(regexp_replace(g2, '^\"+|\"+$', '', 'g'), '^''+|''+$', '', 'g')", (1, 2), "g1"), _js_sql("config", r"left(regexp_replace(g2, '\s+', ' ', 'g'), 220)", (1, 2), "g1"),
+    _js_sql("route", groups=(1,)), _js_sql("api", groups=(1, 2), name="g1"), _js_sql("url", where="contains(lower(g0), '/graphql') OR contains(lower(g0), '/api/')", shown="CASE WHEN contains(lower(g0), '/graphql') THEN 'graphql' ELSE 'api_url' END"),
+    _js_sql("analytics_id"), _js_sql("storage"), _js_sql("error_hint", "left(trim(g1), 140)", (1,)), _js_sql("comment", f"left({_COMMENT}, 140)", where=f"length({_COMMENT}) >= 8"), _js_sql("view", groups=(1,)), _js_sql("env_hint"),
+])
+
+
+@query("js_intel_documents", _JS_SQL)
+def js_intel_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.js_intel(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("body")))
+    return found.withColumnRenamed("url", "doc_id")
+
+
+# Known shapes and quoted tokens, trimmed at their ends; the entropies have a query of their own.
+_SECRET_SQL = " UNION ".join(f"SELECT doc_id, '{k}' AS kind, trim(unnest(regexp_extract_all(text, '{p.replace('(?Ud)', '')}', 1))) AS token FROM documents" for k, p in (P.SECRETS | {"HIGH_ENTROPY": P.ENTROPY_TOKEN.replace("'", "''")}).items())
+
+
+@query("secrets_documents", _SECRET_SQL)
+def secrets_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("body"))
+    return extract.secrets(docs).select(F.col("url").alias("doc_id"), "kind", "token")
+
+
 @query("content_duplicates", "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.content_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text")
@@ -260,7 +288,8 @@ WITH RECURSIVE {LINKS_CTE}, e AS (
 ) SELECT url, min(depth) AS depth FROM r GROUP BY url""")
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = page_links(spark, sf_dir).where("route = 'link' AND startswith(raw, '/')").select("url", "raw")
-    edges = links.select(F.col("url").alias("src"), F.col("raw").alias("dst")).union(links.select("raw", "url"))
+    both = F.array(F.struct(F.col("url").alias("src"), F.col("raw").alias("dst")), F.struct(F.col("raw").alias("src"), F.col("url").alias("dst")))
+    edges = links.select(F.explode(both).alias("e")).select("e.src", "e.dst")
     roots = read(spark, sf_dir, "pages").agg(F.min("url").alias("url"))
     return crawl.walk(edges, roots, 3)
 
@@ -292,7 +321,7 @@ _BUCKET = "CASE WHEN error_kind = 'blocked' OR coalesce(status_code, 0) IN (401,
 
 @query("crawl_state_upsert", f"WITH {_LOG} SELECT * FROM rec")
 def crawl_state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.upsert_records(events_as_log(spark, sf_dir))
+    return crawl.discovered(crawl.upsert_records(events_as_log(spark, sf_dir)))
 
 
 @query("queue_snapshot", f"WITH {_LOG}, q AS (SELECT CASE WHEN state = 'failed' THEN 'completed' ELSE state END AS queue, url FROM rec) SELECT queue, count(*) AS n, array_to_string((list(url ORDER BY url))[1:12], '|') AS items FROM q GROUP BY queue")
@@ -313,7 +342,7 @@ def status_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ledger_filtered", f"WITH {_LOG}, l AS (SELECT *, {_BUCKET} AS bucket FROM rec) SELECT url, state, bucket, discovery_time FROM l WHERE state = 'failed' AND bucket = '5xx' AND contains(url, '/1')")
 def ledger_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = crawl.upsert_records(events_as_log(spark, sf_dir))
+    records = crawl.discovered(crawl.upsert_records(events_as_log(spark, sf_dir)))
     rows = ledger.ledger_rows(records, spark.createDataFrame([], "line string"))
     found = ledger.filter_ledger(rows.select("url", "state", "bucket", "discovery_time"), "http://H/1", state="failed", bucket="5xx")
     return ledger.sort_ledger(found)
@@ -339,10 +368,9 @@ def thread_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dataset, value) of pages and documents: internal links, intel and duplicates in one long table."""
-    links = page_links(spark, sf_dir).where("route = 'link'").select(F.lit("internal").alias("dataset"), F.col("target").alias("value")).distinct()
-    intel = intel_lines(spark, sf_dir).select(F.lit("intel").alias("dataset"), F.col("line").alias("value"))
-    files = page_links(spark, sf_dir).where("route = 'file'").select(F.lit("files").alias("dataset"), F.col("target").alias("value")).distinct()
-    return links.unionByName(intel).unionByName(files)
+    dataset = F.when(F.col("route") == "link", "internal").otherwise("files")
+    links = page_links(spark, sf_dir).where("route IN ('link', 'file')").select(dataset.alias("dataset"), F.col("target").alias("value")).distinct()
+    return links.unionByName(intel_lines(spark, sf_dir).select(F.lit("intel").alias("dataset"), F.col("line").alias("value")))
 
 
 _FINDINGS = f"{LINKS_CTE}, {_INTEL_CTE}, fin AS (SELECT DISTINCT 'internal' AS dataset, target AS value FROM routed WHERE route = 'link' UNION ALL SELECT 'intel', doc_id::VARCHAR || ':' || kind || ':' || match FROM intel WHERE kind <> 'CREDIT_CARD' UNION ALL SELECT DISTINCT 'files', target FROM routed WHERE route = 'file')"
@@ -381,11 +409,14 @@ SELECT DISTINCT section, value FROM (
   UNION ALL SELECT 'trust_links', value FROM e WHERE dataset = 'external' AND regexp_matches(value, '(?i)(?:github|discord|slack|trustpilot|statuspage|linkedin|twitter|x\.com|facebook|docs|privacy|terms)')
   UNION ALL SELECT 'external_refs', value FROM e WHERE dataset = 'external' AND {_NET} NOT IN ('', 'www.example.com')
     AND NOT regexp_matches(value, '(?i)(?:github|discord|slack|trustpilot|statuspage|linkedin|twitter|x\.com|facebook|docs|privacy|terms)') AND NOT regexp_matches(value, '(?i)(?:google-analytics|googletagmanager|segment|mixpanel|amplitude|gtm-|ua-[0-9]+|ga4)') AND NOT regexp_matches(value, '(?i)(?:cloudfront\.net|amazonaws\.com|storage\.googleapis\.com|blob\.core\.windows\.net|cdn\.|fastly|akamai)')
-  UNION ALL SELECT 'docs', value FROM e WHERE dataset = 'files' AND regexp_matches(lower(value), '\.(pdf|doc|docx|xls|xlsx|ppt|pptx|odt|rtf)$'))""")
+  UNION ALL SELECT 'docs', value FROM e WHERE dataset = 'files' AND regexp_matches(lower(value), '\.(pdf|doc|docx|xls|xlsx|ppt|pptx|odt|rtf)$')
+  UNION ALL SELECT 'static_assets', value FROM e WHERE dataset = 'files' AND regexp_matches(lower(value), '\.(js|css|map|png|jpg|jpeg|gif|svg|ico|webp|json|xml|txt)$')
+  UNION ALL SELECT 'admin_ish_routes', value FROM e WHERE dataset = 'internal' AND regexp_matches(value, '(?i)/(?:admin|dashboard|portal|manage|console|cpanel|staff|moderator)\b')
+  UNION ALL SELECT 'analytics', value FROM e WHERE dataset = 'external' AND regexp_matches(value, '(?i)(?:google-analytics|googletagmanager|segment|mixpanel|amplitude|gtm-|ua-[0-9]+|ga4)')
+  UNION ALL SELECT 'cdn_assets', value FROM e WHERE dataset = 'external' AND regexp_matches(value, '(?i)(?:cloudfront\.net|amazonaws\.com|storage\.googleapis\.com|blob\.core\.windows\.net|cdn\.|fastly|akamai)'))""")
 def site_anatomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     outside = read(spark, sf_dir, "pages").select(F.lit("external").alias("dataset"), F.col("url").alias("value")).distinct()
-    found = analysis.site_anatomy(_anatomy_entries(spark, sf_dir).unionByName(outside), "http://www.example.com/")
-    return found.where(F.col("section").isin("auth_surfaces", "apis", "old_paths", "trust_links", "external_refs", "docs"))
+    return analysis.site_anatomy(_anatomy_entries(spark, sf_dir).unionByName(outside), "http://www.example.com/")
 
 
 @query("hidden_candidates", rf"""
@@ -407,7 +438,15 @@ def intel_from_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.intel_from_external(read(spark, sf_dir, "pages").select("url").unionByName(extra))
 
 
-@query("politeness_replay")
+@query("politeness_replay", """
+WITH RECURSIVE r AS (
+  SELECT user_id::VARCHAR AS host, event_id AS seq, epoch_us(ts) / 1e6 AS wanted, event_type IN ('error', 'signup') AS refused, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
+), s AS (
+  SELECT host, k, seq, wanted AS requested, greatest(wanted, 0.0) AS started, CASE WHEN refused THEN 1.0 ELSE 0.0 END::DOUBLE AS backoff, CASE WHEN refused THEN greatest(wanted, 0.0) + 1.0 ELSE 0.0 END::DOUBLE AS next_allowed FROM r WHERE k = 1
+  UNION ALL SELECT host, k, seq, wanted, began, wait, CASE WHEN refused THEN greatest(next_allowed, began + wait) ELSE next_allowed END FROM (
+    SELECT r.host, r.k, r.seq, r.wanted, r.refused, s.next_allowed, greatest(r.wanted, s.next_allowed, s.started + 1.0) AS began, CASE WHEN r.refused THEN least(30.0, greatest(s.backoff * 2, 1.0)) ELSE 0.0 END::DOUBLE AS wait
+    FROM s JOIN r ON r.host = s.host AND r.k = s.k + 1)
+) SELECT host, seq, requested, started, backoff, next_allowed FROM s""")
 def politeness_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "signup", 429).otherwise(200)
@@ -420,6 +459,4 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     latest = crawl_stream.latest_by_key(stream.select("user_id", "event_type", "event_id"), "user_id", "event_id")
-    name = f"upsert_{abs(hash(sf_dir)) % 10**9}"
-    crawl_stream.run_available(latest, name, crawl.scratch_folder(spark))
-    return spark.table(name)
+    return crawl_stream.latest_by_key(crawl_stream.run_available(latest, crawl.scratch_folder(spark), "update"), "user_id", "event_id")

@@ -41,14 +41,12 @@ def robot_lines(bodies: DataFrame) -> DataFrame:
         F.trim(F.substring(F.col("text"), F.instr("text", ":") + 1, F.length("text"))).alias("value"),
     )
     order = Window.partitionBy("url").orderBy("line")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     block = F.sum(F.col("blank").cast("int")).over(order)
     lines = lines.withColumn("block", block).where(~F.col("blank"))
     # The last line before this one in its block that is an agent, a rule or a delay.
     matters = F.when(F.col("directive").isin("user-agent", "allow", "disallow", "crawl-delay"), F.when(F.col("directive") == "crawl-delay", F.when(F.col("value").try_cast("double").isNotNull(), F.col("directive"))).otherwise(F.col("directive")))
     in_block = Window.partitionBy("url", "block").orderBy("line")
     last = F.last(matters, ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, -1))
-    del before
     starts = (F.col("directive") == "user-agent") & F.coalesce(last != "user-agent", F.lit(False))
     grp = F.sum(starts.cast("int")).over(in_block)
     return lines.withColumn("part", grp).select("url", "line", F.concat_ws(".", F.col("block").cast("string"), F.col("part").cast("string")).alias("grp"), "directive", "value")
@@ -135,6 +133,15 @@ def archive_targets(hosts: DataFrame) -> DataFrame:
     return hosts.select("host", F.posexplode(targets).alias("ord", "target"))
 
 
+def archive_requests(targets: DataFrame, indexes: DataFrame, limit: int = MAX_ARCHIVED) -> DataFrame:
+    """(target) and index listings (id) -> target, index, address: what to fetch of the page index and of the newest crawl indexes, at most ``limit`` entries of each."""
+    # The two public listings and their parameters.
+    quoted = F.replace(F.url_encode(F.col("target")), F.lit("%2A"), F.lit("*"))
+    pages = targets.select("target", F.lit("").alias("index"), F.concat(F.lit("https://web.archive.org/cdx/search/cdx?url="), quoted, F.lit(f"%2F*&output=text&fl=original&collapse=urlkey&limit={limit}")).alias("address"))
+    crawls = targets.crossJoin(F.broadcast(newest_indexes(indexes.where("id != ''")).select(F.col("id").alias("index"))))  # three rows
+    return pages.unionByName(crawls.select("target", "index", F.concat(F.lit("https://index.commoncrawl.org/"), "index", F.lit("-index?url="), quoted, F.lit(f"%2F*&output=json&limit={limit}")).alias("address")))
+
+
 @seed_provider("archives")
 def archive_urls(lines: DataFrame) -> DataFrame:
     """(line) -> url: listings of plain addresses or of JSON objects with a url, canonical and distinct."""
@@ -154,3 +161,16 @@ def merge_seeds(*seeds: DataFrame) -> DataFrame:
     for s in seeds[1:]:
         out = out.unionByName(s.select("url"))
     return out.distinct()
+
+
+def harvest_seeds(sources: dict[str, tuple]) -> DataFrame:
+    """(url, providers): the seeds of every registered provider that ``sources`` has the arguments of, once each, with the providers that told them."""
+    out = None
+    for name, provider in SEED_PROVIDERS.items():
+        if name in sources:
+            found = provider(*sources[name])
+            found = found.select(F.col("seed" if "seed" in found.columns else "url").alias("url"), F.lit(name).alias("provider"))
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError(f"no registered provider among {sorted(sources)}")
+    return out.groupBy("url").agg(F.array_sort(F.collect_set("provider")).alias("providers"))

@@ -81,10 +81,14 @@ def export_listing(spark: SparkSession, folder: str) -> DataFrame:
     return there.join(F.broadcast(known), "name").select("kind", "path")
 
 
-def bundle(folder: str, out: str) -> list[str]:
-    """Zips a run's local folder on the driver; gives the members' names."""
+def bundle(folder: str, out: str, config: dict[str, object] | None = None, log: list[str] | None = None) -> list[str]:
+    """Zips a run's local folder on the driver, with its settings and log where given; gives the members' names."""
     root, members = Path(folder), []
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in (("crawl-config.json", config and json.dumps(config, indent=2)), ("crawl-log.txt", log and "\n".join(log))):
+            if text:
+                members.append(name)
+                z.writestr(name, text)
         for path in sorted(root.rglob("*")):
             if path.is_file() and path != Path(out):
                 members.append(str(path.relative_to(root)))
@@ -97,3 +101,16 @@ def timeline_array(lines: DataFrame) -> DataFrame:
     rows = lines.where(F.try_parse_json("value").isNotNull()).select(F.col("value").alias("v"), F.get_json_object("value", "$.timestamp").alias("ts"))
     ordered = F.array_sort(F.collect_list(F.struct("ts", "v")))
     return rows.agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["v"]), ","), F.lit("]")).alias("timeline"))
+
+
+def selected(datasets: dict[str, DataFrame], name: str) -> DataFrame:
+    """(line) of one dataset as it is printed: values in order, key/value tables as key=value by key."""
+    df = datasets[name]
+    if df.columns[:2] == ["key", "value"]:
+        return df.select(F.concat_ws("=", "key", F.col("value").cast("string")).alias("line")).orderBy("line")
+    return df.select(F.col(df.columns[0]).cast("string").alias("line")).orderBy("line")
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """(line) of (type, payload JSON) events, marked for a console that reads a run's output."""
+    return events.select(F.concat(F.lit("[EVENT]"), F.to_json(F.struct(F.col("type"), F.try_parse_json("payload").alias("payload")))).alias("line"))

@@ -71,11 +71,23 @@ def latest_by_key(events: DataFrame, key: str, seq: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("last")).select(key, "last.*")
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Runs a streaming DataFrame over what is there into a memory table, resuming from its checkpoint."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a streaming DataFrame over what is there and gives its rows, resuming from the checkpoint in ``folder``.
+
+    Each batch is written to a folder of its own number, so that one run twice after a failure counts once. In update mode a
+    key's rows of several batches all stay; ``latest_by_key`` takes the last.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/rows").select(*schema.names)
 
 
 def timeline_sink(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

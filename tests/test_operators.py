@@ -62,6 +62,23 @@ def test_diff_of_equal_snapshots_is_empty(spark):
     assert analysis.snapshot_diff(flat, flat).count() == 0
 
 
+def test_snapshots_are_read_to_any_depth(spark):
+    deep = lambda leaf: "{\"k\": " * 12 + leaf + "}" * 12
+    old, new = (analysis.flatten_snapshot(spark.createDataFrame([(deep(x),)], "doc string")) for x in ('["a", null, 1]', '["a", true, {"b": 2}]'))
+    got = {(len(r.path), r.change, r.value) for r in analysis.snapshot_diff(old, new).collect()}
+    assert got == {(12, "removed", "1"), (12, "added", "True"), (12, "added", "{'b': 2}")}
+
+
+def test_snapshot_nodes_of_unlike_kinds(spark):
+    flat = lambda doc: analysis.flatten_snapshot(spark.createDataFrame([(1, doc)], "run int, doc string"))
+    old, new = flat('{"a": 5, "b": ["x"], "c": {"d": 1}, "e": null, "f": null, "g": 1}'), flat('{"a": ["y"], "b": {"z": 2}, "c": 7, "e": null, "f": 3}')
+    got = {(r.run, "/".join(r.path), r.change, r.value, r.before, r.after) for r in analysis.snapshot_diff(old, new, ("run",)).collect()}
+    assert got == {
+        (1, "a", "added", "y", None, None), (1, "b/z", "changed", None, "None", "2"), (1, "c/d", "changed", None, "1", "None"), (1, "f", "changed", None, "None", "3"), (1, "g", "changed", None, "1", "None"),
+    }
+    assert flat("{broken").count() == flat("[1]").where("kind = 'map'").count() == 0
+
+
 def test_walk_depths_are_least(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     got = dict(crawl.walk(edges, spark.createDataFrame([("a",)], "url string")).collect())
@@ -111,9 +128,8 @@ def test_politeness_stream_equals_replay(spark, tmp_path):
     rows = spark.createDataFrame([("h", i, i / 4, 503 if i % 3 else 200, None) for i in range(12)], schema)
     rows.write.parquet(str(tmp_path / "in"))
     stream = crawl_stream.politeness_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 0.5)
-    crawl_stream.run_available(stream, "polite", str(tmp_path / "cp"), "append")
     key = ["seq"]
-    a = spark.table("polite").toPandas().sort_values(key, ignore_index=True)
+    a = crawl_stream.run_available(stream, str(tmp_path / "out")).toPandas().sort_values(key, ignore_index=True)
     b = crawl_stream.politeness_replay(rows, 0.5).toPandas().sort_values(key, ignore_index=True)
     pd.testing.assert_frame_equal(a, b)
 
@@ -136,7 +152,7 @@ def test_fetch_source_reads_by_host(spark, tmp_path):
     spark.dataSource.register(FetchSource)
     urls = [f"file://{tmp_path}/p.html", f"file://{tmp_path}/none.html", "http://h/"]
     got = {r.url: (r.status_code, r.error) for r in spark.read.format("crawl_fetch").option("urls", json.dumps(urls)).load().collect()}
-    assert list(got.values()) and got[urls[0]] == (200, None) and got[urls[1]] == (404, None) and got["http://h/"] == (None, "InvalidSchema")
+    assert got[urls[0]] == (200, None) and got[urls[1]] == (404, None) and got["http://h/"] == (None, "InvalidSchema")
 
 
 def test_exports_are_listed_and_bundled(spark, tmp_path):
