@@ -2,46 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_side, word_count
 
 #: A source may be repeated up to this many times.
 MAX_REPEATS = 3
+#: Columns of a plan.
+PLANNED = ("size", "source_size", "target", "rate", "copies")
 #: Hexadecimal digits of the digest that seed a document's coin: 52 bits, exact in a double.
 COIN_DIGITS = 13
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
+def ordered_totals(rows: DataFrame, order: list[Column], sums: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """rows with ``place`` from 1 in the order and, of each of the columns ``sums``, the total over the rows before as ``before_<column>``.
+
+    Rows are dealt by range of the order; each range adds up its own and takes the totals of the ranges before, of which
+    there are as many as partitions. No task sees all rows.
+    """
+    dealt = scratch.write(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{c}") for c in sums])
+    above = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    above_of = lambda c: F.coalesce(F.sum(c).over(above), zero).alias(c)
+    offsets = totals.select("__range", above_of("__n"), *[above_of(f"__{c}") for c in sums])
+    mine = Window.partitionBy("__range").orderBy(*order)
+    before = mine.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = dealt.join(F.broadcast(offsets), "__range").withColumns({"place": F.row_number().over(mine) + F.col("__n")} | {f"before_{c}": F.coalesce(F.sum(c).over(before), zero) + F.col(f"__{c}") for c in sums})
+    return numbered.drop("__range", "__n", *[f"__{c}" for c in sums])
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS, scratch: Scratch | None = None) -> DataFrame:
     """One row per source (source, source_size) -> plus weight and target.
 
     Weights cycle over the sources in code point order, null last. Targets share the total by weight;
     one stops at ``max_repeats`` times its source's size and the excess goes to the others by weight.
     With the sources in the order of cap/weight, source k is capped exactly if its cap is not above
-    its share of what the sources before it leave, so one running sum gives the fixed point at once.
-    The table has a row per source, already aggregated.
+    its share of what the sources before it leave, so one running sum gives the fixed point at once. Of the
+    sources only totals and the row at that point come to the driver.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    cycle = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    caps = sizes.withColumn("weight", cycle.cast("long")).withColumn("cap", F.col("source_size") * max_repeats)
-    rising = Window.orderBy((F.col("cap").cast("double") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    left = caps.select(
-        "source", "source_size", "weight", "cap",
-        (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))).alias("left_size"),
-        (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("left_weight"),
-        F.row_number().over(rising).alias("place"),
-    )
-    capped = F.col("cap") * F.col("left_weight") <= F.col("left_size") * F.col("weight")
+    scratch = scratch or Scratch(sizes.sparkSession)
+    source = F.col("source").asc_nulls_last()
+    named = ordered_totals(sizes, [source], (), scratch)
+    cycle = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    caps = named.withColumn("weight", cycle.cast("long")).drop("place").withColumn("cap", F.col("source_size") * max_repeats).withColumn("ratio", F.col("cap").cast("double") / F.col("weight"))
+    rising = ordered_totals(caps, [F.col("ratio").asc(), source], ("cap", "weight"), scratch)
+    size, weight = rising.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    left = rising.withColumn("left_size", F.lit(size) - F.col("before_cap")).withColumn("left_weight", F.lit(weight) - F.col("before_weight"))
     # The first source that keeps below its cap fixes the level that all later ones share.
-    level = F.min_by(F.struct("left_size", "left_weight"), F.when(~capped, F.col("place"))).over(whole)
-    return left.withColumn("level", level).select(
-        "source", "source_size", "weight",
-        F.when(F.col("level").isNull() | (F.col("place") < F.min(F.when(~capped, F.col("place"))).over(whole)), F.col("cap").cast("double"))
-        .otherwise(F.col("level.left_size").cast("double") * F.col("weight") / F.col("level.left_weight")).alias("target"),
-    )
+    free = left.where(F.col("cap") * F.col("left_weight") > F.col("left_size") * F.col("weight"))
+    level = free.agg(F.min(F.struct("place", "left_size", "left_weight")).alias("level")).first()["level"]
+    cap = F.col("cap").cast("double")
+    target = cap if level is None else F.when(F.col("place") < level["place"], cap).otherwise(F.lit(float(level["left_size"])) * F.col("weight") / F.lit(level["left_weight"]))
+    return left.select("source", "source_size", "weight", target.alias("target"))
 
 
 def plan_mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -55,10 +69,10 @@ def plan_mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = (1
     an empty text. Repeated rows count each and share one coin. An empty table gives no rows. Columns
     of the input named like an added one are replaced; all others pass through.
     """
-    added = ["size", "source_size", "target", "rate", "copies"]
-    base = docs.drop(*added).withColumn("size", word_count(F.col("text")))
-    per_source = Scratch(docs.sparkSession).write(base.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    targets = source_targets(per_source, weights, max_repeats).select(
+    base = docs.drop(*PLANNED).withColumn("size", word_count(F.col("text")))
+    scratch = Scratch(docs.sparkSession)
+    per_source = scratch.write(base.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    targets = source_targets(per_source, weights, max_repeats, scratch).select(
         F.col("source").alias("__source"), F.col("source_size"), F.col("target"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"),
     )
@@ -71,9 +85,10 @@ def plan_mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = (1
 
 
 def emit_mix(planned: DataFrame) -> DataFrame:
-    """Each planned document as many times as its copies say; those with none go. Without the plan's columns."""
+    """Each planned document as many times as its copies say; those with none go. Without the plan's columns, and so without columns of the
+    documents themselves of those names, which the plan has replaced."""
     return (
         planned.where(F.col("copies") > 0)
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .drop("__copy", "size", "source_size", "target", "rate", "copies")
+        .drop("__copy", *PLANNED)
     )

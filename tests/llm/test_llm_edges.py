@@ -537,3 +537,22 @@ def test_quality_query_equals_brute_force(spark):
         per, rel = (a - b) / (len(raw) + 32), (a - b) / max(a, b)
         z = np.dot([10 * per, 10 * rel, 100 * per * abs(per), 1], model.coef)
         assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_targets_of_many_sources_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(9)
+    sizes = {f"s{k:04d}é" if k % 7 else f"S{k}": int(n) for k, n in enumerate(rng.pareto(0.7, 700) * 100)}
+    frame = spark.createDataFrame([*sizes.items(), (None, 50)], "source string, source_size bigint").repartition(5)
+    got = {r.source: r.target for r in mixing.source_targets(frame).collect()}
+    names = [*sorted(sizes, key=lambda s: s.encode()), None]
+    size = sizes | {None: 50}
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    fixed: dict = {}
+    while True:  # reshare what is above a cap until nothing is
+        left, share = sum(size.values()) - sum(fixed.values()), sum(weight[s] for s in names if s not in fixed)
+        above = [s for s in names if s not in fixed and 3 * size[s] <= left * weight[s] / share]
+        if not above:
+            break
+        fixed |= {s: 3 * size[s] for s in above}
+    assert got == {s: pytest.approx(fixed.get(s, left * weight[s] / share if share else 0)) for s in names}
+    assert mixing.source_targets(frame.limit(0)).count() == 0
