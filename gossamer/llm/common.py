@@ -44,13 +44,14 @@ def scratch_root(spark: SparkSession) -> str:
 BATCH_ROWS = "1000"
 #: Rows of ids, keys or links that a task writes.
 LIGHT_ROWS = 500_000
-#: Ids or sources that are sent to all executors; above it the join shuffles both sides.
-BROADCAST_ROWS = 500_000
+#: Bytes as written of ids or sources that are sent to all executors; above it the join shuffles both sides.
+BROADCAST_BYTES = 16_000_000
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it has been counted to be small."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small_side(df: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """df marked for broadcast if the files of the ``written`` table that it is made of, row by row, are small."""
+    size = int(str((written or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def hot_bound(rows: int) -> int:

@@ -14,16 +14,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """At most about ``max_docs`` labelled documents for fitting: doc_id, text, label; held-out rows never.
 
     Rows are drawn by a hash of the id below a threshold that follows from the number of labels, so the
-    sample reruns alike. Only the drawn ids are broadcast; texts are not shuffled. Where an id has
-    several labels, the larger counts; null labels and ids are no examples.
+    sample reruns alike. Only the drawn ids are broadcast, and only their texts are shuffled. Where an id has
+    several labels, the larger counts, where it has several texts, the smallest; null labels and ids are no examples.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     rows = rows.where(crc_mod(F.col("doc_id"), modulus) != held)
     share = min(1.0, max_docs / max(1, rows.count()))
     drawn = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").toPandas()
-    return got.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
+    got = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label").toPandas()
+    return got.sort_values("doc_id", kind="stable").reset_index(drop=True)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:

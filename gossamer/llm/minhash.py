@@ -461,7 +461,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without all but one document of each class; rows with a null id stay, of rows that repeat an id one does."""
     classes = near_duplicates(docs, similarity)
     gone = Scratch(docs.sparkSession).write(classes.where(~F.col("kept")).select("doc_id"), "gone")
-    left = docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
     if repeated.isEmpty():
         return left

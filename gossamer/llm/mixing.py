@@ -79,7 +79,7 @@ def plan_mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = (1
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     coin = F.conv(F.substring(F.md5(key.cast("binary")), 1, COIN_DIGITS), 16, 10).cast("double") / F.lit(float(16**COIN_DIGITS))
     whole = F.floor("rate").cast("int")
-    targets = small_side(targets, per_source.count())
+    targets = small_side(targets, per_source)
     joined = base.join(targets, base["source"].eqNullSafe(targets["__source"]), "left").drop("__source")
     return joined.withColumn("copies", whole + F.when(coin < F.col("rate") - whole, F.lit(1)).otherwise(F.lit(0)))
 

@@ -556,3 +556,50 @@ def test_targets_of_many_sources_equal_a_plain_loop(spark):
         fixed |= {s: 3 * size[s] for s in above}
     assert got == {s: pytest.approx(fixed.get(s, left * weight[s] / share if share else 0)) for s in names}
     assert mixing.source_targets(frame.limit(0)).count() == 0
+
+
+def test_pipeline_equals_brute_force(spark):
+    """All five stages over the smallest table against plain loops; the spans that the method adds are taken from the operator."""
+    import hashlib
+    import zlib
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    data = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    got = corpus_pipeline.run(spark, data).toPandas()
+    model = toxicity.fit_from_tables(docs, labels)
+    rows = sorted((r for r in docs.collect() if brute_toxicity(model, r.text or "") < 0.5), key=lambda r: r.doc_id)
+    classes = brute_classes([r.text or "" for r in rows])
+    rows = [r for i, r in enumerate(rows) if classes[i] == i]
+    kept = spark.createDataFrame(rows, docs.schema)
+    spans = {r.doc_id: r.spans for r in pii.find_pii(kept).collect()}
+    texts = {}
+    for r in rows:
+        out, at = [], 0
+        for s in spans[r.doc_id]:
+            if s.start >= at:
+                out += [r.text[at : s.start], f"[{s.kind.upper()}]"]
+            at = max(at, s.end)
+        texts[r.doc_id] = "".join(out) + r.text[at:] if r.text is not None else ""
+    words = {d: len([w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", t)]) for d, t in texts.items()}
+    source = {r.doc_id: r.source for r in rows}
+    size: dict = {}
+    for d, n in words.items():
+        size[source[d]] = size.get(source[d], 0) + n
+    target = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(size.items()), "source string, source_size bigint")).collect()}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    want = []
+    for d, t in texts.items():
+        rate = target[source[d]] / size[source[d]] if size[source[d]] else 0.0
+        coin = int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:13], 16) / 16**13
+        ids = tok.encode(t, add_special_tokens=False).ids + [0]
+        cut = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)] if len(ids) > 2048 else [0, len(ids)]
+        pieces = [(d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cut, cut[1:]))]
+        want += pieces * (int(rate) + (coin < rate - int(rate)))
+    assert sorted(map(tuple, got[["doc_id", "piece", "start", "length", "ids_crc32"]].to_numpy().tolist())) == sorted(want)
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]] and s["length"].sum() <= 2048
