@@ -194,3 +194,27 @@ def rendered_evidence(rendered: DataFrame) -> DataFrame:
     """(url, evidence JSON) of rendered pages: the digest of the page, its final address where that is another, the number of addresses met."""
     final = F.when(F.col("final_url") != F.col("url"), F.col("final_url"))
     return rendered.select("url", F.to_json(F.struct(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("dom_sha256"), final.alias("final_url"), F.size("urls").alias("urls"))).alias("evidence"))
+
+
+# Headings of a report and what stands where a section is empty.
+REPORT_PARTS = (
+    ("what_broke", "## What broke", "- None observed"), ("what_changed", "## What changed", "- No temporal changes recorded"),
+    ("what_looks_fake", "## What looks fake", "- No strong fake signals recorded"), ("worth_probing_next", "## Worth probing next", "- No next probes suggested"),
+)
+
+
+def report_lines(head: list[str], anatomy: DataFrame, sections: DataFrame, shown: int = REPORT_ITEMS) -> DataFrame:
+    """(part, ord, line) of a Markdown report: ``head`` as it is, the anatomy (section, value) by section, then ``report_sections``; the first items of each.
+
+    A row per line, to be sorted by part and ord; at most ``shown`` items a section, whatever the tables' size.
+    """
+    spark = anatomy.sparkSession
+    titled = [(s, f"### {s.replace('_', ' ').title()}", "- None observed") for s in analysis.SECTIONS]
+    parts = spark.createDataFrame([(k + 1, *row) for k, row in enumerate([*titled, *REPORT_PARTS])], "part int, section string, heading string, none string")
+    place = F.row_number().over(Window.partitionBy("section").orderBy("value")).cast("bigint")
+    items = anatomy.select("section", "value").withColumn("ord", place).where(F.col("ord") <= shown).unionByName(sections.where(F.col("ord") <= shown).select("section", "value", "ord"))
+    listed = F.broadcast(parts).join(items, "section", "left").select("part", F.coalesce("ord", F.lit(1).cast("bigint")).alias("ord"), F.coalesce(F.concat(F.lit("- "), "value"), F.col("none")).alias("line"))
+    headings = parts.select("part", F.lit(0).cast("bigint").alias("ord"), F.col("heading").alias("line"))
+    gaps = parts.select("part", F.lit(shown + 1).cast("bigint").alias("ord"), F.lit("").alias("line"))
+    first = spark.createDataFrame([(0, k, line) for k, line in enumerate([*head, "## Site anatomy"])], "part int, ord bigint, line string")
+    return first.unionByName(headings).unionByName(listed).unionByName(gaps).orderBy("part", "ord")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import platform
 import re
-from dataclasses import dataclass, fields, replace
+from dataclasses import asdict, dataclass, fields, replace
+from importlib import metadata
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -142,3 +144,29 @@ def log_lines(lines: DataFrame) -> DataFrame:
     """(line) without terminal colours, with its channels."""
     clean = T.strip_ansi(F.col("line"))
     return lines.select(clean.alias("line"), T.log_channels(clean).alias("channels")).where("line != ''")
+
+
+def run_metadata(run_id: str, settings: RunSettings, command: list[str], saved_at: str, baseline: str = "", output_dir: str = "") -> dict[str, object]:
+    """What a report and a manifest say of the run itself: its settings, those that are switched on, its command and the software it ran on."""
+    config = asdict(settings)
+    versions = {}
+    for name in ("pyspark", "pandas", "pyarrow", "numpy"):
+        try:
+            versions[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            versions[name] = "missing"
+    return {
+        "run_id": run_id, "saved_at": saved_at, "command": list(command), "command_line": " ".join(command), "preset": settings.preset, "mode": settings.mode, "workflow": settings.workflow,
+        "baseline_source": baseline, "output_dir": output_dir, "flags": {k: v for k, v in config.items() if isinstance(v, bool)}, "config": config,
+        "runtime": {"python_version": platform.python_version(), "platform": platform.platform(), "dependency_versions": versions},
+    }
+
+
+def report_head(target: dict[str, str], counts: dict[str, int], seconds: float, run: dict[str, object]) -> list[str]:
+    """The first lines of a Markdown report: the target, the run's counts and its metadata."""
+    said = lambda *rows: [f"- {label}: `{value or '-'}`" for label, value in rows]
+    return [
+        "# Autopsy", "", "## What the target is", *said(("Kind", target.get("kind")), ("Source", target.get("source")), ("Workflow", run["workflow"]), ("Mode", run["mode"]), ("Preset", run["preset"])), "",
+        "## Run summary", f"- Pages crawled: {counts.get('visited', 0)}", f"- Skipped: {counts.get('skipped', 0)}", f"- Failed: {counts.get('failures', 0)}", f"- Duration (s): {seconds:.2f}", "",
+        "## Run metadata", *said(("Run", run["run_id"]), ("Saved at", run["saved_at"]), ("Command", run["command_line"]), ("Baseline", run["baseline_source"]), ("Python", run["runtime"]["python_version"])), "",
+    ]

@@ -117,16 +117,21 @@ def story_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.where("relation = 'page'").select("url", "story", "cluster", "title", "source", "lang")
 
 
-@query("story_relations")
-def story_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.stories(read(spark, sf_dir, "pages").select("url", "html")).groupBy("relation").agg(F.count("*").alias("n"))
-
-
 # The entities that pages hold, &amp; last; white space as Unicode has it.
 _SPACES = r"[\s\x0B\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _DECODED = "replace(replace(replace(replace(replace(replace({t}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&')"
 
 
+@query("story_relations", rf"""
+WITH t AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS domain, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, html,
+  trim(regexp_replace(regexp_replace({_DECODED.format(t="coalesce(html, '')")}, '<[^>]+>', ' ', 'g'), '{_SPACES}+', ' ', 'g')) AS text FROM pages),
+s AS (SELECT domain, list_sort(list_distinct(regexp_extract_all(html, '(?i)href=[\"''](https?://[^\"'']+)[\"'']', 1)))[1:10] AS links, list_distinct(regexp_extract_all(text, '\"([^\"\n]{{12,160}})\"', 1)[1:5]) AS quotes FROM t WHERE trim(title) <> '')
+SELECT relation, count(*) AS n FROM (SELECT 'page' AS relation FROM s UNION ALL SELECT 'metadata' FROM s UNION ALL SELECT 'quote' FROM (SELECT unnest(quotes) FROM s)
+  UNION ALL SELECT CASE WHEN regexp_extract(link, '^[a-zA-Z]+://([^/?#]+)', 1) <> domain THEN 'mirror' ELSE 'reference' END FROM (SELECT domain, unnest(links) AS link FROM s)) GROUP BY relation""")
+def story_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.stories(read(spark, sf_dir, "pages").select("url", "html")).groupBy("relation").agg(F.count("*").alias("n"))
+
+
 @query("visible_text", rf"""
 WITH n AS (SELECT page_id, unnest(string_split_regex(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g'), '<[^>]+>')) AS node,
   unnest(range(len(string_split_regex(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g'), '<[^>]+>')))) AS i FROM pages),

@@ -544,3 +544,25 @@ def redirect_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inline_script_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = '<script>let a = 1;</script><script src="/x.js"></script><SCRIPT type="module">\nb()</SCRIPT>'
     return extract.inline_scripts(table(spark, "url string, html string", (SITE + "/", page))).select("ord", "body")
+
+
+# Thirteen sections of the anatomy and four others, each a heading, its items or what stands for none, and a gap; 20 of 25 documents are listed.
+@query("report_markdown", "part, n, first, last", [
+    (0, 3, "# Autopsy", "## Site anatomy"), (1, 3, "### Auth Surfaces", ""), (2, 22, "### Docs", ""), *((k, 3, f"### {title}", "") for k, title in enumerate([
+        "Apis", "Forms", "Static Assets", "Admin Ish Routes", "Old Paths", "Analytics", "Cdn Assets", "External Refs", "Archive Only Paths", "Trust Links", "Dead Ends"], start=3)),
+    (14, 4, "## What broke", ""), (15, 3, "## What changed", ""), (16, 3, "## What looks fake", ""), (17, 14, "## Worth probing next", ""),
+])
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anatomy = table(spark, "section string, value string", *(("docs", f"{SITE}/{k:02d}.pdf") for k in range(25)))
+    found = table(spark, "dataset string, value string", ("failed", "a"), ("skipped", "b"))
+    sections = runs.report_sections(found, table(spark, "ord int, probe string", *((k, f"p{k:02d}") for k in range(1, 14))))
+    lines = runs.report_lines(["# Autopsy", ""], anatomy, sections)
+    return lines.groupBy("part").agg(F.count("*").alias("n"), F.min_by("line", "ord").alias("first"), F.max_by("line", "ord").alias("last"))
+
+
+# The lines of sections without items, and of the last one with some.
+@query("report_items", "part, line", [(1, "- None observed"), (15, "- No temporal changes recorded"), (16, "- No strong fake signals recorded"), (17, "- p01")])
+def report_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = runs.report_sections(table(spark, "dataset string, value string", ("failed", "a")), table(spark, "ord int, probe string", (1, "p01")))
+    lines = runs.report_lines([], table(spark, "section string, value string", ("docs", "d")), sections)
+    return lines.where("part IN (1, 15, 16, 17) AND ord = 1").select("part", "line")

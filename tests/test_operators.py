@@ -167,3 +167,43 @@ def test_script_findings_do_not_depend_on_the_blanks_before_a_sign(spark):
     frame = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "url string, body string")
     got = sorted((r.url, r.kind, r.value) for r in extract.js_intel(frame, ("token", "view")).collect())
     assert got == [("0", "token", "abcdef123"), ("1", "token", "abcdef123"), ("2", "token", "abcdef123"), ("3", "view", "home"), ("4", "view", "home")]
+
+
+def test_reports_tell_the_run():
+    from gossamer.plans import control
+
+    run = control.run_metadata("r1", control.resolve("js", {}), ["crawl", "--deep"], "2024-01-01T00:00:00Z")
+    assert run["flags"]["extract_secrets"] and run["command_line"] == "crawl --deep" and run["config"]["mode"] == "js-intel"
+    head = control.report_head({"kind": "js"}, {"visited": 3}, 1.5, run)
+    assert "- Pages crawled: 3" in head and "- Duration (s): 1.50" in head and "- Kind: `js`" in head and "- Source: `-`" in head
+
+
+def test_local_paths_are_under_a_root(tmp_path):
+    from gossamer.plans import control
+
+    good, bad = tmp_path / "a" / "x.js", tmp_path / "b" / "x.js"
+    for path in (good, bad, tmp_path / "a" / "x.exe"):
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("1")
+    (tmp_path / "a" / "link.js").symlink_to(bad)
+    roots = (str(tmp_path / "a"),)
+    assert control.safe_local_path(str(good), roots) == str(good)
+    assert [control.safe_local_path(str(p), roots) for p in (bad, tmp_path / "a" / "x.exe", tmp_path / "a" / "link.js", tmp_path / "a" / "none.js", "x.js")] == [""] * 5
+
+
+def test_bundles_hold_settings_and_log(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "stats.txt").write_text("visited=1")
+    names = sinks.bundle(str(tmp_path), str(tmp_path / "sealed-bundle.zip"), {"depth": 2}, ["one", "two"])
+    assert names == ["crawl-config.json", "crawl-log.txt", "stats.txt"]
+    assert zipfile.ZipFile(tmp_path / "sealed-bundle.zip").read("crawl-log.txt") == b"one\ntwo"
+
+
+def test_waits_between_attempts_double_or_follow_the_server():
+    from gossamer.sources import fetch
+
+    waits = []
+    answers = iter([fetch.Response(503, "", None, "u"), fetch.Response(429, "", None, "u", headers={"Retry-After": "90"}), fetch.Response(500, "", None, "u"), fetch.Response(200, "", "x", "u")])
+    row = fetch.with_retries(lambda url, attempt, headers: next(answers), "u", {}, pause=waits.append)
+    assert row[1] == 200 and row[-1] == 4 and waits == [0.4, 30.0, 1.6]
