@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,7 +73,7 @@ class Hasher:
 
 
 def fit_probes(hasher: Hasher, sample: np.ndarray, k: int) -> int:
-    """Fewest probes a table with which the sample's queries find the wanted share of their k nearest."""
+    """Fewest probes a table with which the sample's queries find the wanted share of their k nearest; all, with a warning, if none do."""
     q = sample[:SAMPLE_QUERIES]
     score = q @ sample.T
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
@@ -85,7 +86,10 @@ def fit_probes(hasher: Hasher, sample: np.ndarray, k: int) -> int:
     hit = probes[:, :, None, :] == np.moveaxis(buckets[best], 1, 2)[:, :, :, None]
     first = np.where(hit.any(-1), hit.argmax(-1), len(hasher.offsets)).min(1)
     reached = np.sort(first.ravel())
-    return min(len(hasher.offsets), int(reached[math.ceil(SAMPLE_RECALL * len(reached)) - 1]) + 1)
+    n = int(reached[math.ceil(SAMPLE_RECALL * len(reached)) - 1]) + 1
+    if n > len(hasher.offsets):
+        warnings.warn(f"all {len(hasher.offsets)} probes a table find {(reached < len(hasher.offsets)).mean():.3f} of the nearest in the sample, {SAMPLE_RECALL} wanted", stacklevel=2)
+    return min(len(hasher.offsets), n)
 
 
 def _best(width: int, k: int):

@@ -603,3 +603,38 @@ def test_pipeline_equals_brute_force(spark):
     assert sorted(map(tuple, got[["doc_id", "piece", "start", "length", "ids_crc32"]].to_numpy().tolist())) == sorted(want)
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]] and s["length"].sum() <= 2048
+
+
+def test_search_over_many_shares_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARE_ROWS", 64)
+    monkeypatch.setattr(ann, "GROUP_ROWS", 500)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 24)) * rng.uniform(0.5, 2, 1500)[:, None]
+    x[200:260] = x[5]  # one very common vector
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    got = ann.search(frame, F.col("vec_id") % 20 == 0, 10).toPandas()
+    found = 0
+    for q in range(0, 1500, 20):
+        mine = got[got["query_id"] == q].sort_values("rank")
+        score = x @ x[q]
+        score[q] = -np.inf
+        order = np.lexsort((np.arange(1500), -score))[:10]
+        assert mine["rank"].tolist() == list(range(1, 11)) and np.allclose(mine["score"], score[mine["vec_id"]], rtol=0, atol=1e-12)
+        keys = list(zip(-mine["score"], mine["vec_id"]))
+        assert keys == sorted(keys)
+        found += len(set(order) & set(mine["vec_id"]))
+    assert found >= 0.9 * 75 * 10
+
+
+def test_a_recall_that_is_missed_is_told(monkeypatch):
+    monkeypatch.setattr(ann, "WIDTH", 0.05)
+    x = np.random.default_rng(3).normal(size=(300, 32))
+    hasher = ann.Hasher.draw(32, float(np.sqrt((x * x).sum(1)).max()))
+    with pytest.warns(UserWarning, match="probes a table find"):
+        assert ann.fit_probes(hasher, x, 5) == 81
+
+
+def test_quality_of_one_label_alone(spark, docs):
+    labels = spark.createDataFrame([(3, 1, 0), (6, 1, 0), (5, None, None), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = {round(r.quality_score, 6) for r in quality.score_documents(docs, quality.fit_from_tables(docs, labels)).collect()}
+    assert len(got) == 1 and 0.5 < got.pop() < 1
