@@ -41,18 +41,23 @@ def normalise(text: str | None) -> bytes:
 # --- counting -------------------------------------------------------------------------------
 
 
-def byte_stream(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in one array with ``depth`` ends before each; places of all coded bytes, ends too; first place of each text in those."""
+def _coded_bytes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one array with ``depth`` ends before each; which bytes are coded, the first end after a text too; first place of each text in those."""
     gap = bytes([END]) * depth
     joined = np.frombuffer(gap + b"".join(t + gap for t in texts), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = depth + np.concatenate([[0], np.cumsum(lengths + depth)[:-1]]) if len(texts) else np.zeros(0, np.int64)
-    coded = np.zeros(len(joined) + 1, np.int8)
-    np.add.at(coded, starts, 1)
-    np.add.at(coded, starts + lengths + 1, -1)
-    places = np.flatnonzero(np.cumsum(coded[:-1]))
+    coded = np.ones(len(joined), bool)
+    coded[:depth] = False
+    coded[((starts + lengths + 1)[:, None] + np.arange(depth - 1)).ravel()] = False
     first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(texts) else np.zeros(0, np.int64)
-    return joined, places, first
+    return joined, coded, first
+
+
+def byte_stream(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As above, with the places of the coded bytes."""
+    joined, coded, first = _coded_bytes(texts, depth)
+    return joined, np.flatnonzero(coded), first
 
 
 def slices(texts: list[bytes], limit: int) -> Iterator[list[bytes]]:
@@ -69,19 +74,27 @@ def slices(texts: list[bytes], limit: int) -> Iterator[list[bytes]]:
 
 def string_codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Each byte with the ``depth`` before it as one number, the byte itself lowest; first place of each text."""
-    joined, places, first = byte_stream(texts, depth)
-    code = np.zeros(len(places), np.int64)
+    joined, coded, first = _coded_bytes(texts, depth)
+    code = np.zeros(len(joined) - depth, np.int64)
     for k in range(depth, -1, -1):
-        code = (code << 8) | joined[places - k]
-    return code, first
+        code <<= 8
+        code |= joined[depth - k : len(joined) - k]
+    return code[coded[depth:]], first
 
 
 def count_strings(texts: list[bytes], held_out: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct byte strings of all texts, and how often each is in those that are not held out."""
     code, _ = string_codes(texts, depth)
     at, codes = pd.factorize(code)
-    train = np.repeat(~held_out, np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return codes, np.bincount(at[train], minlength=len(codes))
+    del code
+    out = np.repeat(held_out, np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return codes, np.bincount(at, minlength=len(codes)) - np.bincount(at[out], minlength=len(codes))
+
+
+def sum_strings(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings of several counts, and the sums of their counts."""
+    at, codes = pd.factorize(np.concatenate([c for c, _ in parts]))
+    return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
 # --- the tree -------------------------------------------------------------------------------
@@ -345,13 +358,17 @@ class _Chunk:
         for some in slices(texts, 4_000_000):
             self.strings.append(count_strings(some, held_out[lo : lo + len(some)], self.depth))
             lo += len(some)
+            if len(self.strings) == 4:
+                self.strings = [sum_strings(self.strings)]
         self.documents, self.bytes = self.documents + len(texts), self.bytes + sum(map(len, texts))
 
     def rows(self) -> Iterator[pd.DataFrame]:
         tokens = np.fromiter(map(_hash, self.vocabulary), np.int64, len(self.vocabulary))
-        codes, n = _sum_by(*map(np.concatenate, zip(*self.strings, strict=True)))
+        codes, n = sum_strings(self.strings)
+        order = np.argsort(codes)  # sorted numbers take less room, written and sent
+        codes, n, self.strings = codes[order], n[order], []
         words = {"token": tokens, "local_id": np.arange(len(tokens), dtype=np.int32), "train_count": self.train}
-        for part in (words, {"code": codes, "train_count": n.astype(np.int64)}):
+        for part in (words, {"code": codes, "train_count": n}):
             rows = pd.DataFrame({"chunk": self.number} | part)
             for i in range(0, len(rows), PART_ROWS):
                 yield rows.iloc[i : i + PART_ROWS].reindex(columns=PART_COLUMNS)
@@ -412,7 +429,7 @@ def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int =
         gain = np.log10(c + 1.0) - floor
         strings, value = pd.Index(right["code"].to_numpy()[~is_word]), right["logp"].to_numpy()[~is_word].astype(float)
         scores = []
-        for some in slices(texts, 2_000_000):
+        for some in slices(texts, 1_000_000):
             code, first = string_codes(some, depth)
             scores.append(np.add.reduceat(value[strings.get_indexer(code)], first))
         return pd.DataFrame({
