@@ -636,5 +636,5 @@ def test_a_recall_that_is_missed_is_told(monkeypatch):
 
 def test_quality_of_one_label_alone(spark, docs):
     labels = spark.createDataFrame([(3, 1, 0), (6, 1, 0), (5, None, None), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
-    got = {round(r.quality_score, 6) for r in quality.score_documents(docs, quality.fit_from_tables(docs, labels)).collect()}
+    got = {round(r.quality_score, 6) for r in quality.score_documents(docs, quality.fit_from_tables(docs, labels, modulus=1, held=1)).collect()}
     assert len(got) == 1 and 0.5 < got.pop() < 1
