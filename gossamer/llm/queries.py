@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embed_dedup, lm, minhash, mixing, packing, pii, quality, toxicity
+from . import ann, chat, embed_dedup, filter_audit, lm, minhash, mixing, packing, pii, quality, toxicity
 from .common import Scratch, crc_mod, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -128,9 +128,47 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), m AS (
+  SELECT doc_id, part,
+    CASE WHEN len(words) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM d
+), l AS (
+  SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), f AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS f(letter, bit)
+), o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (
+  SELECT filter_order, step::INT AS step, bits[step] AS own, list_sum(bits[1:step - 1]) AS before_ FROM o, range(1, 6) AS r(step)
+), p AS (
+  SELECT DISTINCT part FROM c
+), r AS (
+  SELECT p.part, filter_order, step, own, coalesce(before_, 0)::INT AS gone FROM p, s
+), x AS (
+  SELECT r.part, filter_order, step,
+    coalesce(sum(n) FILTER (WHERE mask & (own | gone) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & gone = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & gone <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & own <> 0 AND mask & gone = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & own <> 0 AND mask & gone = 0), 0)::BIGINT AS toxic_lost
+  FROM r JOIN c ON r.part = c.part GROUP BY r.part, filter_order, step
+)
+SELECT x.*, (sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)))::BIGINT AS shapley FROM x
+"""
+
+
 def queries() -> dict[str, QueryFn]:
-    return {"op1_chat_format": op1_chat_format, "op2_pack": op2_pack, "op3_embed_dedup": op3_embed_dedup, "op4_toxicity": op4_toxicity, "op6_ann": op6_ann, "op5_mix": op5_mix, "op7_minhash_dedup": op7_minhash_dedup, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_lm_score": op10_lm_score}
+    return {"op1_chat_format": op1_chat_format, "op2_pack": op2_pack, "op3_embed_dedup": op3_embed_dedup, "op4_toxicity": op4_toxicity, "op6_ann": op6_ann, "op5_mix": op5_mix, "op7_minhash_dedup": op7_minhash_dedup, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_lm_score": op10_lm_score, "op11_filter_audit": op11_filter_audit}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op5_mix": OP5_SQL}
+    return {"op1_chat_format": OP1_SQL, "op5_mix": OP5_SQL, "op11_filter_audit": OP11_SQL}
