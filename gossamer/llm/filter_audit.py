@@ -32,15 +32,15 @@ def with_content_mask(docs: DataFrame) -> DataFrame:
     return told.withColumn("content", mask).drop("__words", "__n", "__distinct")
 
 
-def block_hashes(text: Column) -> Column:
-    """array<bigint>: hashes of a text's blocks, as many as it reaches; together they cover all of it."""
+def block_hashes() -> Column:
+    """array<bigint>: hashes of the blocks that ``text`` of ``length`` code points reaches; together they cover all of it."""
     blocks = F.array(*[F.struct(F.lit(start).alias("start"), F.lit(size).alias("size")) for start, size in BLOCKS])
-    return F.transform(F.filter(blocks, lambda b: b["start"] < F.length(text)), lambda b: F.xxhash64(F.substring(text, b["start"] + 1, b["size"])))
+    return F.transform(F.filter(blocks, lambda b: b["start"] < F.col("length")), lambda b: F.xxhash64(F.substring("text", b["start"] + 1, b["size"])))
 
 
-def text_class(text: Column) -> Column:
-    """The class that a text is in when all its blocks are used."""
-    return F.aggregate(block_hashes(text), F.xxhash64(F.length(text)), lambda c, h: F.xxhash64(c, h))
+def last_class() -> Column:
+    """The class that ``text`` is in when all its blocks are used."""
+    return F.aggregate(block_hashes(), F.xxhash64("length"), lambda c, h: F.xxhash64(c, h))
 
 
 def mark_duplicates(docs: DataFrame, scratch: Scratch, keep: list[str]) -> DataFrame:
@@ -49,8 +49,8 @@ def mark_duplicates(docs: DataFrame, scratch: Scratch, keep: list[str]) -> DataF
     Only ids, lengths and hashes are dealt by class, and those of a hot class stay where they are. Texts move only where
     their class outlives all rounds, and of equal ones in a task one moves. A null id is no duplicate and makes none.
     """
-    text, names = F.col("text"), ["doc_id", *keep]
-    rows = scratch.write(docs.select(*names, F.length(text).alias("length"), block_hashes(text).alias("hashes")), "lengths")
+    names, whole = ["doc_id", *keep], docs.withColumn("length", F.length("text"))
+    rows = scratch.write(whole.select(*names, "length", block_hashes().alias("hashes")), "lengths")
     rows, n, level, alone = rows.withColumn("class", F.xxhash64("length")), rows.count(), 0, []
     while True:
         groups = scratch.write(rows.groupBy("class").agg(F.count("*").alias("n")), "classes", rows=n)
@@ -64,14 +64,13 @@ def mark_duplicates(docs: DataFrame, scratch: Scratch, keep: list[str]) -> DataF
         rows, level = rows.withColumn("class", F.when(F.size("hashes") > level, finer).otherwise(F.col("class"))), level + 1
 
     left = scratch.write(rows.groupBy("class").agg(F.count("*").alias("n")), "left", rows=n)
-    whole = docs.select("doc_id", "text", *keep, text_class(text).alias("class"))
-    texts = whole.join(small_side(left.select("class"), left), "class", "left_semi").groupBy("class", "text").agg(F.min("doc_id").alias("first"))
+    texts = whole.select("doc_id", "text", last_class().alias("class")).join(small_side(left.select("class"), left), "class", "left_semi").groupBy("class", "text").agg(F.min("doc_id").alias("first"))
     kinds = scratch.write(texts.groupBy("class").agg(F.count("*").alias("kinds"), F.min("first").alias("first")).join(left, "class"), "firsts", rows=n)
     marked = lambda df: df.select(*names, F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("duplicate"))
     out = marked(join_groups(rows, kinds.where("kinds = 1"), "class"))
     mixed = kinds.where("kinds > 1").select("class")
     if not mixed.isEmpty():  # texts that differ though all their hashes are equal
-        unlike = whole.join(small_side(mixed, kinds), "class", "left_semi")
+        unlike = whole.withColumn("class", last_class()).join(small_side(mixed, kinds), "class", "left_semi")
         out = out.unionByName(marked(unlike.join(unlike.groupBy("class", "text").agg(F.min("doc_id").alias("first")), ["class", "text"])))
     for part in alone:
         out = out.unionByName(part)
