@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embed_dedup, filter_audit, lm, minhash, mixing, packing, pii, quality, toxicity
+from . import ann, bpe, chat, embed_dedup, filter_audit, lm, minhash, mixing, packing, pii, quality, toxicity, whitening
 from .common import Scratch, crc_mod, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -166,8 +166,18 @@ SELECT x.*, (sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, QueryFn]:
-    return {"op1_chat_format": op1_chat_format, "op2_pack": op2_pack, "op3_embed_dedup": op3_embed_dedup, "op4_toxicity": op4_toxicity, "op6_ann": op6_ann, "op5_mix": op5_mix, "op7_minhash_dedup": op7_minhash_dedup, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_lm_score": op10_lm_score, "op11_filter_audit": op11_filter_audit}
+    return {"op1_chat_format": op1_chat_format, "op2_pack": op2_pack, "op3_embed_dedup": op3_embed_dedup, "op4_toxicity": op4_toxicity, "op6_ann": op6_ann, "op5_mix": op5_mix, "op7_minhash_dedup": op7_minhash_dedup, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_lm_score": op10_lm_score, "op11_filter_audit": op11_filter_audit, "op12_whitening": op12_whitening, "op13_bpe": op13_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
