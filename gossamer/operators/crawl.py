@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..sources.runlog import RunLog
 
 # Outside domains that count as findings, and words of subdomain candidates.
 INTEL_DOMAINS = (
@@ -53,25 +54,60 @@ def walk(edges: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
     the shared folder, so plans stay short and survive lost executors; and Spark knows the bytes of each frontier, so
     one below its broadcast threshold meets the edges where they are.
     """
-    spark = edges.sparkSession
-    folder = scratch_folder(spark)
-    edges.select("src", "dst").distinct().write.parquet(f"{folder}/edges")
-    edges = spark.read.parquet(f"{folder}/edges")
-    depth = F.col("depth").cast("int") if "depth" in roots.columns else F.lit(0)
-    paths = [f"{folder}/level=start"]
-    roots.groupBy("url").agg(F.min(depth).alias("depth")).write.parquet(paths[0])
-    start = spark.read.parquet(paths[0])
-    first = start.agg(F.max("depth")).first()[0] or 0
-    last = start.where(F.col("depth") == first)
-    for level in range(first + 1, max_depth + 1):
-        found = last.join(edges, last["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()
-        fresh = found.join(spark.read.parquet(*paths).select("url"), "url", "left_anti")
-        paths.append(f"{folder}/level={level}")
-        fresh.select("url", F.lit(level).alias("depth")).write.parquet(paths[-1])
-        last = spark.read.parquet(paths[-1])
-        if last.isEmpty():
-            break
-    return spark.read.parquet(*paths)
+    return walk_logged(edges, roots, scratch_folder(edges.sparkSession), max_depth).select("url", "depth")
+
+
+def walk_logged(edges: DataFrame | None, roots: DataFrame | None, folder: str, max_depth: int = 8, spark: SparkSession | None = None) -> DataFrame:
+    """(url, depth, parent): the walk with its phases logged in ``folder``, where another session can take it up.
+
+    The log has the edges, the roots as phase ``seeded``, each level as ``depth-N``, and ``complete`` once a level is empty; each is published as a
+    whole (runlog), so a walk that was stopped anywhere goes on after its last whole level. What the log has of edges and roots
+    counts, and a walk that goes on needs neither. A complete walk, or one that has the levels asked for, is only read.
+
+    ``parent`` is the smallest URL of the level before that leads there; roots have none. A root may come with its ``depth`` and ``parent``.
+    """
+    spark = spark or edges.sparkSession
+    log = RunLog(spark, folder)
+    done = log.entries()
+    if not any(e.phase == "seeded" for e in done):
+        depth = F.col("depth").cast("int") if "depth" in roots.columns else F.lit(0)
+        parent = F.col("parent").cast("string") if "parent" in roots.columns else F.lit(None).cast("string")
+        seeds = roots.groupBy("url").agg(F.min(F.struct(depth.alias("depth"), parent.alias("parent"))).alias("s")).select("url", "s.depth", "s.parent")
+        done.append(log.commit("seeded", {"edges": edges.select("src", "dst").distinct(), "level": seeds}, after=0))
+    edges = log.table(done[0], "edges")
+    reached = done[-1].facts.get("depth")
+    if reached is None:
+        reached = log.table(done[0], "level").agg(F.max("depth")).first()[0] or 0
+    while reached < max_depth and done[-1].phase != "complete":
+        reached += 1
+        known = log.union(done, "level")
+        last = log.table(done[-1], "level").where(F.col("depth") == reached - 1)
+        found = last.join(edges, last["url"] == edges["src"]).groupBy(F.col("dst").alias("url")).agg(F.min("src").alias("parent"))
+        fresh = found.join(known.select("url"), "url", "left_anti").select("url", F.lit(reached).alias("depth"), "parent")
+        done.append(log.commit(f"depth-{reached}", {"level": fresh}, {"depth": reached}, after=done[-1].number))
+        if log.table(done[-1], "level").isEmpty():
+            done.append(log.commit("complete", facts={"depth": reached}, after=done[-1].number))
+    return log.union(done, "level")
+
+
+def walk_paths(walked: DataFrame) -> DataFrame:
+    """(url, depth, parent) -> the same and ``path``, the URLs from the root to each.
+
+    By doubling pointers: each row keeps the ancestors that it knows and the next one after them, and takes over what that one
+    knows, twice as much in every round; so a path of 1,000 steps takes ten joins.
+    """
+    spark, folder, k = walked.sparkSession, scratch_folder(walked.sparkSession), 0
+    rows = walked.select("url", "depth", "parent", F.col("parent").alias("next"), F.array("url").alias("path"))
+    while True:
+        rows.write.parquet(f"{folder}/round={k}")
+        rows, k = spark.read.parquet(f"{folder}/round={k}"), k + 1
+        if rows.where("next IS NOT NULL").isEmpty():
+            return rows.select("url", "depth", "parent", "path")
+        known = rows.select(F.col("url").alias("next"), F.col("next").alias("then"), F.col("path").alias("before"))
+        ended = rows.where("next IS NULL")
+        # An ancestor that is not in the table ends a path.
+        went = rows.where("next IS NOT NULL").join(known, "next", "left").select("url", "depth", "parent", F.col("then").alias("next"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"))
+        rows = ended.unionByName(went)
 
 
 def upsert_records(events: DataFrame) -> DataFrame:

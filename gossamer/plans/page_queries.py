@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import analysis, crawl, extract, ledger
+from ..sources import runlog
 from ..streaming import crawl_stream
 
 QUERIES: dict = {}
@@ -292,11 +293,60 @@ WITH RECURSIVE {LINKS_CTE}, e AS (
   SELECT min(url), 0 FROM pages UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.url = e.src WHERE r.depth < 3
 ) SELECT url, min(depth) AS depth FROM r GROUP BY url""")
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.walk(navigation(spark, sf_dir), read(spark, sf_dir, "pages").agg(F.min("url").alias("url")), 3)
+
+
+def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst) between pages and the paths that their menus name, both ways."""
     links = page_links(spark, sf_dir).where("route = 'link' AND startswith(raw, '/')").select("url", "raw")
     both = F.array(F.struct(F.col("url").alias("src"), F.col("raw").alias("dst")), F.struct(F.col("raw").alias("src"), F.col("url").alias("dst")))
-    edges = links.select(F.explode(both).alias("e")).select("e.src", "e.dst")
-    roots = read(spark, sf_dir, "pages").agg(F.min("url").alias("url"))
-    return crawl.walk(edges, roots, 3)
+    return links.select(F.explode(both).alias("e")).select("e.src", "e.dst")
+
+
+# The least depth of each URL, the smallest URL before it, and the way from the root.
+_WALK_CTE = rf"""
+WITH RECURSIVE {LINKS_CTE}, e AS (
+  SELECT DISTINCT url AS src, raw AS dst FROM routed WHERE route = 'link' AND starts_with(raw, '/') UNION SELECT DISTINCT raw, url FROM routed WHERE route = 'link' AND starts_with(raw, '/')
+), r(url, depth) AS (
+  SELECT min(url), 0 FROM pages UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.url = e.src WHERE r.depth < 6
+), d AS (
+  SELECT url, min(depth) AS depth FROM r GROUP BY url
+), w AS (
+  SELECT d.url, d.depth, min(b.url) AS parent FROM d LEFT JOIN e ON e.dst = d.url LEFT JOIN d b ON b.url = e.src AND b.depth = d.depth - 1 GROUP BY d.url, d.depth
+)"""
+
+
+def resumed_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk that stops after its second level, and another session that takes it up from its log."""
+    log = f"{crawl.scratch_folder(spark)}/log"
+    crawl.walk_logged(navigation(spark, sf_dir), read(spark, sf_dir, "pages").agg(F.min("url").alias("url")), log, 2)
+    return crawl.walk_logged(None, None, log, 6, spark=spark.newSession())
+
+
+@query("walk_resumed", _WALK_CTE + " SELECT * FROM w")
+def walk_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resumed_walk(spark, sf_dir)
+
+
+@query("walk_paths", _WALK_CTE + """, p(url, depth, parent, path) AS (
+  SELECT url, depth, parent, url FROM w WHERE depth = 0 UNION ALL SELECT w.url, w.depth, w.parent, p.path || ' > ' || w.url FROM p JOIN w ON w.parent = p.url
+) SELECT * FROM p""")
+def walk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.walk_paths(resumed_walk(spark, sf_dir)).withColumn("path", F.array_join("path", " > "))
+
+
+@query("checkpoint_state", "SELECT user_id AS host, count(*)::BIGINT AS n, arg_max(event_type, event_id) AS last_state FROM events GROUP BY user_id")
+def checkpoint_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of events in two halves: the first is saved, then loaded, taken further and saved over itself."""
+    folder, events = f"{crawl.scratch_folder(spark)}/checkpoint", read(spark, sf_dir, "events")
+    middle = events.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+    counted = lambda rows: rows.groupBy(F.col("user_id").alias("host")).agg(F.count("*").alias("n"), F.max(F.struct("event_id", "event_type")).alias("last"))
+    runlog.save_checkpoint({"hosts": counted(events.where(F.col("event_id") <= middle)), "seen": events.where(F.col("event_id") <= middle).select("event_id")}, folder)
+    saved = runlog.load_checkpoint(spark, folder)
+    rest = events.join(saved["seen"], "event_id", "left_anti")
+    both = saved["hosts"].unionByName(counted(rest)).groupBy("host").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    runlog.save_checkpoint({"hosts": both, "seen": events.select("event_id")}, folder)
+    return runlog.load_checkpoint(spark, folder)["hosts"].select("host", "n", F.col("last.event_type").alias("last_state"))
 
 
 def events_as_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import file_hashes
+from .runlog import load_checkpoint, save_checkpoint  # noqa: F401
 
 
 def long_form(datasets: dict[str, DataFrame], stats: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -52,21 +53,6 @@ def manifest(spark: SparkSession, folder: str, run: dict[str, object]) -> DataFr
     return files.select(F.lit(1).alias("manifest_version"), F.lit(json.dumps(run, sort_keys=True)).alias("run"), "files")
 
 
-def save_checkpoint(tables: dict[str, DataFrame], folder: str, version: int = 1) -> None:
-    """Each table as Parquet, then the meta row, which makes the checkpoint whole."""
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    spark.createDataFrame([(version, sorted(tables))], "version int, tables array<string>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_meta_row")
-
-
-def load_checkpoint(spark: SparkSession, folder: str, version: int = 1) -> dict[str, DataFrame]:
-    meta = spark.read.parquet(f"{folder}/_meta_row").first()
-    if meta["version"] != version:
-        raise ValueError(f"checkpoint version {meta['version']}, not {version}")
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in meta["tables"]}
-
-
 # The files that a run exports, by kind.
 EXPORTS = {
     "json": "results.json", "csv": "results.csv", "autopsy-json": "autopsy.json", "autopsy-md": "autopsy.md", "manifest-json": "crawl-manifest.json",
