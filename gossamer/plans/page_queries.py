@@ -503,10 +503,14 @@ WITH RECURSIVE r AS (
     FROM s JOIN r ON r.host = s.host AND r.k = s.k + 1)
 ) SELECT host, seq, requested, started, backoff, next_allowed FROM s""")
 def politeness_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl_stream.politeness_replay(requests(spark, sf_dir), 0.5, 1.0)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as requests of hosts: (host, seq, at, status, retry_after)."""
     events = read(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "signup", 429).otherwise(200)
-    requests = events.select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), status.alias("status"), F.lit(None).cast("double").alias("retry_after"))
-    return crawl_stream.politeness_replay(requests, 0.5, 1.0)
+    return events.select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), status.alias("status"), F.lit(None).cast("double").alias("retry_after"))
 
 
 @query("stream_upsert", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
