@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.literals import is_open, open_kinds
 from ..functions import text as T
 from ..functions import urls as U
 
@@ -41,11 +42,21 @@ def _body(df: DataFrame) -> Column:
     return F.col("body") if "body" in df.columns else F.col("html")
 
 
+def _unfold(rows: DataFrame, items: Column, name: str, *keep: str, at: str | None = None) -> DataFrame:
+    """A row per item of an array without nulls, with the columns ``keep`` (url by default) and, if asked for, its place.
+
+    Outer, with the nulls of empty arrays dropped after: before a plain explode Spark puts a filter on the array's size, and
+    evaluates the array twice.
+    """
+    each = F.posexplode_outer(items).alias(at, name) if at else F.explode_outer(items).alias(name)
+    return rows.select(*(keep or ("url",)), each).where(F.col(name).isNotNull())
+
+
 @page_extractor
 def links(pages: DataFrame) -> DataFrame:
     """url, ord, raw, target, route: references in attributes, resolved, and whether each is a link, a file or neither."""
     bare = F.substring_index(F.regexp_replace(F.col("g"), "[\"']", ""), "#", 1)
-    found = pages.select("url", F.posexplode(T.find_all(_body(pages), P.HREF, 3)).alias("ord", "g")).select("url", "ord", F.col("g").alias("raw"), bare.alias("bare"))
+    found = _unfold(pages, T.find_all(_body(pages), P.HREF, 3), "g", at="ord").select("url", "ord", F.col("g").alias("raw"), bare.alias("bare"))
     # Blank or hostless references resolve to nothing and stand for themselves.
     found = found.withColumn("target", U.normalize_url(F.col("bare"), F.col("url")))
     found = found.withColumn("target", F.when(F.coalesce("target", F.lit("")) == "", F.col("bare")).otherwise(F.col("target")))
@@ -68,26 +79,33 @@ def _tagged(kind: str, name: str, key: str = "kind"):
     return lambda m: F.struct(F.lit(kind).alias(key), m.alias(name))
 
 
-def intel_of(text: Column, kinds: tuple[str, ...] | None = None) -> Column:
-    """array<struct<kind, match>> of the contact and service findings in a text, of all kinds by default."""
+def intel_rows(rows: DataFrame, text: str, kinds: tuple[str, ...] | None = None, *keep: str) -> DataFrame:
+    """(keep..., kind, match) of the contact and service findings in a text, of all kinds by default, distinct in each row.
+
+    One scan for literals (open_kinds) and one for figures tell which kinds a text can hold; only their patterns are run on it.
+    """
+    kinds = tuple(kinds or P.INTEL)
+    literals = {k: P.INTEL_LITERALS[k] for k in kinds if k in P.INTEL_LITERALS}
+    body, none = F.col(text), F.array().cast("array<struct<kind:string,match:string>>")
+    opened = rows.select(*keep, text, open_kinds(body, literals).alias("__open"))
+    if any(k in P.INTEL_FIGURES for k in kinds):
+        opened = opened.withColumn("__figure", body.rlike(P.FIGURE))
     each = []
-    for kind in kinds or P.INTEL:
-        pattern = P.INTEL[kind]
-        found = F.transform(T.find_all(text, pattern), _tagged(kind, "match"))
-        each.append(F.when(text.rlike(P.INTEL_NEEDS[kind]), found).otherwise(F.array().cast("array<struct<kind:string,match:string>>")))
-    return F.concat(*each)
+    for kind in kinds:
+        may = is_open(F.col("__open"), kind, literals) if kind in literals else F.col("__figure") & body.rlike(P.INTEL_FIGURES[kind])
+        each.append(F.when(may, F.transform(T.find_all(body, P.INTEL[kind]), _tagged(kind, "match"))).otherwise(none))
+    return _unfold(opened, F.array_distinct(F.concat(*each)), "m", *keep).select(*keep, "m.kind", "m.match")
 
 
 @page_extractor
 def intel(pages: DataFrame) -> DataFrame:
     """url, kind, match: distinct findings in the visible text, card numbers not yet checked."""
-    seen = pages.select("url", T.visible_text(_body(pages)).alias("text"))
-    return seen.select("url", F.explode(F.array_distinct(intel_of(F.col("text")))).alias("m")).select("url", "m.kind", "m.match")
+    return intel_rows(pages.select("url", T.visible_text(_body(pages)).alias("text")), "text", None, "url")
 
 
 def text_intel(docs: DataFrame, key: str = "url", text: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
     """(key, kind, match) of plain texts, distinct in each."""
-    return docs.select(key, F.explode(F.array_distinct(intel_of(F.col(text), kinds))).alias("m")).select(key, "m.kind", "m.match")
+    return intel_rows(docs, text, kinds, key)
 
 
 def valid_intel(found: DataFrame) -> DataFrame:
@@ -102,7 +120,7 @@ def intel_lines(found: DataFrame) -> DataFrame:
 @page_extractor
 def script_references(pages: DataFrame) -> DataFrame:
     """url, script: sources of script tags, resolved."""
-    raw = pages.select("url", F.explode(T.find_all(_body(pages), P.SCRIPT_SRC, 3)).alias("g"))
+    raw = _unfold(pages, T.find_all(_body(pages), P.SCRIPT_SRC, 3), "g")
     return raw.select("url", U.normalize_url(F.regexp_replace("g", "[\"']", ""), F.col("url")).alias("script")).where("script != ''")
 
 
@@ -119,7 +137,7 @@ def forms(pages: DataFrame) -> DataFrame:
     def attribute(c: Column, name: str) -> Column:
         return F.when(c.rlike(P.ATTRIBUTE[name]), F.regexp_extract(c, P.ATTRIBUTE[name], 2))
 
-    found = pages.select("url", F.posexplode(T.find_groups(_body(pages), P.FORM, 1, 2)).alias("ord", "f"))
+    found = _unfold(pages, T.find_groups(_body(pages), P.FORM, 1, 2), "f", at="ord")
     attrs = F.col("f.g0")
     fields = F.transform(
         F.filter(T.find_all(F.col("f.g1"), P.FORM_FIELD, 1), lambda a: a.rlike(P.ATTRIBUTE["name"])),
@@ -162,13 +180,13 @@ def route_references(found: DataFrame) -> DataFrame:
         F.when(U.link_route(F.col("target")) == "file", F.struct(F.lit("file").alias("kind"), F.col("target").alias("value"))),
         F.when(U.link_route(F.col("target")) == "link", F.struct(F.lit("link").alias("kind"), F.col("target").alias("value"))),
     ))
-    return found.select("url", "target", F.explode(F.array_distinct(kinds)).alias("k")).select("url", "k.kind", "k.value").distinct()
+    return _unfold(found, F.array_distinct(kinds), "k", "url", "target").select("url", "k.kind", "k.value").distinct()
 
 
 @page_extractor
 def structured_references(pages: DataFrame) -> DataFrame:
     """url, kind, value: references quoted inside pages, and the paths that keywords hint at."""
-    raw = pages.select("url", F.explode(F.array_distinct(_inline_references(_body(pages), True))).alias("g"))
+    raw = _unfold(pages, F.array_distinct(_inline_references(_body(pages), True)), "g")
     return route_references(raw.select("url", U.normalize_url(F.col("g"), F.col("url")).alias("target")).where("target != ''"))
 
 
@@ -179,21 +197,21 @@ def custom_matches(pages: DataFrame, pattern: str) -> DataFrame:
         found = T.find_all(_body(pages), pattern, groups)
     else:
         found = F.transform(T.find_groups(_body(pages), pattern, *range(1, groups + 1)), lambda m: F.concat_ws(", ", *[m[f"g{i}"] for i in range(groups)]))
-    return pages.select("url", F.explode(F.array_distinct(found)).alias("match"))
-
-
-def secrets_of(body: Column, with_known: bool = True) -> Column:
-    """array<struct<kind, token, entropy>>: known token shapes, and quoted tokens with their entropy."""
-    row = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), F.trim(m).alias("token"), T.entropy(m).alias("entropy"))
-    known = [F.transform(T.find_all(body, p, 1), row(k)) for k, p in P.SECRETS.items()] if with_known else []
-    quoted = F.transform(T.find_all(body, P.ENTROPY_TOKEN, 1), row("HIGH_ENTROPY"))
-    return F.array_distinct(F.concat(*known, quoted))
+    return _unfold(pages, F.array_distinct(found), "match")
 
 
 @page_extractor
 def secrets(pages: DataFrame, known: bool = True) -> DataFrame:
     """url, kind, token, entropy, reported: quoted tokens are reported from four bits a character on; ``known`` shapes too."""
-    rows = pages.select("url", F.explode(secrets_of(_body(pages), known)).alias("s")).select("url", "s.*")
+    row = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), F.trim(m).alias("token"))
+    body, none = F.col("__body"), F.array().cast("array<struct<kind:string,token:string>>")
+    opened = pages.select("url", _body(pages).alias("__body"))
+    each = []
+    if known:
+        opened = opened.withColumn("__open", open_kinds(body, {}, P.SECRET_LITERALS))
+        each = [F.when(is_open(F.col("__open"), k, {}, P.SECRET_LITERALS), F.transform(T.find_all(body, p, 1), row(k))).otherwise(none) for k, p in P.SECRETS.items()]
+    each.append(F.transform(T.find_all(body, P.ENTROPY_TOKEN, 1), row("HIGH_ENTROPY")))
+    rows = _unfold(opened, F.array_distinct(F.concat(*each)), "s").select("url", "s.*").withColumn("entropy", T.entropy(F.col("token")))
     return rows.withColumn("reported", (F.col("kind") != "HIGH_ENTROPY") | (F.col("entropy") >= P.ENTROPY_LEAST))
 
 
@@ -204,7 +222,7 @@ def threads(pages: DataFrame) -> DataFrame:
     # The HTML references of title and blocks are decoded once, in one Arrow pass per column.
     path = U.path_of(F.col("url"))
     titled = pages.select("url", body.alias("body"), F.when(body.rlike(P.TITLE), F.regexp_extract(body, P.TITLE, 1)).alias("title"), F.when(path == "", F.col("url")).otherwise(path).alias("fallback"))
-    blocks = titled.select("url", "title", "fallback", F.posexplode(T.find_all(F.col("body"), P.THREAD_BLOCK, 1)).alias("at", "block"))
+    blocks = _unfold(titled, T.find_all(F.col("body"), P.THREAD_BLOCK, 1), "block", "url", "title", "fallback", at="at")
     author = F.coalesce(F.nullif(F.regexp_extract("block", P.AUTHOR, 1), F.lit("")), F.nullif(F.regexp_extract("block", P.AUTHOR, 2), F.lit("")), F.lit("deleted-user"))
     quote = F.when(F.col("block").rlike(P.QUOTE_BLOCK), F.regexp_extract("block", P.QUOTE_BLOCK, 1)).otherwise(F.lit(""))
     out = blocks.select(
@@ -251,7 +269,7 @@ def locations(pages: DataFrame) -> DataFrame:
         tags.append(F.when(place != "", row("place", "medium", "meta", place)))
     good = lambda p: ~p.isin(*P.PLACE_STOPWORDS) & (p.rlike(r"(?U)\s") | (F.length(p) >= 4))
     guesses = F.transform(F.filter(T.find_all(F.col("text"), P.PLACE, 1), good), lambda p: row("place", "weak", "text", p))
-    return base.select("url", F.explode(F.array_distinct(F.concat(said, F.array_compact(F.array(*tags)), guesses))).alias("r")).select("url", "r.*")
+    return _unfold(base, F.array_distinct(F.concat(said, F.array_compact(F.array(*tags)), guesses)), "r").select("url", "r.*")
 
 
 @page_extractor
@@ -286,22 +304,22 @@ def scam_signals(pages: DataFrame) -> DataFrame:
     """url, signal, evidence: phrases of pressure and false trust."""
     plain = pages.select("url", T.strip_tags(_body(pages)).alias("text"))
     each = [F.transform(T.find_all(F.col("text"), p), _tagged(k, "evidence", "signal")) for k, p in P.SCAM.items()]
-    return plain.select("url", F.explode(F.array_distinct(F.concat(*each))).alias("s")).select("url", "s.*")
+    return _unfold(plain, F.array_distinct(F.concat(*each)), "s").select("url", "s.*")
 
 
 @script_extractor
 def endpoints(scripts: DataFrame) -> DataFrame:
     """url, endpoint: quoted paths and addresses of scripts."""
-    found = scripts.select("url", F.explode(F.array_distinct(T.find_all(_body(scripts), P.ENDPOINT, 1))).alias("endpoint"))
+    found = _unfold(scripts, F.array_distinct(T.find_all(_body(scripts), P.ENDPOINT, 1)), "endpoint")
     return found.where((F.col("endpoint") != "") & (F.col("endpoint") != "/") & ~F.col("endpoint").rlike("[}{><\"']"))
 
 
 @script_extractor
 def script_artifacts(scripts: DataFrame) -> DataFrame:
     """url, kind, value: source maps as files, and references quoted in scripts."""
-    maps = scripts.select("url", F.explode(T.find_all(_body(scripts), P.SOURCE_MAP, 1)).alias("g"))
+    maps = _unfold(scripts, T.find_all(_body(scripts), P.SOURCE_MAP, 1), "g")
     maps = maps.select("url", F.lit("file").alias("kind"), U.normalize_url(F.col("g"), F.col("url")).alias("value")).where("value != ''")
-    raw = scripts.select("url", F.explode(F.array_distinct(_inline_references(_body(scripts), False))).alias("g"))
+    raw = _unfold(scripts, F.array_distinct(_inline_references(_body(scripts), False)), "g")
     inline = route_references(raw.select("url", U.normalize_url(F.col("g"), F.col("url")).alias("target")).where("target != ''"))
     return maps.unionByName(inline).distinct()
 
@@ -313,7 +331,7 @@ JS_KINDS = ("token", "feature", "config", "route", "api", "graphql", "api_url",
 @script_extractor
 def js_intel(scripts: DataFrame, kinds: tuple[str, ...] = JS_KINDS) -> DataFrame:
     """url, kind, name, value: what scripts tell of tokens, flags, routes, services and the like. Only the patterns of ``kinds`` run."""
-    body = _body(scripts)
+    body = F.col("__body")
 
     def row(kind, value: Column, name: Column | None = None) -> Column:
         kind = F.lit(kind) if isinstance(kind, str) else kind
@@ -341,14 +359,17 @@ def js_intel(scripts: DataFrame, kinds: tuple[str, ...] = JS_KINDS) -> DataFrame
     }
     wanted = dict.fromkeys("url" if k in ("graphql", "api_url") else k for k in kinds)
     none = F.array().cast("array<struct<kind:string,name:string,value:string>>")
-    each = [F.when(body.rlike(P.JS_NEEDS[k]), rules[k]()).otherwise(none) for k in wanted]
-    found = scripts.select("url", F.explode(F.array_distinct(F.concat(*each))).alias("r")).select("url", "r.*")
+    folded, exact = ({k: v for k, v in told.items() if k in wanted} for told in (P.JS_LITERALS, P.JS_EXACT))
+    opened = scripts.select("url", _body(scripts).alias("__body"))
+    opened = opened.withColumn("__open", open_kinds(body, folded, exact))
+    each = [F.when(is_open(F.col("__open"), k, folded, exact), rules[k]()).otherwise(none) for k in wanted]
+    found = _unfold(opened, F.array_distinct(F.concat(*each)), "r").select("url", "r.*")
     return found.where(F.col("kind").isin(*kinds)) if "url" in wanted else found
 
 
 def inline_scripts(pages: DataFrame) -> DataFrame:
     """url, ord, body of the scripts written inside pages."""
-    return pages.select("url", F.posexplode(T.find_all(_body(pages), r"(?is)<script\b[^>]*>(.*?)</script>", 1)).alias("ord", "body")).where("body != ''")
+    return _unfold(pages, T.find_all(_body(pages), r"(?is)<script\b[^>]*>(.*?)</script>", 1), "body", at="ord").where("body != ''")
 
 
 # --- documents ------------------------------------------------------------------------------
@@ -371,7 +392,7 @@ def document_records(documents: DataFrame) -> DataFrame:
     legacy = F.col("path").rlike(r"\.(?:doc|xls|ppt|rtf)$") & ~is_pdf & F.col("text").rlike(P.LEGACY_AUTHOR)
     keyed.append(F.when(legacy, row("metadata", "author", F.trim(F.regexp_extract("text", P.LEGACY_AUTHOR, 1)))))
     leaks = F.concat(F.transform(T.find_all(F.col("text"), P.DOC_EMAIL), lambda m: row("leak", "email", m)), F.transform(T.find_all(F.col("text"), P.DOC_PATH), lambda m: row("leak", "path", m)))
-    return docs.select("url", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(*keyed)), leaks))).alias("r")).select("url", "r.*")
+    return _unfold(docs, F.array_distinct(F.concat(F.array_compact(F.array(*keyed)), leaks)), "r").select("url", "r.*")
 
 
 #: Namespaced names of the core properties, and the members listed of an archive at most.
