@@ -86,7 +86,8 @@ def _unescape(text: pd.Series) -> pd.Series:
 def strip_tags(text: Column) -> Column:
     """References decoded first, then tags as spaces and white space as one space; script bodies stay."""
     text = F.coalesce(text, F.lit(""))
-    plain = _unescape(text)
+    # Only texts with a reference go to Python.
+    plain = F.coalesce(_unescape(F.when(text.contains("&"), text)), text)
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, patterns.TAG, " "), r"(?U)\s+", " "), "^ | $", "")
 
 

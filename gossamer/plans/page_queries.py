@@ -9,7 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import analysis, crawl, extract, ledger
-from ..sources import runlog
+from ..sources import readers, runlog
 from ..streaming import crawl_stream
 
 QUERIES: dict = {}
@@ -30,8 +30,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table's texts for work that takes longer than reading them: over all cores, whatever the number of row groups."""
+    return readers.spread(read(spark, sf_dir, name).select(*columns))
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.links(read(spark, sf_dir, "pages").select("url", "html"))
+    return extract.links(texts(spark, sf_dir, "pages", "url", "html"))
 
 
 # DuckDB's share: canonical page addresses, and the links of their pages. All attributes are double-quoted.
@@ -114,7 +119,7 @@ WITH p AS (SELECT url, trim(regexp_replace(replace(replace(replace(replace(regex
 s AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'story') AS story FROM p WHERE title <> '')
 SELECT url, story, story || '@' || domain AS cluster, title, domain AS source, lang FROM s""")
 def story_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = extract.stories(read(spark, sf_dir, "pages").select("url", "html"))
+    pages = extract.stories(texts(spark, sf_dir, "pages", "url", "html"))
     return pages.where("relation = 'page'").select("url", "story", "cluster", "title", "source", "lang")
 
 
@@ -130,7 +135,7 @@ s AS (SELECT domain, list_sort(list_distinct(regexp_extract_all(html, '(?i)href=
 SELECT relation, count(*) AS n FROM (SELECT 'page' AS relation FROM s UNION ALL SELECT 'metadata' FROM s UNION ALL SELECT 'quote' FROM (SELECT unnest(quotes) FROM s)
   UNION ALL SELECT CASE WHEN regexp_extract(link, '^[a-zA-Z]+://([^/?#]+)', 1) <> domain THEN 'mirror' ELSE 'reference' END FROM (SELECT domain, unnest(links) AS link FROM s)) GROUP BY relation""")
 def story_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.stories(read(spark, sf_dir, "pages").select("url", "html")).groupBy("relation").agg(F.count("*").alias("n"))
+    return extract.stories(texts(spark, sf_dir, "pages", "url", "html")).groupBy("relation").agg(F.count("*").alias("n"))
 
 
 @query("visible_text", rf"""
@@ -139,25 +144,25 @@ WITH n AS (SELECT page_id, unnest(string_split_regex(regexp_replace(regexp_repla
 d AS (SELECT page_id, i, {_DECODED.format(t="node")} AS node FROM n), t AS (SELECT page_id, coalesce(string_agg(node, ' ' ORDER BY i) FILTER (WHERE regexp_replace(node, '{_SPACES}+', '', 'g') <> ''), '') AS text FROM d GROUP BY page_id)
 SELECT page_id, length(text)::INT AS chars, sha256(text) AS sha256 FROM t""")
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", T.visible_text(F.col("html")).alias("text")).select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", T.visible_text(F.col("html")).alias("text")).select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
 @query("strip_tags", rf"""
 WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace({_DECODED.format(t="coalesce(html, '')")}, '<[^>]+>', ' ', 'g'), '{_SPACES}+', ' ', 'g')) AS text FROM pages)
 SELECT page_id, length(text)::INT AS chars, sha256(text) AS sha256 FROM t""")
 def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text")).select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", T.strip_tags(F.col("html")).alias("text")).select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
 @query("inline_script_artifacts")
 def inline_script_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scripts = extract.inline_scripts(read(spark, sf_dir, "pages").select("url", "html"))
+    scripts = extract.inline_scripts(texts(spark, sf_dir, "pages", "url", "html"))
     return extract.script_artifacts(scripts).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("structured_references")
 def structured_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.structured_references(read(spark, sf_dir, "pages").select("url", "html")).groupBy("kind").agg(F.count("*").alias("n"))
+    return extract.structured_references(texts(spark, sf_dir, "pages", "url", "html")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 # Patterns for DuckDB, of all kinds; without Java's Unicode classes, which these tables do not tell apart.
@@ -167,7 +172,7 @@ _LUHN = "list_sum(list_transform(range(1, length(match) + 1), lambda i: CASE WHE
 
 
 def doc_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.text_intel(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return extract.text_intel(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
 
 
 @query("intel_extract", f"WITH {_INTEL_CTE} SELECT doc_id, kind, match FROM intel")
@@ -195,13 +200,13 @@ def intel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\"'']([a-zA-Z0-9+/=_\-]{20,})[\"'']', 1)) AS token FROM documents)
 SELECT doc_id, token, round(-list_sum(list_transform(list_distinct(string_split(token, '')), lambda c: (len(list_filter(string_split(token, ''), lambda d: d = c)) / length(token)) * log2(len(list_filter(string_split(token, ''), lambda d: d = c)) / length(token)))), 6) AS entropy FROM t""")
 def secret_candidates_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("body"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").toDF("url", "body")
     return extract.secrets(docs, known=False).select(F.col("url").alias("doc_id"), "token", F.round("entropy", 6).alias("entropy"))
 
 
 @query("js_tokens", r"SELECT doc_id, name, value FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?i)\b(api[_-]?key|token|secret|auth[_-]?token)\b[\"'']?\s*[:=]\s*[\"'']([^\"'']{6,200})[\"'']', 1)) AS name, unnest(regexp_extract_all(text, '(?i)\b(api[_-]?key|token|secret|auth[_-]?token)\b[\"'']?\s*[:=]\s*[\"'']([^\"'']{6,200})[\"'']', 2)) AS value FROM documents)")
 def js_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("body"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").toDF("url", "body")
     return extract.js_intel(docs, ("token",)).select(F.col("url").alias("doc_id"), "name", "value")
 
 
@@ -223,7 +228,7 @@ _JS_SQL = " UNION ".join([
 
 @query("js_intel_documents", _JS_SQL)
 def js_intel_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.js_intel(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("body")))
+    found = extract.js_intel(texts(spark, sf_dir, "documents", "doc_id", "text").toDF("url", "body"))
     return found.withColumnRenamed("url", "doc_id")
 
 
@@ -233,7 +238,7 @@ _SECRET_SQL = " UNION ".join(f"SELECT doc_id, '{k}' AS kind, trim(unnest(regexp_
 
 @query("secrets_documents", _SECRET_SQL)
 def secrets_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("body"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").toDF("url", "body")
     return extract.secrets(docs).select(F.col("url").alias("doc_id"), "kind", "token")
 
 

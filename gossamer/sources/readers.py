@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan, dealt over all cores where it comes in fewer partitions than there are.
+
+    A row group is read by one task, so a file of one would leave the work on its texts to a single core. Larger inputs have more partitions
+    than cores and are not moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 INLINE_URL = "https://inline.specimen.local/"
 
 
