@@ -134,15 +134,16 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, tokenizer_path: str | None = None) -> DataFrame:
     """Documents (doc_id, text, ...) -> a row per piece with its place in a sequence.
 
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Pieces are dealt by row into
-    groups of about ``group_pieces``; a group packs its pieces by sum of squares, longest first.
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A piece that fills a sequence is one by itself and is
+    only projected. The others are dealt by row into groups of about ``group_pieces``; a group packs its pieces by sum of squares, longest first.
 
     Nulls: a null text is empty, so its document is the closing id alone; a null doc_id stays null.
     Repeated rows are packed each. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     pieces = Scratch(spark).write(tokenise_pieces(docs, capacity, tokenizer_path).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    groups = max(1, round(pieces.where(F.col("length") < capacity).count() / group_pieces))
+    full, others = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    groups = max(1, round(others.count() / group_pieces))
 
     def place(group: pa.Table) -> pa.Table:
         number = group.column("grp")[0].as_py()
@@ -151,5 +152,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PI
         return group.select(PIECE_COLUMNS).append_column("sequence_id", pa.array(sequence * groups + number, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     # The written row number deals them evenly, whatever ids repeat or are null.
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInArrow(place, PIECE_SCHEMA + ", sequence_id bigint, offset bigint")
+    dealt = others.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    packed = dealt.groupBy("grp").applyInArrow(place, PIECE_SCHEMA + ", sequence_id bigint, offset bigint")
+    # Sequences of one full piece are numbered below zero, by the piece's row.
+    return packed.unionByName(full.select(*PIECE_COLUMNS, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")))

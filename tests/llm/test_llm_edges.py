@@ -638,3 +638,17 @@ def test_quality_of_one_label_alone(spark, docs):
     labels = spark.createDataFrame([(3, 1, 0), (6, 1, 0), (5, None, None), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = {round(r.quality_score, 6) for r in quality.score_documents(docs, quality.fit_from_tables(docs, labels, modulus=1, held=1)).collect()}
     assert len(got) == 1 and 0.5 < got.pop() < 1
+
+
+def test_full_pieces_are_in_no_group(spark, monkeypatch):
+    """Long documents give many full pieces and few others; groups hold the others alone."""
+    rows = [(i, "one two " * 5_000) for i in range(40)]
+    plan = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), capacity=20, group_pieces=16)
+    got = plan.toPandas()
+    full, others = got[got["length"] == 20], got[got["length"] < 20]
+    assert len(full) > 20_000 - 100 and len(others) <= 40 and (full["sequence_id"] < 0).all() and (others["sequence_id"] >= 0).all()
+    assert full["sequence_id"].is_unique and (full["offset"] == 0).all()
+    groups = max(1, round(len(others) / 16))
+    assert others.groupby(others["sequence_id"] % groups).size().max() <= 32
+    for _, pieces in got.sort_values("piece").groupby("doc_id"):
+        assert pieces["start"].tolist() == [0, *pieces["length"].cumsum().tolist()[:-1]]
