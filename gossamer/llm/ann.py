@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,7 +72,7 @@ class Hasher:
 
 
 def fit_probes(hasher: Hasher, sample: np.ndarray, k: int) -> int:
-    """Fewest probes a table with which the sample's queries find the wanted share of their k nearest; all, with a warning, if none do."""
+    """Fewest probes a table with which the sample's queries find the wanted share of their k nearest; one more than there are if none do."""
     q = sample[:SAMPLE_QUERIES]
     score = q @ sample.T
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
@@ -87,9 +86,7 @@ def fit_probes(hasher: Hasher, sample: np.ndarray, k: int) -> int:
     first = np.where(hit.any(-1), hit.argmax(-1), len(hasher.offsets)).min(1)
     reached = np.sort(first.ravel())
     n = int(reached[math.ceil(SAMPLE_RECALL * len(reached)) - 1]) + 1
-    if n > len(hasher.offsets):
-        warnings.warn(f"all {len(hasher.offsets)} probes a table find {(reached < len(hasher.offsets)).mean():.3f} of the nearest in the sample, {SAMPLE_RECALL} wanted", stacklevel=2)
-    return min(len(hasher.offsets), n)
+    return n
 
 
 def _best(width: int, k: int):
@@ -130,27 +127,8 @@ def _best(width: int, k: int):
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
-    """The k nearest by inner product of each row that ``is_query`` holds for, among all other rows.
-
-    Returns query_id, rank from 1, vec_id, score (double); nearest first, ties to the smaller id.
-    Buckets are cut into shares of bounded size, which are grouped into tasks; a query visits all
-    shares of a bucket. Queries that found fewer than k, while more rows exist, are compared with all rows.
-
-    Nulls: vectors that are null, empty, zero or hold null or non-finite components neither ask nor
-    answer, nor do rows with a null id. Rows of one id count once, by their smallest vector. Vectors of
-    unequal length compare as if filled up with zeros. Empty tables give no rows.
-    """
-    spark = vectors.sparkSession
-    scratch = Scratch(spark)
-    base = scratch.write(by_id(vectors).where("usable").select("vec_id", "embedding"), "base")
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    n, width, radius = base.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0)), F.coalesce(F.max(length), F.lit(0.0))).first()
-    if n == 0:
-        return base.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    hasher = Hasher.draw(width, radius)
-    drawn = base.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
-    n_probes = fit_probes(hasher, matrix(drawn["embedding"], width), k)
+def _by_buckets(base: DataFrame, queries: DataFrame, hasher: Hasher, n_probes: int, n: int, width: int, k: int, scratch: Scratch) -> DataFrame:
+    """The best of each query in the buckets that it visits, by group of shares."""
 
     def bucket_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -167,7 +145,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
     groups = max(1, math.ceil(n * TABLES / GROUP_ROWS))
     rows = base.mapInPandas(bucket_rows, "t int, code bigint, id bigint, vec array<double>")
-    queries = base.where(is_query)
     sizes = scratch.write(rows.groupBy("t", "code").agg(F.ceil(F.count("*") / F.lit(SHARE_ROWS)).alias("shares")), "sizes")
     key = F.xxhash64("t", "code", "share")
     gid = F.pmod(key, F.lit(groups))
@@ -178,7 +155,37 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     asked = asked.groupBy(F.col("id"), gid.alias("gid")).agg(F.collect_list(key).alias("keys"))
     asked = asked.join(queries.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "id")
     both = data.unionByName(asked.select("gid", F.lit(1).alias("kind"), "id", "vec", "keys"))
-    found = scratch.write(both.groupBy("gid").applyInPandas(_best(width, k), FOUND), "found")
+    return both.groupBy("gid").applyInPandas(_best(width, k), FOUND)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+    """The k nearest by inner product of each row that ``is_query`` holds for, among all other rows.
+
+    Returns query_id, rank from 1, vec_id, score (double); nearest first, ties to the smaller id.
+    Buckets are cut into shares of bounded size, which are grouped into tasks; a query visits all
+    shares of a bucket. Queries that found fewer than k, while more rows exist, are compared with all rows; all queries
+    are where no number of probes reaches the wanted recall on the sample.
+
+    Nulls: vectors that are null, empty, zero or hold null or non-finite components neither ask nor
+    answer, nor do rows with a null id. Rows of one id count once, by their smallest vector. Vectors of
+    unequal length compare as if filled up with zeros. Empty tables give no rows.
+    """
+    spark = vectors.sparkSession
+    scratch = Scratch(spark)
+    base = scratch.write(by_id(vectors).where("usable").select("vec_id", "embedding"), "base")
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    n, width, radius = base.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0)), F.coalesce(F.max(length), F.lit(0.0))).first()
+    if n == 0:
+        return base.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    hasher = Hasher.draw(width, radius)
+    drawn = base.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
+    n_probes = fit_probes(hasher, matrix(drawn["embedding"], width), k)
+
+    queries = base.where(is_query)
+    if n_probes <= len(hasher.offsets):
+        found = scratch.write(_by_buckets(base, queries, hasher, n_probes, n, width, k, scratch), "found")
+    else:  # hashing would miss too many: every query is compared with all rows
+        found = spark.createDataFrame([], FOUND)
 
     reached = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n"))
     short = queries.join(reached, F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < min(k, n - 1)).select("vec_id", "embedding")

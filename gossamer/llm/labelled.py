@@ -20,7 +20,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     rows = rows.where(crc_mod(F.col("doc_id"), modulus) != held)
     share = min(1.0, max_docs / max(1, rows.count()))
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    if share < 1:  # all 63 bits of the hash are compared, so that a share is kept to, however many labels there are
+        rows = rows.where(F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND((1 << 63) - 1) < int(share * (1 << 63)))
+    drawn = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     got = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label").toPandas()
     return got.sort_values("doc_id", kind="stable").reset_index(drop=True)

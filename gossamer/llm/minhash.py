@@ -458,12 +458,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, idf_share:
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without all but one document of each class; rows with a null id stay, of rows that repeat an id one does."""
+    """docs without all but one document of each class; rows with a null id stay, of rows that repeat an id the one with the smallest text does."""
     classes = near_duplicates(docs, similarity)
     gone = Scratch(docs.sparkSession).write(classes.where(~F.col("kept")).select("doc_id"), "gone")
     left = docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = [c for c in docs.columns if c != "doc_id"]
+    smallest = F.min_by(F.struct(*rest), F.struct("text", F.to_json(F.struct(*rest))))
+    once = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(smallest.alias("r")).select("doc_id", "r.*")
     return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -48,8 +48,14 @@ def train_dictionary(texts: list[str]) -> bytes:
         return b""
     try:
         return zstandard.train_dictionary(DICT_BYTES, chunks).as_bytes()
-    except zstandard.ZstdError:  # too little to train on: the texts themselves
-        return b"".join(chunks)[-DICT_BYTES:]
+    except zstandard.ZstdError:  # too little to train on: whole texts, the shortest, as many as fit
+        held, size = [], 0
+        for raw in sorted((t.encode("utf-8", "replace") for t in texts), key=len):
+            if held and size + len(raw) > DICT_BYTES:
+                break
+            held.append(raw)
+            size += len(raw)
+        return b"".join(held)
 
 
 def fit(sample: pd.DataFrame) -> QualityModel:

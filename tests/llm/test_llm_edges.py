@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gossamer.llm import ann, chat, components, embed_dedup, lm, minhash, mixing, packing, pii, quality, toxicity
+from gossamer.llm import ann, chat, components, embed_dedup, labelled, lm, minhash, mixing, packing, pii, quality, toxicity
 from gossamer.llm.common import Scratch
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -626,12 +626,36 @@ def test_search_over_many_shares_and_groups(spark, monkeypatch):
     assert found >= 0.9 * 75 * 10
 
 
-def test_a_recall_that_is_missed_is_told(monkeypatch):
+def test_where_hashing_misses_the_recall_all_rows_are_compared(spark, monkeypatch):
     monkeypatch.setattr(ann, "WIDTH", 0.05)
+    monkeypatch.setattr(ann, "GROUP_ROWS", 100)
     x = np.random.default_rng(3).normal(size=(300, 32))
     hasher = ann.Hasher.draw(32, float(np.sqrt((x * x).sum(1)).max()))
-    with pytest.warns(UserWarning, match="probes a table find"):
-        assert ann.fit_probes(hasher, x, 5) == 81
+    assert ann.fit_probes(hasher, x, 5) == 82
+    got = ann.search(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).toPandas()
+    for q in range(0, 300, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert got[got["query_id"] == q].sort_values("rank")["vec_id"].tolist() == np.lexsort((np.arange(300), -score))[:5].tolist()
+
+
+def test_the_sample_of_labels_keeps_to_its_share(spark, docs):
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "'x' AS text")
+    labels = rows.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    drawn = labelled.training_sample(rows, labels, "toxic", 5, 0, 300)
+    assert 220 < len(drawn) < 380 and len(labelled.training_sample(rows, labels, "toxic", 5, 0, 10**9)) > 20_000
+
+
+def test_a_fallback_dictionary_holds_whole_texts(monkeypatch):
+    assert quality.train_dictionary(["abc", "de"]) == b"deabc" and quality.train_dictionary([]) == b""
+    monkeypatch.setattr(quality, "DICT_BYTES", 4)
+    assert quality.train_dictionary(["abc", "de", "x"]) == b"xde" and quality.train_dictionary(["abcdef"]) == b"abcdef"
+
+
+def test_of_rows_that_repeat_an_id_the_smallest_text_stays(spark):
+    rows = [(1, "b b b b b b", {"k": 1}), (1, "a a a a a a", {"k": 2}), (2, None, None), (2, "z", None), (3, "c", None)]
+    got = minhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, extra map<string,int>")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(1, "a a a a a a"), (2, ""), (3, "c")]
 
 
 def test_quality_of_one_label_alone(spark, docs):
