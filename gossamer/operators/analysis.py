@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import urls as U
+from .crawl import scratch_folder
 
 # Variants that probes try.
 FORM_PROBES = (("/admin", "form-neighbor"), ("/dashboard", "form-neighbor"), ("/api/login", "form-auth-api"), ("/old-login", "form-legacy-auth"), ("/signin", "form-auth-alias"), ("/auth/callback", "form-auth-callback"))
@@ -147,32 +151,51 @@ def untried_probes(probes: DataFrame, known: DataFrame, host: str) -> DataFrame:
 # --- genealogy ------------------------------------------------------------------------------
 
 
-def genealogy(discoveries: DataFrame, observations: DataFrame) -> DataFrame:
-    """One row per artifact.
+#: Of an artifact's observations, the fields of which the last that is not empty counts, and those that are gathered.
+LATEST, GATHERED = ("content_type", "title", "sha256", "size", "archive_presence", "last_seen"), ("found_on", "source_kinds", "notes", "metadata", "redirects")
+
+
+def genealogy_state(discoveries: DataFrame, observations: DataFrame) -> DataFrame:
+    """What is known of each artifact, in a form that merges: of scalars the value with its seq, of gathered ones the set.
 
-    discoveries: url, found_on, source_kind, note. observations: seq, url, content_type, title, metadata,
-    body, archive_presence, redirect, label. Sets are sorted arrays; of scalars the last that is not empty
-    counts; duplicates are the other artifacts with the same hash.
+    discoveries: url, found_on, source_kind, note. observations: seq, url, content_type, title, metadata, body, archive_presence, redirect, label.
+    Save it (runlog) and merge what comes later into it, so that history is not read again.
     """
     some = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
-    listed = lambda c, name: F.array_sort(F.collect_set(some(c))).alias(name)
-    latest = lambda c: F.coalesce(F.max_by(some(c), F.when(some(c).isNotNull(), F.col("seq"))), F.lit("")).alias(c)
-    found = discoveries.where(some("url").isNotNull()).groupBy("url").agg(listed("found_on", "found_on"), listed("source_kind", "source_kinds"), listed("note", "notes"))
-    hashed = observations.withColumn("sha256", F.when(F.col("body").isNotNull(), F.sha2("body", 256))).withColumn("bytes", F.when(F.col("body").isNotNull(), F.length("body")))
+    at = lambda value, pick: pick(F.when(value.isNotNull(), F.struct(F.col("seq").alias("seq"), value.alias("value"))))
+    found = discoveries.where(some("url").isNotNull()).groupBy("url").agg(*[F.collect_set(some(c)).alias(name) for c, name in (("found_on", "found_on"), ("source_kind", "source_kinds"), ("note", "notes"))])
+    hashed = observations.withColumns({"sha256": F.when(F.col("body").isNotNull(), F.sha2("body", 256)), "size": F.when(F.col("body").isNotNull(), F.length("body").cast("bigint"))})
     seen = hashed.groupBy("url").agg(
-        latest("content_type"), latest("title"), latest("sha256"), F.coalesce(F.max_by("bytes", F.when(F.col("bytes").isNotNull(), F.col("seq"))), F.lit(0)).cast("bigint").alias("size"),
-        listed("metadata", "metadata"), listed("redirect", "redirects"),
-        F.coalesce(F.max_by("archive_presence", F.when(F.col("archive_presence").isNotNull(), F.col("seq"))), F.lit(False)).alias("archive_presence"),
-        F.coalesce(F.min_by("label", F.when(some("label").isNotNull(), F.col("seq"))), F.lit("")).alias("first_seen"), F.coalesce(F.max_by("label", F.when(some("label").isNotNull(), F.col("seq"))), F.lit("")).alias("last_seen"),
+        *[at(some(c), F.max).alias(c) for c in ("content_type", "title", "sha256")], at(F.col("size"), F.max).alias("size"), at(F.col("archive_presence"), F.max).alias("archive_presence"),
+        at(some("label"), F.min).alias("first_seen"), at(some("label"), F.max).alias("last_seen"), F.collect_set(some("metadata")).alias("metadata"), F.collect_set(some("redirect")).alias("redirects"),
     )
-    both = found.join(seen, "url", "full_outer")
+    return found.join(seen, "url", "full_outer").select("url", *GATHERED, *LATEST, "first_seen")
+
+
+def merge_genealogy(*states: DataFrame) -> DataFrame:
+    """One state of several, in any order: the same as that of all their observations together."""
+    every = states[0]
+    for state in states[1:]:
+        every = every.unionByName(state)
+    gathered = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in GATHERED]
+    return every.groupBy("url").agg(*gathered, *[F.max(c).alias(c) for c in LATEST], F.min("first_seen").alias("first_seen"))
+
+
+def genealogy_rows(state: DataFrame) -> DataFrame:
+    """One row per artifact: sets as sorted arrays, scalars as told, and the number of other artifacts with the same hash."""
     empty = F.array().cast("array<string>")
-    both = both.select(
-        "url", *[F.coalesce(c, empty).alias(c) for c in ("found_on", "source_kinds", "notes", "metadata", "redirects")], *[F.coalesce(c, F.lit("")).alias(c) for c in ("content_type", "title", "sha256", "first_seen", "last_seen")],
-        F.coalesce("size", F.lit(0).cast("bigint")).alias("size"), F.coalesce("archive_presence", F.lit(False)).alias("archive_presence"),
+    text = lambda c: F.coalesce(F.col(f"{c}.value"), F.lit("")).alias(c)
+    rows = state.select(
+        "url", *[F.array_sort(F.coalesce(c, empty)).alias(c) for c in GATHERED], *[text(c) for c in ("content_type", "title", "sha256", "first_seen", "last_seen")],
+        F.coalesce("size.value", F.lit(0).cast("bigint")).alias("size"), F.coalesce("archive_presence.value", F.lit(False)).alias("archive_presence"),
     )
-    same = both.where("sha256 != ''").groupBy("sha256").agg(F.count("*").alias("copies"))
-    return both.join(same, "sha256", "left").withColumn("n_duplicates", F.coalesce(F.col("copies") - 1, F.lit(0))).drop("copies")
+    same = rows.where("sha256 != ''").groupBy("sha256").agg(F.count("*").alias("copies"))
+    return rows.join(same, "sha256", "left").withColumn("n_duplicates", F.coalesce(F.col("copies") - 1, F.lit(0))).drop("copies")
+
+
+def genealogy(discoveries: DataFrame, observations: DataFrame) -> DataFrame:
+    """genealogy_rows of all discoveries and observations at once."""
+    return genealogy_rows(genealogy_state(discoveries, observations))
 
 
 def content_duplicates(items: DataFrame, key: str, content: str) -> DataFrame:
@@ -238,6 +261,43 @@ def flatten_snapshot(docs: DataFrame) -> DataFrame:
     return docs.select(*rest, "doc").mapInArrow(run, schema.add("path", ArrayType(StringType())).add("kind", "string").add("value", "string"))
 
 
+@pandas_udf(StringType())
+def _as_text(values: pd.Series) -> pd.Series:
+    """The text of a JSON value as it is shown: True for true, {'b': 2} for {"b": 2}."""
+    return values.map(lambda v: None if v is None else str(json.loads(v)))
+
+
+def flatten_by_level(docs: DataFrame) -> DataFrame:
+    """The rows of flatten_snapshot, a level of the documents at a time, for documents whose nodes are too many for one task.
+
+    Objects in lists are shown with their keys in order of name, others as they are.
+    Each level is exploded in the JVM (``variant_explode``), its objects and lists are written to the shared folder and make the next; only the
+    values of lists and scalars that are no strings go to Python, one by one, to be shown.
+    """
+    spark, rest, folder = docs.sparkSession, [c for c in docs.columns if c != "doc"], scratch_folder(docs.sparkSession)
+    kind = F.when(F.schema_of_variant("v").startswith("OBJECT"), "map").when(F.schema_of_variant("v").startswith("ARRAY"), "list").when(F.schema_of_variant("v").isin("VOID", "NULL"), "null").otherwise("scalar")
+    text = F.when(F.schema_of_variant("v") == "STRING", F.expr("variant_get(v, '$', 'string')")).otherwise(_as_text(F.when(F.schema_of_variant("v") != "STRING", F.to_json("v"))))
+    rows, level, parts = docs.select(*rest, F.array().cast("array<string>").alias("path"), F.try_parse_json("doc").alias("v")).where("v IS NOT NULL"), 0, []
+    while True:
+        rows.withColumn("kind", kind).write.parquet(f"{folder}/level={level}")
+        nodes = spark.read.parquet(f"{folder}/level={level}")
+        told = nodes.where(F.col("kind").isin("map", "list")).select(*rest, "path", "kind", F.lit("").alias("value"))
+        parts += [told, nodes.where((F.col("kind") == "scalar") & (F.size("path") > 0)).select(*rest, "path", "kind", text.alias("value"))]
+        name = f"gossamer_nodes_{uuid.uuid4().hex}"
+        nodes.where(F.col("kind").isin("map", "list")).createOrReplaceTempView(name)
+        # (pos, key, value) of objects and lists; pos and key are no words that the other columns use.
+        listed = ", ".join(f"n.`{c}`" for c in [*rest, "path", "kind"])
+        below = spark.sql(f"SELECT {listed}, e.key AS __key, e.value AS v FROM {name} n, LATERAL variant_explode(n.v) e")
+        parts.append(below.where("kind = 'list'").withColumn("kind", kind).where("kind != 'null'").select(*rest, "path", F.lit("item").alias("kind"), text.alias("value")))
+        rows, level = below.where("kind = 'map'").select(*rest, F.concat("path", F.array("__key")).alias("path"), "v"), level + 1
+        if rows.isEmpty():
+            break
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def snapshot_diff(previous: DataFrame, current: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(path, kind, value) on both sides -> path, change (added, removed or changed), value, before, after; each within equal ``by``.
 

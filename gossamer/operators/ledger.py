@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .crawl import number_rows
 
 PANEL_ITEMS, DIFF_ITEMS, CARDS = 250, 16, 6
 FACETS = ("state", "bucket", "error_kind", "content_type", "source_kind")
@@ -79,8 +80,10 @@ def list_runs(runs: DataFrame) -> DataFrame:
 
 
 def older_run(runs: DataFrame) -> DataFrame:
-    """(id, against): each run and the one before it in time. Runs are few; the window is over all of them."""
-    return runs.select("id", F.lead("id").over(Window.orderBy(F.col("ended_at").desc(), F.col("id").desc())).alias("against"))
+    """(id, against): each run and the one before it in time, null for the first. Runs are numbered by range of time, so that no task holds all of them."""
+    placed = number_rows(runs.select("id", "ended_at"), ["ended_at", "id"], "place")
+    before = placed.select(F.col("id").alias("against"), (F.col("place") + 1).alias("place"))
+    return placed.join(before, "place", "left").select("id", "against")
 
 
 def last_entries(events: DataFrame, n: int, by: str = "channel", order: str = "seq") -> DataFrame:

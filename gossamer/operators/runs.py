@@ -123,8 +123,8 @@ def run_diffs(runs: DataFrame, leaves: DataFrame, items: int = DIFF_ITEMS) -> Da
     known = leaves.select("run_id").distinct()
     pairs = older_run(runs).where("against IS NOT NULL").withColumnRenamed("id", "run_id")
     both = pairs.join(known, "run_id", "left_semi").join(known.withColumnRenamed("run_id", "against"), "against", "left_semi")
-    before = leaves.withColumnRenamed("run_id", "against").join(F.broadcast(both), "against").select("run_id", "path", "kind", "value")
-    after = leaves.join(F.broadcast(both), "run_id", "left_semi").select("run_id", "path", "kind", "value")
+    before = leaves.withColumnRenamed("run_id", "against").join(both, "against").select("run_id", "path", "kind", "value")
+    after = leaves.join(both, "run_id", "left_semi").select("run_id", "path", "kind", "value")
     diff = analysis.snapshot_diff(before, after, ("run_id",))
     counts = diff.groupBy("run_id").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed")])
     lines = analysis.diff_lines(diff).withColumn("k", F.row_number().over(Window.partitionBy("run_id").orderBy("line"))).where(F.col("k") <= items)

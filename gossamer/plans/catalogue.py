@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import derived_queries, page_queries, run_queries, stream_queries
+from . import derived_queries, log_queries, page_queries, stream_queries
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, QueryFn]:
-    return page_queries.QUERIES | stream_queries.QUERIES | derived_queries.QUERIES | run_queries.QUERIES
+    return page_queries.QUERIES | stream_queries.QUERIES | derived_queries.QUERIES | log_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return page_queries.SQL | stream_queries.SQL | derived_queries.SQL | run_queries.SQL
+    return page_queries.SQL | stream_queries.SQL | derived_queries.SQL | log_queries.SQL

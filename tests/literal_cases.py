@@ -1,4 +1,4 @@
-"""Queries over literal inputs, for what the tables hold no example of; the SQL states the rows to expect."""
+"""Cases over literal inputs: each function's rows must be those that its decorator states."""
 
 from __future__ import annotations
 
@@ -8,11 +8,11 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..functions import urls as U
-from ..operators import analysis, crawl, extract, ledger
-from ..sources import readers, seeds, sinks
-from . import control
+from gossamer.functions import text as T
+from gossamer.functions import urls as U
+from gossamer.operators import analysis, crawl, extract, ledger
+from gossamer.sources import readers, seeds, sinks
+from gossamer.plans import control
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

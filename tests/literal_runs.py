@@ -9,12 +9,12 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..functions import urls as U
-from ..operators import analysis, crawl, extract, ledger, runs
-from ..sources import fetch, readers, seeds, sinks
-from . import control
-from .fixture_queries import QUERIES, SITE, SQL, query, table  # noqa: F401  one registry for both modules
+from gossamer.functions import text as T
+from gossamer.functions import urls as U
+from gossamer.operators import analysis, crawl, extract, ledger, runs
+from gossamer.sources import fetch, readers, seeds, sinks
+from gossamer.plans import control
+from literal_cases import QUERIES, SITE, SQL, query, table  # noqa: F401  one registry for both modules
 
 # --- extractors, kind by kind ---------------------------------------------------------------
 
@@ -142,20 +142,6 @@ def probe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- fetching -------------------------------------------------------------------------------
 
 
-def scripted(url: str, attempt: int, headers: dict[str, str]) -> fetch.Response:
-    """A server of this test: by the path, always one answer, or one that comes right at the second attempt."""
-    path = url.removeprefix(SITE)
-    if path == "/flaky" and attempt == 1:
-        return fetch.Response(503, "text/html", "", url, headers={"Retry-After": "0"})
-    if path == "/down":
-        return fetch.Response(500, "text/html", "", url)
-    if path == "/lost":
-        raise TimeoutError("no answer")
-    if path == "/moved":
-        return fetch.Response(200, "text/html; charset=utf-8", f"{attempt}", SITE + "/new", (url,))
-    return fetch.Response(200, "text/html", f"{attempt} {headers.get('X-Crawl', '')}", url)
-
-
 # Statuses 429 and 5xx are asked again three times at most; what then stands counts. Binary names are never asked for.
 @query("fetch_outcomes_of_retries", "url, attempts, status_code, body, state, error_kind", [
     (SITE + "/ok", 1, 200, "1 yes", "completed", None), (SITE + "/flaky", 2, 200, "2 yes", "completed", None), (SITE + "/down", 4, 500, "", "failed", "server-error"), (SITE + "/lost", 4, None, None, "failed", "timeout"),
@@ -164,7 +150,7 @@ def scripted(url: str, attempt: int, headers: dict[str, str]) -> fetch.Response:
 def fetch_outcomes_of_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.dataSource.register(fetch.FetchSource)
     urls = [SITE + p for p in ("/ok", "/flaky", "/down", "/lost", "/moved", "/a.png")]
-    options = {"urls": json.dumps(urls), "fetcher": f"{__name__}:scripted", "headers": json.dumps({"X-Crawl": "yes"}), "backoff": "0"}
+    options = {"urls": json.dumps(urls), "fetcher": "tests.scripted_answers:scripted", "headers": json.dumps({"X-Crawl": "yes"}), "backoff": "0"}
     listed = spark.read.format("crawl_fetch").options(**options).load()
     got = fetch.fetch_pages(table(spark, "url string", *((u,) for u in urls)), options).intersect(listed)  # both ways give the same rows
     return crawl.fetch_outcome(got.withColumn("purpose", F.lit("page"))).select("url", "attempts", "status_code", "body", "state", "error_kind")
