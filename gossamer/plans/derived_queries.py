@@ -4,13 +4,15 @@ sitemaps of suppliers, responses of events. Their work grows with the tables; th
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import analysis, crawl, extract, ledger, runs
-from ..sources import readers, seeds, sinks
+from ..operators import analysis, crawl, extract, plugins
+from ..sources import seeds, writer
 from .page_queries import read
 
 QUERIES: dict = {}
@@ -268,3 +270,50 @@ def scoped_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = "CASE o_orderkey % 3 WHEN 0 THEN concat('https://web.archive.org/web/2020/http://o', o_orderkey, '.com/a') WHEN 1 THEN concat('https://web.archive.org/cdx?url=http%3A%2F%2Fo', o_orderkey, '.com%2Fa') ELSE concat('http://o', o_orderkey, '.com/a') END AS u"
     return read(spark, sf_dir, "orders").selectExpr(raw).select(U.original_archive_target(F.col("u")).alias("target")).groupBy("target").agg(F.count("*").alias("n"))
+
+
+# A user's own extractors, and findings written through the data source.
+
+
+@plugins.plugin("inputs", "name string, kind string")
+def named_inputs(url: str, body: str):
+    """Named input fields and their types."""
+    for tag in re.findall(r"<input\b[^>]*>", body):
+        told = dict(re.findall(r'(\w+)="([^"]*)"', tag))
+        if "name" in told:
+            yield told["name"], told.get("type", "text").lower()
+
+
+@plugins.plugin("scripts", "src string")
+def script_sources(url: str, body: str):
+    """Sources of script tags as they are written."""
+    for src in re.findall(r'<script src="([^"]+)"', body):
+        yield (src,)
+
+
+_PLUGGED = """
+x AS (
+  SELECT 'https://shop.example.com/p/' || p_partkey AS url, 'inputs' AS extractor, '{"name":"n' || p_size || '","kind":"number"}' AS row FROM part UNION ALL SELECT 'https://shop.example.com/p/' || p_partkey, 'inputs', '{"name":"q","kind":"text"}' FROM part
+  UNION ALL SELECT 'https://shop.example.com/p/' || p_partkey, 'scripts', '{"src":"/js/' || p_size || '.js"}' FROM part UNION ALL SELECT 'https://shop.example.com/p/' || p_partkey, 'scripts', '{"src":"https://cdn.example.net/' || p_type || '.js"}' FROM part
+)"""
+
+
+@query("plugins_of_shops", f"WITH {_PLUGGED} SELECT * FROM x")
+def plugins_of_shops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plugins.run_plugins(shop_pages(spark, sf_dir).withColumnRenamed("html", "body"))
+
+
+@query("plugin_in_sql", "SELECT 'n' || p_size AS name, 'number' AS kind, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT 'q', 'text', count(*) FROM part")
+def plugin_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plugins.register(spark)
+    return spark.sql("SELECT f.name, f.kind, count(*) AS n FROM {pages} p, LATERAL find_inputs(p.url, p.html) f GROUP BY f.name, f.kind", pages=shop_pages(spark, sf_dir))
+
+
+@query("findings_written", f"WITH {_PLUGGED} SELECT * FROM x UNION ALL SELECT url, 'more', NULL FROM x WHERE extractor = 'scripts' AND row LIKE '%cdn%'")
+def findings_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written in two appends through the data source, and read back from what was published."""
+    spark.dataSource.register(writer.FindingsSink)
+    folder, found = f"{crawl.scratch_folder(spark)}/findings", plugins_of_shops(spark, sf_dir)
+    for rows in (found.orderBy("url"), found.where("extractor = 'scripts' AND row LIKE '%cdn%'").select("url", F.lit("more").alias("extractor"), F.lit(None).cast("string").alias("row"))):
+        rows.write.format("crawl_findings").mode("append").option("path", folder.removeprefix("file:")).save()
+    return writer.read_findings(spark, folder.removeprefix("file:"), "url string, extractor string, row string")
