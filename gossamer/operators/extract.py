@@ -192,7 +192,7 @@ def structured_references(pages: DataFrame) -> DataFrame:
 
 def custom_matches(pages: DataFrame, pattern: str) -> DataFrame:
     """url, match: all matches of a user's pattern; the groups, joined by commas, if it has any. A pattern that does not compile is an error."""
-    groups = re.compile(pattern).groups
+    groups = pages.sparkSession._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
     if groups <= 1:
         found = T.find_all(_body(pages), pattern, groups)
     else:

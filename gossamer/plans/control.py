@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, fields, replace
 from importlib import metadata
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,15 +102,15 @@ def web_bounds(settings: RunSettings) -> RunSettings:
     return replace(settings, depth=min(settings.depth, 8), threads=min(settings.threads, 32))
 
 
-def pattern_problems(patterns: dict[str, list[str]]) -> dict[str, list[str]]:
-    """Of the named lists of a user's patterns, those that do not compile with what is wrong, before a run starts; Java's syntax counts where they run."""
+def pattern_problems(spark: SparkSession, patterns: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Of the named lists of a user's patterns, those that do not compile with what is wrong, before a run starts: asked of Java, which runs them."""
     problems: dict[str, list[str]] = {}
     for name, some in patterns.items():
         for p in some:
             try:
-                re.compile(p)
-            except re.error as error:
-                problems.setdefault(name, []).append(f"{p}: {error}")
+                spark._jvm.java.util.regex.Pattern.compile(p)
+            except Py4JJavaError as error:
+                problems.setdefault(name, []).append(f"{p}: {error.java_exception.getDescription()}")
     return problems
 
 

@@ -4,15 +4,20 @@ sitemaps of suppliers, responses of events. Their work grows with the tables; th
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import analysis, crawl, extract, plugins
-from ..sources import seeds, writer
+from ..sources import fetch, readers, seeds, writer
 from .page_queries import read
 
 QUERIES: dict = {}
@@ -317,3 +322,119 @@ def findings_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     for rows in (found.orderBy("url"), found.where("extractor = 'scripts' AND row LIKE '%cdn%'").select("url", F.lit("more").alias("extractor"), F.lit(None).cast("string").alias("row"))):
         rows.write.format("crawl_findings").mode("append").option("path", folder.removeprefix("file:")).save()
     return writer.read_findings(spark, folder.removeprefix("file:"), "url string, extractor string, row string")
+
+
+# Probes, documents, stories and files.
+
+
+def documents_as_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").selectExpr("'files' AS dataset", "p_partkey AS ord", "concat('https://shop.example.com/docs/d', p_partkey, '.pdf') AS value")
+
+
+@query("document_probes", """
+WITH a AS (SELECT unnest(['draft', 'backup', 'old', 'final', 'en', 'fr']) AS affix, unnest(range(6)) AS i), g AS (
+  SELECT p_partkey AS k, 2 * i + side AS place, 'https://shop.example.com/docs/' || CASE side WHEN 0 THEN 'd' || p_partkey || '-' || affix ELSE affix || '-d' || p_partkey END || '.pdf' AS probe FROM part, a, (SELECT unnest([0, 1]) AS side)
+) SELECT row_number() OVER (ORDER BY k, place)::INT AS ord, probe, 'https://shop.example.com/docs/d' || k || '.pdf' AS source, 'document-mutation' AS reason FROM (SELECT * FROM g ORDER BY k, place LIMIT 64)""")
+def document_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.mutation_probes(documents_as_entries(spark, sf_dir), "https://shop.example.com/")
+
+
+@query("untried_documents", """
+WITH a AS (SELECT unnest(['draft', 'backup', 'old', 'final', 'en', 'fr']) AS affix, unnest(range(6)) AS i), g AS (
+  SELECT p_partkey AS k, 2 * i + side AS place, side, 'https://shop.example.com/docs/' || CASE side WHEN 0 THEN 'd' || p_partkey || '-' || affix ELSE affix || '-d' || p_partkey END || '.pdf' AS probe FROM part, a, (SELECT unnest([0, 1]) AS side)
+) SELECT probe AS url, 'document-mutation' AS strategy FROM (SELECT * FROM g ORDER BY k, place LIMIT 64) WHERE side = 1 OR k % 2 = 1""")
+def untried_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes = document_probes(spark, sf_dir).selectExpr("ord", "concat(probe, '#x') AS probe", "'' AS token", "reason AS strategy", "source")
+    affixed = F.explode(F.array(*[F.lit(x) for x in analysis.DOCUMENT_AFFIXES])).alias("affix")
+    known = read(spark, sf_dir, "part").where("p_partkey % 2 = 0").select("p_partkey", affixed).selectExpr("concat('https://shop.example.com/docs/d', p_partkey, '-', affix, '.pdf') AS url")
+    return analysis.untried_probes(probes, known, "shop.example.com").select("url", "strategy")
+
+
+@query("strategies_of_parts", """
+WITH t AS (SELECT lower(p_type) AS token FROM part UNION SELECT lower(replace(p_name, ' ', '-')) FROM part), n AS (SELECT least(count(*), 24) AS learned FROM t)
+SELECT * FROM (SELECT 'learned' AS strategy, (2 * learned)::BIGINT AS n FROM n UNION ALL SELECT 'wordlist', (2 * least(24 - learned, 15))::BIGINT FROM n) WHERE n > 0""")
+def strategies_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read(spark, sf_dir, "part").selectExpr("'internal' AS kind", "concat('https://shop.example.com/', p_type, '/', replace(p_name, ' ', '-')) AS value")
+    return analysis.probe_strategies(analysis.hidden_candidates(found, "https://shop.example.com/"))
+
+
+def supplier_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each supplier with twelve links, two of them elsewhere, and seven quotes."""
+    link = """concat('<a href="https://', if(i < 3, 'm.example.net', 'news.example.com'), '/', lpad(i, 2, '0'), '/', s_suppkey, '">x</a>')"""
+    quote = """concat('<p>"quote number ', i, ' of supplier ', s_suppkey, '" </p>')"""
+    page = f"""concat('<html lang="en"><title>News ', s_suppkey, '</title>', array_join(transform(sequence(1, 12), i -> {link}), ' '), array_join(transform(sequence(1, 7), i -> {quote}), ' '), '<time datetime="2024-01-0', s_nationkey % 9 + 1, '">t</time></html>')"""
+    return read(spark, sf_dir, "supplier").selectExpr("concat('https://news.example.com/s/', s_suppkey) AS url", f"{page} AS html")
+
+
+@query("stories_of_suppliers", """
+WITH s AS (SELECT s_suppkey AS k, 'https://news.example.com/s/' || s_suppkey AS url, '2024-01-0' || (s_nationkey % 9 + 1) AS published FROM supplier), r AS (
+  SELECT k, 'page' AS relation, 'News ' || k AS value FROM s UNION ALL SELECT k, 'metadata', '' FROM s UNION ALL SELECT k, 'mirror', 'https://m.example.net/0' || unnest([1, 2]) || '/' || k FROM s
+  UNION ALL SELECT k, 'reference', 'https://news.example.com/' || lpad(unnest(range(3, 11))::VARCHAR, 2, '0') || '/' || k FROM s UNION ALL SELECT k, 'quote', 'quote number ' || unnest(range(1, 6)) || ' of supplier ' || k FROM s
+) SELECT url, 'news-' || k AS story, relation, value, published, 12 AS refs FROM r JOIN s USING (k)""")
+def stories_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.stories(supplier_news(spark, sf_dir)).select("url", "story", "relation", "value", "published", "refs")
+
+
+@pandas_udf(BinaryType())
+def _archive(names: pd.Series) -> pd.Series:
+    """An office archive of each name: its core properties and a text."""
+
+    def one(name: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("docProps/core.xml", f'<c:coreProperties xmlns:c="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{name}</dc:title><c:lastModifiedBy>Eve</c:lastModifiedBy></c:coreProperties>')
+            z.writestr("word/document.xml", f"<w>mail {name}@x.org</w>")
+        return out.getvalue()
+
+    return names.map(one)
+
+
+@query("documents_of_parts", """
+SELECT 'https://x/' || p_partkey || '.pdf' AS url, unnest(['metadata', 'metadata', 'leak', 'leak']) AS record, unnest(['title', 'author', 'email', 'path']) AS kind, unnest([p_name, 'A' || p_size, 'm' || p_partkey || '@x.org', 'C:' || chr(92) || 'Users' || chr(92) || 'u' || p_size || chr(92) || 'a.doc']) AS value FROM part
+UNION ALL SELECT 'https://x/' || p_partkey || '.doc', 'metadata', 'author', 'Bob ' || p_partkey FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT 'https://x/' || p_partkey || '.docx', unnest(['leak', 'leak', 'metadata', 'metadata', 'leak']), unnest(['internal-path', 'internal-path', 'title', 'last_modified_by', 'email']), unnest(['docProps/core.xml', 'word/document.xml', 'n' || p_partkey, 'Eve', 'n' || p_partkey || '@x.org']) FROM part WHERE p_size % 3 = 0""")
+def documents_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "part")
+    pdf = parts.selectExpr("concat('https://x/', p_partkey, '.pdf') AS url", "cast(concat('%PDF /Title (', p_name, ') /Author (A', p_size, ') m', p_partkey, '@x.org C:', char(92), 'Users', char(92), 'u', p_size, char(92), 'a.doc ') AS binary) AS content", "'application/pdf' AS content_type")
+    old = parts.where("p_size % 2 = 0").selectExpr("concat('https://x/', p_partkey, '.doc') AS url", "cast(concat('Author: Bob ', p_partkey, char(10)) AS binary) AS content", "'' AS content_type")
+    office = parts.where("p_size % 3 = 0").select(F.expr("concat('https://x/', p_partkey, '.docx')").alias("url"), _archive(F.expr("concat('n', p_partkey)")).alias("content"), F.lit("").alias("content_type"))
+    fetched = pdf.unionByName(old).unionByName(office)
+    files = parts.select(F.explode(F.array(*[F.expr(f"concat('https://x/', p_partkey, '.{end}')") for end in ("pdf", "doc", "docx", "png")])).alias("url"))
+    return extract.harvest_documents(files, fetched)
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a text file for each size of parts, of their names and a blank line each."""
+    folder = f"{crawl.scratch_folder(spark)}/files"
+    parts = read(spark, sf_dir, "part").selectExpr("p_size AS size", "concat(p_name, ' ', p_partkey, if(p_partkey % 2 = 0, char(10), '')) AS value")
+    parts.repartition("size").sortWithinPartitions("size", "value").write.partitionBy("size").text(folder)
+    return folder
+
+
+@query("specimens_of_parts", """
+WITH l AS (SELECT p_size, strlen(p_name || ' ' || p_partkey) AS n, p_partkey % 2 = 0 AS gap FROM part)
+SELECT 'script' AS kind, count(DISTINCT p_size) AS n, sum(n + 1 + gap::INT)::BIGINT AS chars FROM l UNION ALL SELECT 'binary', count(DISTINCT p_size), sum(n + 1 + gap::INT)::BIGINT FROM l UNION ALL SELECT 'lines', count(*), sum(n)::BIGINT FROM l""")
+def specimens_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = part_files(spark, sf_dir)
+    found = {"script": readers.script_files(spark, folder).select(F.length("body").alias("n")), "binary": readers.document_files(spark, folder).select(F.length("content").alias("n")), "lines": readers.text_lines(spark, folder).select(F.length("value").alias("n"))}
+    out = None
+    for kind, df in found.items():
+        one = df.agg(F.count("*").alias("n"), F.sum("n").cast("bigint").alias("chars")).select(F.lit(kind).alias("kind"), "n", "chars")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("fetched_files", """
+SELECT 200 AS status_code, 'completed' AS state, count(DISTINCT p_size) AS n, sum(strlen(p_name || ' ' || p_partkey) + 1 + (p_partkey % 2 = 0)::INT)::BIGINT AS chars FROM part
+UNION ALL SELECT 404, 'failed', count(DISTINCT p_size), NULL FROM part UNION ALL SELECT NULL, 'failed', count(DISTINCT p_size), NULL FROM part""")
+def fetched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of the files, of as many that are not there, and of as many with a scheme that nobody reads."""
+    there = readers.script_files(spark, part_files(spark, sf_dir)).select("url")
+    urls = there.unionByName(there.select(F.concat("url", F.lit(".gone")).alias("url"))).unionByName(there.select(F.concat(F.lit("gopher://h"), F.substring_index("url", ":", -1)).alias("url")))
+    got = fetch.fetch_pages(urls, {"backoff": "0"}).withColumn("purpose", F.lit("page"))
+    return crawl.fetch_outcome(got).groupBy("status_code", "state").agg(F.count("*").alias("n"), F.sum(F.length("body")).cast("bigint").alias("chars"))
+
+
+@query("references_of_shops", f"SELECT {_SHOP}, 'link' AS kind, 'https://shop.example.com/buy/' || p_partkey AS value FROM part UNION ALL SELECT {_SHOP}, 'link', unnest(['https://shop.example.com/js/' || p_size || '.js', 'https://cdn.example.net/' || p_type || '.js']) FROM part")
+def references_of_shops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.structured_references(shop_pages(spark, sf_dir)).where("value NOT LIKE '%/part?%'")

@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import analysis, crawl, ledger, runs
 from ..sources import readers, runlog, sinks
+from ..streaming import crawl_stream
+from . import control
 from .derived_queries import shop_pages
 from .page_queries import read
 
@@ -453,3 +455,46 @@ def genealogy_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = analysis.merge_genealogy(runlog.load_checkpoint(spark, folder)["state"], states[2])
     rows = analysis.genealogy_rows(merged)
     return rows.select("url", *[F.array_join(c, ",").alias(c) for c in ("found_on", "source_kinds")], "content_type", "title", "sha256", "size", "archive_presence", "first_seen", "last_seen", "n_duplicates")
+
+
+@query("workflows_of_customers", """
+SELECT c_custkey, ['url', 'js', 'dead_url', 'odd'][c_custkey % 4 + 1] AS kind, ['domain_necropsy', 'js_bone_saw', 'dead_page_resurrection', 'domain_necropsy'][c_custkey % 4 + 1] AS workflow, ['generic', 'js-intel', 'temporal', 'generic'][c_custkey % 4 + 1] AS mode FROM customer""")
+def workflows_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = read(spark, sf_dir, "customer").selectExpr("c_custkey", "element_at(array('url', 'js', 'dead_url', 'odd'), cast(c_custkey % 4 + 1 AS int)) AS kind")
+    return control.workflow_plan(kinds).select("c_custkey", "kind", "workflow", "mode")
+
+
+@query("leaves_of_runs", f"""
+WITH {_FINDINGS} SELECT dataset AS path, 'item' AS kind, value FROM f UNION ALL SELECT 'stats/' || run_id, 'scalar', visited::VARCHAR FROM st UNION ALL SELECT 'content_types/' || p_type, 'scalar', count(*)::VARCHAR FROM part GROUP BY p_type
+UNION ALL SELECT 'artifact_genealogy/u' || p_partkey || '/' || unnest(['content_type', 'sha256', 'size', 'archive_presence', 'first_seen', 'last_seen', 'title']), 'scalar', unnest(['text/html', sha256(p_name), p_size::VARCHAR, CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END, 'd1', 'd2', p_name]) FROM part
+UNION ALL SELECT unnest(['snapshot_version', 'report_metadata/run']), 'scalar', unnest(['2', 'r1'])""")
+def leaves_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "part")
+    stats = run_stats(spark, sf_dir).where("key = 'visited'").select(F.col("run_id").alias("key"), "value")
+    artifacts = parts.selectExpr("concat('u', p_partkey) AS url", "'text/html' AS content_type", "sha2(p_name, 256) AS sha256", "p_size AS size", "p_size % 2 = 0 AS archive_presence", "'d1' AS first_seen", "'d2' AS last_seen", "p_name AS title")
+    types = parts.groupBy(F.col("p_type").alias("content_type")).agg(F.count("*").alias("n"))
+    return runs.snapshot_leaves(run_findings(spark, sf_dir), stats, types, artifacts, {"run": "r1"}).withColumn("path", F.array_join("path", "/"))
+
+
+@query("timeline_of_events", """SELECT event_type AS type, count(*) AS n, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') AS first, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS last FROM events GROUP BY event_type""")
+def timeline_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events written as JSON lines by a stream, and the lines read back."""
+    folder, events = crawl.scratch_folder(spark), read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("ts", F.col("event_type").alias("type"), F.col("props").alias("payload"))
+    crawl_stream.timeline_sink(stream, f"{folder}/lines", f"{folder}/checkpoint").awaitTermination()
+    lines = spark.read.schema("timestamp string, type string, payload string").json(f"{folder}/lines")
+    return lines.groupBy("type").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+@query("report_lines_of_runs", f"""
+WITH {_FINDINGS}, s AS (
+  SELECT CASE dataset WHEN 'scam_signals' THEN 16 ELSE 14 END AS part, CASE dataset WHEN 'skipped' THEN 1 ELSE 0 END AS place, value FROM f WHERE dataset IN ('failed', 'skipped', 'scam_signals')
+), k AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY place, value) AS ord, '- ' || value AS line FROM s UNION ALL SELECT 2, row_number() OVER (ORDER BY value), '- ' || value FROM (SELECT DISTINCT 'https://x/' || p_type AS value FROM part)
+  UNION ALL SELECT 15, 1, '- No temporal changes recorded' UNION ALL SELECT 17, 1, '- No next probes suggested'
+) SELECT part::INT AS part, ord, line FROM k WHERE ord <= 20""")
+def report_lines_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anatomy = read(spark, sf_dir, "part").selectExpr("'docs' AS section", "concat('https://x/', p_type) AS value").distinct()
+    probes = read(spark, sf_dir, "part").where("false").selectExpr("p_partkey AS ord", "p_name AS probe")
+    lines = runs.report_lines(["# Autopsy"], anatomy, runs.report_sections(run_findings(spark, sf_dir), probes))
+    return lines.where("part IN (2, 14, 15, 16, 17) AND ord BETWEEN 1 AND 20").select("part", "ord", "line")

@@ -507,7 +507,7 @@ def resumed_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # A user's own pattern must compile before a run starts; what is wrong is told by name.
 @query("pattern_problems", "name, ok", [("allow", True), ("deny", False), ("exclude", False), ("regex", True)])
 def pattern_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = control.pattern_problems({"allow": ["/a", "b+"], "deny": ["("], "exclude": ["[z"], "regex": []})
+    found = control.pattern_problems(spark, {"allow": ["/a", "b+"], "deny": ["("], "exclude": ["[z"], "regex": []})
     return table(spark, "name string, ok boolean", *((name, not found.get(name)) for name in ("allow", "deny", "exclude", "regex")))
 
 

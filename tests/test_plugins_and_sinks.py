@@ -12,6 +12,7 @@ from gossamer.functions import literals
 from gossamer.functions import patterns as P
 from gossamer.functions import text as T
 from gossamer.operators import analysis, extract, ledger, plugins
+from gossamer.plans import control
 from gossamer.sources import readers, writer
 
 
@@ -145,3 +146,12 @@ def test_older_runs_and_spread(spark):
     one = spark.range(100).coalesce(1)
     assert readers.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows(readers.spread(one)) == rows(one)
     assert readers.spread(spark.range(0, 100, 1, 50)).rdd.getNumPartitions() == 50
+
+
+def test_patterns_are_compiled_by_the_engine_that_runs_them(spark):
+    found = control.pattern_problems(spark, {"java": ["[a-z&&[^b]]", "a++", r"\p{Alpha}"], "python": ["(?P<x>a)", "("]})
+    assert set(found) == {"python"} and len(found["python"]) == 2 and found["python"][1].startswith("(: ")
+    pages = spark.createDataFrame([("u", "aab bbc")], "url string, html string")
+    assert rows(extract.custom_matches(pages, "(?<one>a++)(b)")) == [("u", "aa, b")] and rows(extract.custom_matches(pages, "[a-z&&[^a]]+")) == [("u", "b"), ("u", "bbc")]
+    with pytest.raises(Exception, match="(?i)pattern|unclosed"):
+        extract.custom_matches(pages, "(")
