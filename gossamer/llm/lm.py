@@ -395,14 +395,20 @@ def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int =
         for batch in batches:
             if batch.empty:
                 continue
-            texts, held_out = [normalise(t) for t in batch["text"]], batch["held_out"].to_numpy(bool)
-            place = np.arange(chunk.documents, chunk.documents + len(texts), dtype=np.int32)
-            chunk.add(texts, held_out)
-            yield pd.DataFrame({"chunk": chunk.number, "place": place, "doc_id": batch["doc_id"].to_numpy(), "nameless": batch["nameless"].to_numpy(bool), "held_out": held_out, "text": texts}).reindex(columns=PART_COLUMNS)
-            if chunk.bytes >= CHUNK_BYTES:
-                yield from chunk.rows()
-                number += 1
-                chunk = _Chunk(number, depth)
+            every, out = [normalise(t) for t in batch["text"]], batch["held_out"].to_numpy(bool)
+            ends, lo = np.cumsum([len(t) for t in every]), 0
+            while lo < len(every):  # a chunk ends with the text that fills it, within a batch too: batches of long texts are large
+                room = CHUNK_BYTES - chunk.bytes + (ends[lo - 1] if lo else 0)
+                hi = min(len(every), max(lo, int(np.searchsorted(ends, room))) + 1)
+                texts, held_out, some = every[lo:hi], out[lo:hi], batch.iloc[lo:hi]
+                place = np.arange(chunk.documents, chunk.documents + len(texts), dtype=np.int32)
+                chunk.add(texts, held_out)
+                yield pd.DataFrame({"chunk": chunk.number, "place": place, "doc_id": some["doc_id"].to_numpy(), "nameless": some["nameless"].to_numpy(bool), "held_out": held_out, "text": texts}).reindex(columns=PART_COLUMNS)
+                if chunk.bytes >= CHUNK_BYTES:
+                    yield from chunk.rows()
+                    number += 1
+                    chunk = _Chunk(number, depth)
+                lo = hi
         if chunk.documents:
             yield from chunk.rows()
 

@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from .labelled import fit_logistic, logistic, training_sample
 
-# A general list of insults, leet letters, and words that tell the kind of a window.
+# A general list of insults, leet letters, endings of inflected words, and words that tell the kind of a window.
 INSULTS = ("idiot", "moron", "imbecile", "stupid", "dumb", "fool", "loser", "scum", "trash", "garbage", "filth", "vermin", "pathetic", "worthless", "disgusting", "clown", "jerk", "creep", "bastard", "degenerate")
 LEET = str.maketrans("01345789@$!|", "oieastbgasii")
+ENDINGS = frozenset("s es 's ed d er ers est ing ings ish ity ities ly ness ion ions y ic al able ous ment ments ism ist ists".split())
 REPORTING = frozenset("said says wrote writes called calls quote quoted reported reports tweeted headline according".split())
 ADDRESS = frozenset("you your you're youre u ur".split())
 QUOTES = "\"'“”«»‘’"
@@ -47,7 +48,8 @@ class LexiconAutomaton:
 
     ``match(word)`` returns (term, edits) or None: the term that the word starts with, else the one
     nearest to the whole word within the term's allowed edits (insertion, deletion, substitution or
-    swap of neighbours).
+    swap of neighbours), else the one nearest to a beginning of five letters or more that an ending of ``ENDINGS`` follows, so that
+    inflections of misspelled terms are found as those of others are.
     """
 
     def __init__(self, terms: list[str]):
@@ -111,21 +113,22 @@ class LexiconAutomaton:
         return self._state(out)
 
     def match(self, word: str) -> tuple[str, int] | None:
-        state, stem = self.start, None
-        for c in word:
+        state, stem, begins = self.start, None, None
+        for n, c in enumerate(word, 1):
             c = c if c in self.alphabet else "\0"
             moves = self.moves[state]
             nxt = moves.get(c)
             if nxt is None:
                 nxt = moves[c] = self._move(state, c)
             if nxt < 0:
-                return (stem, 0) if stem else None
+                return (stem, 0) if stem else begins
             state = nxt
             stem = self.stem[state] or stem
+            if n >= 5 and (ends := self.final[state]) and (begins is None or ends[1] < begins[1]) and word[n:] in ENDINGS:
+                begins = ends
         if stem:
             return stem, 0
-        found = self.final[state]
-        return found if found and len(word) >= 5 else None
+        return self.final[state] if self.final[state] and len(word) >= 5 else begins
 
 
 def clean_word(token: str) -> str:

@@ -173,8 +173,9 @@ def test_automaton_accepts_what_is_near():
                 word.insert(k, "aeiot"[rng.integers(5)])
             elif k < len(word) > 1:
                 del word[k]
-        word = "".join(word)
-        near = any(word.startswith(t) or (len(word) >= 5 and edits(word, t) <= toxicity.edits_allowed(t)) for t in terms)
+        word = "".join(word) + str(rng.choice(["", "", "s", "ity", "zq", "ness"]))
+        begins = [word, *(word[:k] for k in range(5, len(word)) if word[k:] in toxicity.ENDINGS)]
+        near = any(word.startswith(t) or any(len(w) >= 5 and edits(w, t) <= toxicity.edits_allowed(t) for w in begins) for t in terms)
         assert (auto.match(word) is not None) == near, word
 
 
@@ -676,3 +677,23 @@ def test_full_pieces_are_in_no_group(spark, monkeypatch):
     assert others.groupby(others["sequence_id"] % groups).size().max() <= 32
     for _, pieces in got.sort_values("piece").groupby("doc_id"):
         assert pieces["start"].tolist() == [0, *pieces["length"].cumsum().tolist()[:-1]]
+
+
+def test_inflections_of_misspelled_terms_are_found():
+    match = toxicity.LexiconAutomaton(["idiot", "stupid", "scum", "worthless"]).match
+    assert [match(w) for w in ("stuupidity", "idoits", "wrothlesly", "idiotic")] == [("stupid", 1), ("idiot", 1), ("worthless", 2), ("idiot", 0)]
+    assert [match(w) for w in ("idoitzq", "scam", "scams", "study", "stupor")] == [None] * 5
+
+
+def test_chunks_are_closed_within_a_batch_of_long_texts(spark, monkeypatch):
+    rows = [(i, f"w{i} " * (40 + 400 * (i % 3 == 0))) for i in range(30)] + [(100, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    score = lambda: {r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in lm.score_corpus(docs).collect()}
+    want, sizes, add = score(), [], lm._Chunk.add
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 1_000)
+    assert score() == want
+    made = [lm._Chunk(0, 5)]
+    for text in (b"a b c", b"d e"):
+        add(made[0], [text], np.array([False]))
+        sizes.append(made[0].bytes)
+    assert sizes == [5, 8]
