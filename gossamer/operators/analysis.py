@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructType
@@ -298,6 +299,58 @@ def flatten_by_level(docs: DataFrame) -> DataFrame:
     return out
 
 
+#: The files that a run's snapshot may be read from, and what of the report's summary and manifest belongs to it.
+BASELINE_FILE, MANIFEST_FILE, REPORT_FILE = "temporal-baseline.json", "crawl-manifest.json", "autopsy.json"
+
+
+def load_snapshot(spark: SparkSession, folder: str, datasets: tuple[str, ...]) -> DataFrame:
+    """path, kind, value of an earlier run's snapshot, from whatever its folder holds; no rows where that is nothing.
+
+    Four sources, of which the first that tells a part is believed: the structured baseline, text files of the ``datasets`` and of ``stats``, the
+    manifest (artifact hashes), the report (genealogy, content types). Files may be folders of parts, as Spark writes them.
+    """
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda name: files.exists(jvm.Path(f"{folder}/{name}"))
+    node = lambda df, path, kind, value: df.select(path.alias("path"), F.lit(kind).alias("kind"), value.alias("value"))
+
+    def document(name: str) -> DataFrame:
+        return flatten_snapshot(spark.read.text(f"{folder}/{name}", wholetext=True).select(F.col("value").alias("doc"))).where(F.size("path") > 0)
+
+    def below(df: DataFrame, *under: str, named: str) -> DataFrame:
+        """What a document has under a path, told as the part ``named``."""
+        inside = F.slice("path", 1, len(under)) == F.array(*[F.lit(u) for u in under])
+        rest = F.slice(F.col("path"), F.lit(len(under) + 1), F.greatest(F.size("path"), F.lit(1)))
+        return df.where(inside).select(F.concat(F.array(F.lit(named)), rest).alias("path"), "kind", "value")
+
+    sources = []
+    if there(BASELINE_FILE):
+        sources.append(document(BASELINE_FILE))
+    texts = []
+    for name in datasets:
+        if there(f"{name}.txt"):
+            lines = spark.read.text(f"{folder}/{name}.txt").where(F.trim("value") != "")
+            texts += [node(lines, F.array(F.lit(name)), "item", F.col("value")), node(spark.range(1), F.array(F.lit(name)), "list", F.lit(""))]
+    if there("stats.txt"):
+        lines = spark.read.text(f"{folder}/stats.txt").where("value LIKE '_%=%'").select(F.substring_index("value", "=", 1).alias("key"), F.expr("substring(value, instr(value, '=') + 1)").alias("v"))
+        texts += [node(lines.where("key != ''"), F.array(F.lit("stats"), F.col("key")), "scalar", F.col("v")), node(spark.range(1), F.array(F.lit("stats")), "map", F.lit(""))]
+    if texts:
+        sources.append(reduce(DataFrame.unionByName, texts))
+    if there(MANIFEST_FILE):
+        sources.append(below(document(MANIFEST_FILE), "artifacts", named="artifact_hashes"))
+    if there(REPORT_FILE):
+        report = document(REPORT_FILE)
+        sources.append(below(report, "artifact_genealogy", named="artifact_genealogy").unionByName(below(report, "run_summary", "content_types", named="content_types")))
+    out, told = spark.createDataFrame([], "path array<string>, kind string, value string"), None
+    for source in sources:
+        part = source.withColumn("__part", F.col("path")[0])
+        fresh = part if told is None else part.join(F.broadcast(told), "__part", "left_anti")  # the parts of a snapshot are a few dozen
+        out = out.unionByName(fresh.select("path", "kind", "value"))
+        names = part.select("__part").distinct()
+        told = names if told is None else told.union(names).distinct()
+    return out
+
+
 def snapshot_diff(previous: DataFrame, current: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(path, kind, value) on both sides -> path, change (added, removed or changed), value, before, after; each within equal ``by``.
 

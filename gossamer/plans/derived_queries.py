@@ -17,7 +17,8 @@ from pyspark.sql.types import BinaryType
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import analysis, crawl, extract, plugins
-from ..sources import fetch, readers, seeds, writer
+from ..sources import fetch, frontier, readers, seeds, writer
+from ..streaming import crawl_stream
 from .page_queries import read
 
 QUERIES: dict = {}
@@ -438,3 +439,17 @@ def fetched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("references_of_shops", f"SELECT {_SHOP}, 'link' AS kind, 'https://shop.example.com/buy/' || p_partkey AS value FROM part UNION ALL SELECT {_SHOP}, 'link', unnest(['https://shop.example.com/js/' || p_size || '.js', 'https://cdn.example.net/' || p_type || '.js']) FROM part")
 def references_of_shops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.structured_references(shop_pages(spark, sf_dir)).where("value NOT LIKE '%/part?%'")
+
+
+@query("frontier_fetched", """
+SELECT p_size AS size, 200 AS status_code, 1 AS n, sum(strlen(p_name || ' ' || p_partkey) + 1 + (p_partkey % 2 = 0)::INT)::BIGINT AS chars FROM part GROUP BY p_size""")
+def frontier_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of parts as a frontier, twenty addresses a batch; the stream is started until none is left."""
+    urls, folder = readers.script_files(spark, part_files(spark, sf_dir)).select("url"), crawl.scratch_folder(spark)
+    while True:
+        stream = frontier.frontier_stream(spark, urls, f"{folder}/frontier", per_host=20, parts=4)
+        got = crawl_stream.run_available(stream, f"{folder}/run")
+        if not frontier.left_over(frontier.save_frontier(urls, f"{folder}/frontier", 4)):
+            break
+    size = F.regexp_extract("url", r"size=(\d+)/", 1).cast("int")
+    return got.groupBy(size.alias("size"), "status_code").agg(F.count("*").cast("int").alias("n"), F.sum(F.length("body")).cast("bigint").alias("chars"))

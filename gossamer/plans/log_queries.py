@@ -498,3 +498,21 @@ def report_lines_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = read(spark, sf_dir, "part").where("false").selectExpr("p_partkey AS ord", "p_name AS probe")
     lines = runs.report_lines(["# Autopsy"], anatomy, runs.report_sections(run_findings(spark, sf_dir), probes))
     return lines.where("part IN (2, 14, 15, 16, 17) AND ord BETWEEN 1 AND 20").select("part", "ord", "line")
+
+
+@query("snapshot_of_files", """
+SELECT 'types' AS path, 'item' AS kind, p_type AS value FROM (SELECT DISTINCT p_type FROM part) UNION ALL SELECT 'types', 'list', '' UNION ALL SELECT 'names', 'item', p_name || ' ' || p_partkey FROM part UNION ALL SELECT 'names', 'list', ''
+UNION ALL SELECT 'stats/size' || p_size, 'scalar', count(*)::VARCHAR FROM part GROUP BY p_size UNION ALL SELECT 'stats', 'map', '' UNION ALL SELECT 'artifact_hashes/' || r_name, 'scalar', sha256(r_name) FROM region UNION ALL SELECT 'artifact_hashes', 'map', ''
+UNION ALL SELECT 'content_types/' || r_name, 'scalar', r_regionkey::VARCHAR FROM region UNION ALL SELECT 'content_types', 'map', ''""")
+def snapshot_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's folder with a baseline of the types, texts of types (not believed) and names, statistics, a manifest and a report."""
+    folder, parts, region = f"{crawl.scratch_folder(spark)}/run", read(spark, sf_dir, "part"), read(spark, sf_dir, "region")
+    put = lambda df, name: df.coalesce(1).write.text(f"{folder}/{name}")
+    put(parts.agg(F.to_json(F.struct(F.collect_set("p_type").alias("types")))), analysis.BASELINE_FILE)
+    put(parts.selectExpr("concat('not ', p_type)").distinct(), "types.txt")
+    put(parts.selectExpr("concat(p_name, ' ', p_partkey, '\n')"), "names.txt")
+    put(parts.groupBy("p_size").count().selectExpr("concat('size', p_size, '=', count)"), "stats.txt")
+    by_region = lambda value: F.map_from_entries(F.collect_list(F.struct("r_name", value)))
+    put(region.agg(F.to_json(F.struct(by_region(F.sha2("r_name", 256)).alias("artifacts")))), analysis.MANIFEST_FILE)
+    put(region.agg(F.to_json(F.struct(F.struct(by_region(F.col("r_regionkey")).alias("content_types")).alias("run_summary")))), analysis.REPORT_FILE)
+    return analysis.load_snapshot(spark, folder, ("types", "names", "none")).withColumn("path", F.array_join("path", "/"))

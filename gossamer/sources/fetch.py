@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.urls import BINARY_EXTENSIONS, hostname
+from ..streaming.crawl_stream import polite_step
 
 SCHEMA = "url string, status_code int, content_type string, body string, final_url string, redirect_chain array<string>, error string, attempts int"
 # How often and after which statuses a page is asked for again.
@@ -81,21 +82,29 @@ def with_retries(fetch: Fetcher, url: str, headers: dict[str, str], retries: int
 
 
 def fetch_all(urls: Iterator[str], options: dict[str, str]) -> Iterator[tuple]:
-    """Rows of SCHEMA for addresses in turn, with the pause between two requests to one host."""
+    """Rows of SCHEMA for addresses in turn, those of one host behind one another by the politeness rules.
+
+    A request waits for the host's gap (``delay``) and for what its last answer asked for: refusals (429, 503) double the
+    wait up to ``max_backoff``, or tell it as Retry-After; success resets it.
+    """
     option = options.get
     module, _, name = option("fetcher", f"{__name__}:read_local").partition(":")
     fetch = getattr(importlib.import_module(module), name)
     agents, proxies, fixed = (json.loads(option(k, default)) for k, default in (("user_agents", "[]"), ("proxies", "[]"), ("headers", "{}")))
-    delay, host, last = float(option("delay", "0")), None, 0.0
+    delay, backoff, most = float(option("delay", "0")), float(option("backoff", str(BACKOFF))), float(option("max_backoff", str(MOST_BACKOFF)))
+    host, state = None, (float("-inf"), 0.0, 0.0)
     for n, url in enumerate(urls):
         headers = {"User-Agent": agents[n % len(agents)]} if agents else {}
         if proxies:
             headers["Proxy"] = proxies[n % len(proxies)]
-        now = urlsplit(url).netloc
-        if now == host and delay:
-            time.sleep(max(0.0, last + delay - time.monotonic()))
-        host, last = now, time.monotonic()
-        yield with_retries(fetch, url, headers | fixed, int(option("retries", str(RETRIES))), float(option("backoff", str(BACKOFF))), float(option("max_backoff", str(MOST_BACKOFF))))
+        if urlsplit(url).netloc != host:
+            host, state = urlsplit(url).netloc, (float("-inf"), 0.0, 0.0)
+        last, allowed, _ = state
+        time.sleep(max(0.0, max(allowed, last + delay) - time.monotonic()))
+        row = with_retries(fetch, url, headers | fixed, int(option("retries", str(RETRIES))), backoff, most)
+        # A refusal that stood after all retries makes the host's next address wait as well.
+        _, state = polite_step(state, time.monotonic(), row[1], None, delay, most if backoff else 0.0)
+        yield row
 
 
 def fetch_pages(urls: DataFrame, options: dict[str, str]) -> DataFrame:
