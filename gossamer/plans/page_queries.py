@@ -154,13 +154,21 @@ def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", T.strip_tags(F.col("html")).alias("text")).select("page_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
-@query("inline_script_artifacts")
+_INLINE = r"s AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script>', 1)) AS body, unnest(range(len(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script>', 1)))) AS ord FROM pages)"
+
+
+@query("inline_script_bodies", f"WITH {_INLINE} SELECT url, ord::INT AS ord, body FROM s WHERE body <> ''")
+def inline_script_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.inline_scripts(texts(spark, sf_dir, "pages", "url", "html"))
+
+
+@query("inline_script_artifacts", rf"WITH {_INLINE} SELECT 'link' AS kind, count(*) AS n FROM (SELECT url, unnest(regexp_extract_all(body, '[\"'']((?:https?://|/|\.\./|\./)[^\"''<>\s]+)[\"'']', 1)) AS raw FROM s) HAVING count(*) > 0")
 def inline_script_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scripts = extract.inline_scripts(texts(spark, sf_dir, "pages", "url", "html"))
     return extract.script_artifacts(scripts).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("structured_references")
+@query("structured_references", f"WITH {LINKS_CTE} SELECT 'link' AS kind, count(*) AS n FROM (SELECT DISTINCT url, target FROM routed WHERE route = 'link' AND regexp_matches(raw, '^(https?://|/)[^<>\\s]*$')) HAVING count(*) > 0")
 def structured_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.structured_references(texts(spark, sf_dir, "pages", "url", "html")).groupBy("kind").agg(F.count("*").alias("n"))
 
