@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,32 @@ NO_LINK_PREFIXES = ("javascript:", "mailto:", "tel:", "data:", "#", "void")
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
+def built_once(f: Callable[..., Column]) -> Callable[..., Column]:
+    """A large expression of plain columns is built once for each set of names: every part of it is a call to the JVM, and there are hundreds."""
+    kept: dict[tuple[str, ...], Column] = {}
+    made_for: list[SparkContext] = []
+
+    def name(c: Column | None) -> str | None:
+        if c is None:
+            return ""
+        plain = hasattr(c, "_jc") and c._jc.node().getClass().getSimpleName() == "UnresolvedAttribute"
+        return str(c) if plain else None
+
+    @wraps(f)
+    def build(*columns: Column | None) -> Column:
+        context, names = SparkContext._active_spark_context, tuple(map(name, columns))
+        if context is None or None in names:
+            return f(*columns)
+        if made_for != [context]:
+            kept.clear()
+            made_for[:] = [context]
+        if names not in kept:
+            kept[names] = f(*columns)
+        return kept[names]
+
+    return build
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -113,6 +143,7 @@ def resolve(url: Column, base: Column) -> Column:
     )
 
 
+@built_once
 def normalize_url(url: Column, base: Column | None = None) -> Column:
     """Canonical http(s) URL.
 

@@ -207,3 +207,13 @@ def test_waits_between_attempts_double_or_follow_the_server():
     answers = iter([fetch.Response(503, "", None, "u"), fetch.Response(429, "", None, "u", headers={"Retry-After": "90"}), fetch.Response(500, "", None, "u"), fetch.Response(200, "", "x", "u")])
     row = fetch.with_retries(lambda url, attempt, headers: next(answers), "u", {}, pause=waits.append)
     assert row[1] == 200 and row[-1] == 4 and waits == [0.4, 30.0, 1.6]
+
+
+def test_expressions_of_plain_columns_are_built_once(spark):
+    a, b = U.normalize_url(F.col("u")), U.normalize_url(F.col("u"))
+    assert a is b and U.normalize_url(F.col("v")) is not a and U.normalize_url(F.lit("u")) is not a and U.normalize_url(F.col("u"), F.col("b")) is not a
+    df = spark.createDataFrame([("HTTP://A.com//x/../y", "c", "http://b.com/p/q")], "u string, v string, b string")
+    row = df.select(a.alias("one"), U.normalize_url(F.col("v"), F.col("b")).alias("two"), U.normalize_url(F.lit("u")).alias("three"), U.normalize_url(F.col("u"), F.col("b")).alias("four")).first()
+    assert tuple(row) == ("http://a.com/y", "http://b.com/p/c", "/u", "http://a.com/y")
+    nested = df.select(F.transform(F.array("u", "u"), lambda x: U.normalize_url(x)).alias("n")).first().n
+    assert nested == ["http://a.com/y"] * 2
