@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, fields, replace
 from importlib import metadata
 from pathlib import Path
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,8 +109,8 @@ def pattern_problems(spark: SparkSession, patterns: dict[str, list[str]]) -> dic
         for p in some:
             try:
                 spark._jvm.java.util.regex.Pattern.compile(p)
-            except Py4JJavaError as error:
-                problems.setdefault(name, []).append(f"{p}: {error.java_exception.getDescription()}")
+            except IllegalArgumentException as error:
+                problems.setdefault(name, []).append(f"{p}: {str(error).splitlines()[0]}")
     return problems
 
 
