@@ -443,7 +443,8 @@ def harvest_documents(files: DataFrame, fetched: DataFrame) -> DataFrame:
     wanted = F.lit(False)
     for ext in P.DOCUMENT_EXTENSIONS:
         wanted = wanted | path.endswith(ext)
-    mine = fetched.join(files.where(wanted).select("url").distinct(), "url", "left_semi")
+    # Both sides meet by address: Spark takes a column of addresses for as small as the keys that it is made of, and would send all to the driver.
+    mine = fetched.join(files.where(wanted).select("url").distinct().hint("merge"), "url", "left_semi")
     return document_records(mine).unionByName(office_records(mine)).distinct()
 
 
