@@ -91,6 +91,14 @@ def strip_tags(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, patterns.TAG, " "), r"(?U)\s+", " "), "^ | $", "")
 
 
+def closed_references(text: Column) -> Column:
+    """Text in which only references with their semicolon are read as such: other ampersands are written out.
+
+    HTML takes ``&amp`` for a reference too, which may be one that the end of a text has cut off.
+    """
+    return F.regexp_replace(text, "&(?!(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);)", "&amp;")
+
+
 def content_type(raw: Column) -> Column:
     return F.lower(F.trim(F.substring_index(F.coalesce(raw, F.lit("")), ";", 1)))
 
