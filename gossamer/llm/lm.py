@@ -318,10 +318,12 @@ def string_scores(counted: DataFrame, depth: int = DEPTH, scratch: Scratch | Non
 
 # --- scoring --------------------------------------------------------------------------------
 
-PART_SCHEMA = "chunk bigint, place int, doc_id bigint, nameless boolean, held_out boolean, text binary, token bigint, local_id int, code bigint, train_count bigint"
+PART_SCHEMA = "chunk bigint, place int, doc_id bigint, nameless boolean, held_out boolean, text binary, token bigint, code bigint, train_count bigint"
 PART_COLUMNS = [c.split()[0] for c in PART_SCHEMA.split(", ")]
 #: Rows of an Arrow batch of vocabulary or strings.
 PART_ROWS = 100_000
+#: Bytes of text whose words and byte strings are taken at once, and so many counts that are kept until they are summed.
+SLICE_BYTES, KEPT_COUNTS = 1_000_000, 8
 
 
 def _hash(token: bytes) -> int:
@@ -334,42 +336,46 @@ class _Vocabulary(dict):
         return n
 
 
+def token_places(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct tokens of the texts as numbers, and where each text's are among those, its end last."""
+    vocabulary = _Vocabulary()
+    end = vocabulary[b" "]  # no word has a space: the end token
+    seen = [np.append(np.fromiter(map(vocabulary.__getitem__, t.split()), np.int32), np.int32(end)) for t in texts]
+    return np.fromiter(map(_hash, vocabulary), np.int64, len(vocabulary)), seen
+
+
+def count_tokens(texts: list[bytes], held_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of all texts, and how often each is in those that are not held out."""
+    tokens, seen = token_places(texts)
+    trained = [w for w, out in zip(seen, held_out, strict=True) if not out]
+    return tokens, np.bincount(np.concatenate(trained), minlength=len(tokens)) if trained else np.zeros(len(tokens), np.int64)
+
+
 class _Chunk:
-    """Vocabulary, byte strings and training counts of documents that are kept together."""
+    """Tokens, byte strings and training counts of documents that are kept together; of words only their numbers are held."""
 
     def __init__(self, number: int, depth: int):
         self.number, self.depth, self.documents, self.bytes = number, depth, 0, 0
-        self.vocabulary = _Vocabulary()
-        self.end = self.vocabulary[b" "]  # no word has a space: the end token
-        self.train = np.zeros(1, np.int64)
+        self.tokens: list[tuple[np.ndarray, np.ndarray]] = []
         self.strings: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def words(self, text: bytes) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.__getitem__, text.split()), np.int32)
-
     def add(self, texts: list[bytes], held_out: np.ndarray) -> None:
-        seen = [self.words(t) for t in texts]
-        trained = [w for w, out in zip(seen, held_out, strict=True) if not out]
-        train = np.bincount(np.concatenate(trained), minlength=len(self.vocabulary)) if trained else np.zeros(len(self.vocabulary), np.int64)
-        train[self.end] += len(trained)
-        train[: len(self.train)] += self.train
-        self.train = train
         lo = 0
-        for some in slices(texts, 4_000_000):
-            self.strings.append(count_strings(some, held_out[lo : lo + len(some)], self.depth))
+        for some in slices(texts, SLICE_BYTES):
+            out = held_out[lo : lo + len(some)]
             lo += len(some)
-            if len(self.strings) == 4:
-                self.strings = [sum_strings(self.strings)]
+            for counts, new in ((self.tokens, count_tokens(some, out)), (self.strings, count_strings(some, out, self.depth))):
+                counts.append(new)
+                if len(counts) == KEPT_COUNTS:
+                    counts[:] = [sum_strings(counts)]
         self.documents, self.bytes = self.documents + len(texts), self.bytes + sum(map(len, texts))
 
     def rows(self) -> Iterator[pd.DataFrame]:
-        tokens = np.fromiter(map(_hash, self.vocabulary), np.int64, len(self.vocabulary))
-        codes, n = sum_strings(self.strings)
-        order = np.argsort(codes)  # sorted numbers take less room, written and sent
-        codes, n, self.strings = codes[order], n[order], []
-        words = {"token": tokens, "local_id": np.arange(len(tokens), dtype=np.int32), "train_count": self.train}
-        for part in (words, {"code": codes, "train_count": n}):
-            rows = pd.DataFrame({"chunk": self.number} | part)
+        for name, counts in (("token", self.tokens), ("code", self.strings)):
+            numbers, n = sum_strings(counts)
+            counts.clear()
+            order = np.argsort(numbers)  # sorted numbers take less room, written and sent
+            rows = pd.DataFrame({"chunk": self.number, name: numbers[order], "train_count": n[order]})
             for i in range(0, len(rows), PART_ROWS):
                 yield rows.iloc[i : i + PART_ROWS].reindex(columns=PART_COLUMNS)
 
@@ -415,10 +421,10 @@ def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int =
     parts = scratch.write(src.mapInPandas(run, PART_SCHEMA), "parts", "zstd")  # texts, words and strings: most of the disk
     strings = parts.where(F.col("code").isNotNull()).select("chunk", "code", "train_count")
     logp = string_scores(scratch.write(strings.groupBy("code").agg(F.sum("train_count").alias("n")), "strings"), depth, scratch)
-    words = parts.where(F.col("token").isNotNull()).select("chunk", "token", "local_id", "train_count")
+    words = parts.where(F.col("token").isNotNull()).select("chunk", "token", "train_count")
     same = Window.partitionBy("token").orderBy("chunk")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = words.select("chunk", "local_id", "train_count", F.sum("train_count").over(whole).alias("c"), (F.row_number().over(same) == 1).alias("first"))
+    counted = words.select("chunk", "token", "train_count", F.sum("train_count").over(whole).alias("c"), (F.row_number().over(same) == 1).alias("first"))
     counted = scratch.write(counted.where(F.col("c") > 0), "counted")
     # N counts all training tokens, V the distinct ones.
     n_train, n_distinct = counted.agg(F.coalesce(F.sum("train_count"), F.lit(0)), F.count_if("first")).first()
@@ -427,25 +433,29 @@ def score_corpus(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int =
     def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("place", kind="stable")
         texts = left["text"].tolist()
-        chunk = _Chunk(0, depth)
-        seen = [np.append(chunk.words(t), np.int32(chunk.end)) for t in texts]
-        is_word = right["code"].to_numpy() < 0
-        c = np.zeros(len(chunk.vocabulary), np.int64)
-        c[right["local_id"].to_numpy()[is_word]] = right["c"].to_numpy()[is_word]
-        gain = np.log10(c + 1.0) - floor
-        strings, value = pd.Index(right["code"].to_numpy()[~is_word]), right["logp"].to_numpy()[~is_word].astype(float)
-        scores = []
-        for some in slices(texts, 1_000_000):
+        c, key = right["c"].to_numpy(), right["key"].to_numpy()
+        is_word = c > 0
+        tokens, times = pd.Index(key[is_word]), np.append(c[is_word], 0)  # place -1, of tokens never seen in training, has 0
+        strings, value = pd.Index(key[~is_word]), right["logp"].to_numpy()[~is_word].astype(float)
+        n_tokens, n_known, base, scores = [], [], [], []
+        for some in slices(texts, SLICE_BYTES):
+            numbers, seen = token_places(some)
+            n = times[tokens.get_indexer(numbers)]
+            gain = np.log10(n + 1.0) - floor
+            n_tokens += [len(w) for w in seen]
+            n_known += [int((n[w] > 0).sum()) for w in seen]
+            base += [float(gain[w].sum()) for w in seen]
             code, first = string_codes(some, depth)
             scores.append(np.add.reduceat(value[strings.get_indexer(code)], first))
         return pd.DataFrame({
-            "doc_id": left["doc_id"].astype("int64"), "nameless": left["nameless"].astype(bool), "held_out": left["held_out"].astype(bool), "n_tokens": [len(w) for w in seen], "n_known": [int((c[w] > 0).sum()) for w in seen],
-            "train_tokens": n_train, "base_score": [float(gain[w].sum()) for w in seen], "score": np.concatenate(scores),
+            "doc_id": left["doc_id"].astype("int64"), "nameless": left["nameless"].astype(bool), "held_out": left["held_out"].astype(bool), "n_tokens": n_tokens, "n_known": n_known,
+            "train_tokens": n_train, "base_score": base, "score": np.concatenate(scores),
         })
 
     documents = parts.where(F.col("text").isNotNull()).select(F.col("chunk").alias("part"), "place", "doc_id", "nameless", "held_out", "text")
-    back = strings.join(logp.hint("shuffle_hash"), "code").select("chunk", F.lit(-1).alias("local_id"), F.lit(0).cast("bigint").alias("c"), "code", "logp")
-    back = back.unionAll(counted.select("chunk", "local_id", "c", F.lit(-1).cast("bigint").alias("code"), F.lit(0).cast("float").alias("logp")))
+    # A token's count is above 0, a string's is given as 0.
+    back = strings.join(logp.hint("shuffle_hash"), "code").select("chunk", F.col("code").alias("key"), F.lit(0).cast("bigint").alias("c"), "logp")
+    back = back.unionAll(counted.select("chunk", F.col("token").alias("key"), "c", F.lit(0).cast("float").alias("logp")))
     scored = documents.groupBy("part").cogroup(back.groupBy("chunk")).applyInPandas(
         merge, "doc_id bigint, nameless boolean, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )

@@ -1,11 +1,14 @@
 """Queries against their SQL, and plans, on rows that the smallest tables lack."""
 
 import re
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
+from gossamer.llm import lm
 from gossamer.operators import extract
 from gossamer.plans import catalogue
 
@@ -43,3 +46,14 @@ def test_references_that_the_end_cut_off_stay(spark, tmp_path, name):
     html = ['<html lang="en"><title>Ä &amp;&amp; b&amp</title><p>x &lt; y&amp</p>', "<title>R&D &amp;amp; &am</title><p>a && b &lt</p>", "<title>no</title>", None]
     urls = [f"https://h{i}.example.com/p" for i in range(len(html))]
     same_as_sql(spark, tmp_path, name, "pages", pd.DataFrame({"page_id": range(len(html)), "url": urls, "html": html}))
+
+
+def test_a_chunk_holds_numbers_of_words_not_words():
+    text = " ".join(f"{i:040b}" for i in range(100_000)).encode()
+    chunk = lm._Chunk(0, lm.DEPTH)
+    tracemalloc.start()
+    chunk.add([text], np.array([False]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 8_000_000
+    assert sum(rows["token"].notna().sum() for rows in chunk.rows()) == 100_001
