@@ -273,18 +273,20 @@ def locations(pages: DataFrame) -> DataFrame:
 
 
 @page_extractor
-def stories(pages: DataFrame) -> DataFrame:
+def stories(pages: DataFrame, closed: bool = False) -> DataFrame:
     """url, story, cluster, relation, title, source, published, lang, refs, value.
 
     One page and one metadata row for each page with a title; up to ten distinct links in order as
-    reference, or mirror where they leave the domain; up to five quotes.
+    reference, or mirror where they leave the domain; up to five quotes. With ``closed``, only references with
+    their semicolon are decoded in titles and quotes; links stay as the page writes them.
     """
     body = _body(pages)
-    base = pages.select("url", body.alias("body"), _meta(body).alias("meta"), F.regexp_extract(body, P.TITLE, 1).alias("tag"), T.strip_tags(body).alias("text"))
+    plain = lambda t: T.strip_tags(T.closed_references(t) if closed else t)
+    base = pages.select("url", body.alias("body"), _meta(body).alias("meta"), F.regexp_extract(body, P.TITLE, 1).alias("tag"), plain(body).alias("text"))
     meta = lambda k: F.nullif(F.element_at("meta", k), F.lit(""))
     domain = U.authority(F.col("url"))
     base = base.select(
-        "url", F.coalesce(meta("og:title"), meta("twitter:title"), T.strip_tags(F.col("tag"))).alias("title"),
+        "url", F.coalesce(meta("og:title"), meta("twitter:title"), plain(F.col("tag"))).alias("title"),
         F.coalesce(meta("article:published_time"), F.nullif(F.regexp_extract("body", P.TIME, 1), F.lit(""))).alias("published"),
         F.nullif(F.regexp_extract("body", P.LANG, 1), F.lit("")).alias("lang"), F.coalesce(meta("og:site_name"), domain).alias("source"), domain.alias("domain"),
         F.array_sort(F.array_distinct(T.find_all(F.col("body"), P.ABSOLUTE_LINK, 1))).alias("links"), T.find_all(F.col("text"), P.QUOTE, 1).alias("quotes"),

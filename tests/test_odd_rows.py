@@ -48,6 +48,13 @@ def test_references_that_the_end_cut_off_stay(spark, tmp_path, name):
     same_as_sql(spark, tmp_path, name, "pages", pd.DataFrame({"page_id": range(len(html)), "url": urls, "html": html}))
 
 
+def test_quotes_that_the_end_cut_off_are_none(spark, tmp_path):
+    html = ["<title>a</title><p>x &quot;one that is cut off&quot</p>", "<title>b</title><p>x &quot;one that is whole&quot; and &quot</p><p>one more, &quot;whole again&quot;</p>",
+            '<title>c&quot</title><a href="https://h2.example.com/?a=1&b=2"></a><a href="https://h2.example.com/?a=1&amp;b=2"></a><a href="https://x.example.org/&quot"></a>']
+    urls = [f"https://h{i}.example.com/p" for i in range(len(html))]
+    same_as_sql(spark, tmp_path, "story_relations", "pages", pd.DataFrame({"page_id": range(len(html)), "url": urls, "html": html}))
+
+
 def test_a_chunk_holds_numbers_of_words_not_words():
     text = " ".join(f"{i:040b}" for i in range(100_000)).encode()
     chunk = lm._Chunk(0, lm.DEPTH)
